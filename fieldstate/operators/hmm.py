@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from fieldstate import schema as S
 from fieldstate.functions import vectors as V
 from fieldstate.operators import series
+from fieldstate.sources.tables import stored
 
 # functions of this module travel to the workers with the job
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -214,156 +215,139 @@ def decode_prepared(prepared: DataFrame) -> DataFrame:
 
 
 # ---- chunked decoding of very long sequences -----------------------------------------------------------
+def _advance(best: np.ndarray, steps: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Best scores after each row of ``best`` has gone through all steps."""
+    for step in steps:
+        reach = (best[:, :, None] + transition[None]).max(axis=1)
+        best = np.maximum(np.maximum(reach, IMPOSSIBLE) + step[None], IMPOSSIBLE)
+    return best
+
+
+def _rows_of(*columns: pa.Array):
+    """Row by row: one flat array per list column."""
+    lists = [_lists(c) for c in columns]
+    for i in range(len(columns[0])):
+        yield [flat[at[i] : at[i + 1]] for at, flat in lists]
+
+
+def _stack(parts: list[np.ndarray], dtype, valid: list[bool] | None = None) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    values = np.concatenate(parts).astype(dtype) if parts else np.zeros(0, dtype=dtype)
+    return _pack(at, values, None if valid is None else np.array(valid, dtype=bool))
+
+
 def _chunk_functions(categories: list[str]):
+    """Arrow functions of the chunked form. A chunk's row holds its flat probabilities; ``opens`` marks a first chunk."""
     models = _models(categories)
 
-    def widths(category: pa.Array) -> np.ndarray:
-        return np.array([len(models[c][0]) for c in category.to_pylist()], dtype=np.int64)
+    def pointers_of(name: str, flat: np.ndarray, entry: np.ndarray, opens: bool) -> np.ndarray:
+        k = len(entry)
+        steps = _fixed(flat).reshape(-1, 1, k)
+        return _forward(steps, np.array([len(steps)]), entry.reshape(1, k), models[name][1], opens)[1]
 
     @F.arrow_udf("array<bigint>")
     def transfer(category: pa.Array, probabilities: pa.Array) -> pa.Array:
-        """Best score from each entry state (rows) to each last state (columns) of a chunk."""
-        offsets, flat = _lists(probabilities)
-        scores, parts = _fixed(flat), []
-        for i, name in enumerate(category.to_pylist()):
-            transition = models[name][1]
-            k = len(transition)
-            steps = scores[offsets[i] : offsets[i + 1]].reshape(-1, k)
-            best = np.full((k, k), IMPOSSIBLE, dtype=np.int64)
-            np.fill_diagonal(best, 0)
-            for step in steps:
-                reach = (best[:, :, None] + transition[None]).max(axis=1)
-                best = np.maximum(np.maximum(reach, IMPOSSIBLE) + step[None], IMPOSSIBLE)
-            parts.append(best.ravel())
-        at = np.concatenate([[0], np.cumsum(widths(category) ** 2)])
-        return _pack(at, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
+        """Scores of the chunk's last states: as a first chunk (1 row), then from each entry state (one row per state)."""
+        parts = []
+        for name, (flat,) in zip(category.to_pylist(), _rows_of(probabilities)):
+            start, transition = models[name]
+            k = len(start)
+            steps = _fixed(flat).reshape(-1, k)
+            first = np.maximum(start + steps[0], IMPOSSIBLE)[None]
+            inner = np.full((k, k), IMPOSSIBLE, dtype=np.int64)
+            np.fill_diagonal(inner, 0)
+            parts.append(np.concatenate([_advance(first, steps[1:], transition).ravel(), _advance(inner, steps, transition).ravel()]))
+        return _stack(parts, np.int64)
 
     @F.arrow_udf("array<bigint>")
-    def entries(category: pa.Array, first: pa.Array, transfers: pa.Array) -> pa.Array:
-        """Scores at the entry of every chunk and at the end of the last: first step, then chunk by chunk."""
-        f_at, f_flat = _lists(first)
-        t_at, t_flat = _lists(transfers)
-        f_scores, parts, sizes = _fixed(f_flat), [], []
-        for i, name in enumerate(category.to_pylist()):
+    def entries(category: pa.Array, transfers: pa.Array) -> pa.Array:
+        """Entry scores of every chunk of a sequence, and the final scores at the end."""
+        parts = []
+        for name, (flat,) in zip(category.to_pylist(), _rows_of(transfers)):
             start, _ = models[name]
             k = len(start)
-            best = np.maximum(start + f_scores[f_at[i] : f_at[i + 1]], IMPOSSIBLE)
-            out = [best]
-            for matrix in t_flat[t_at[i] : t_at[i + 1]].reshape(-1, k, k):
-                best = np.maximum((best[:, None] + matrix).max(axis=0), IMPOSSIBLE)
-                out.append(best)
+            chunks = flat.reshape(-1, 1 + k, k)
+            out = [start, chunks[0, 0]]
+            for chunk in chunks[1:]:
+                out.append(np.maximum((out[-1][:, None] + chunk[1:]).max(axis=0), IMPOSSIBLE))
             parts.append(np.concatenate(out))
-            sizes.append(len(parts[-1]))
-        at = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
-        return _pack(at, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64))
-
-    def pointers_of(name: str, steps: np.ndarray, entry: np.ndarray):
-        k = len(entry)
-        lengths = np.array([len(steps)])
-        return _forward(steps.reshape(-1, 1, k), lengths, entry.reshape(1, k), models[name][1], False)
+        return _stack(parts, np.int64)
 
     @F.arrow_udf("array<int>")
-    def origins(category: pa.Array, probabilities: pa.Array, entry: pa.Array) -> pa.Array:
-        """For each last state of a chunk, the entry state its best path comes from."""
-        p_at, p_flat = _lists(probabilities)
-        e_at, e_flat = _lists(entry)
-        scores, parts = _fixed(p_flat), []
-        for i, name in enumerate(category.to_pylist()):
-            own = e_flat[e_at[i] : e_at[i + 1]]
-            _, pointers = pointers_of(name, scores[p_at[i] : p_at[i + 1]], own)
+    def origins(category: pa.Array, opens: pa.Array, probabilities: pa.Array, entry: pa.Array) -> pa.Array:
+        """For each last state of a chunk, the state before the chunk that its best path comes from."""
+        parts = []
+        for name, first, (flat, own) in zip(category.to_pylist(), opens.to_pylist(), _rows_of(probabilities, entry)):
             state = np.arange(len(own))
-            for t in range(len(pointers) - 1, -1, -1):
-                state = pointers[t, 0, state]
-            parts.append(state.astype(np.int32))
-        at = np.concatenate([[0], np.cumsum(widths(category))])
-        return _pack(at, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32))
+            for pointers in pointers_of(name, flat, own, first)[::-1]:
+                state = pointers[0, state]
+            parts.append(state)
+        return _stack(parts, np.int32)
 
     @F.arrow_udf("array<int>")
-    def last_states(category: pa.Array, final: pa.Array, maps: pa.Array) -> pa.Array:
-        """State at the end of every chunk, resolved from the last chunk back; the entry state comes first."""
-        f_at, f_flat = _lists(final)
-        m_at, m_flat = _lists(maps)
-        parts, sizes, valid = [], [], []
-        for i, name in enumerate(category.to_pylist()):
+    def last_states(category: pa.Array, scores: pa.Array, maps: pa.Array) -> pa.Array:
+        """Last state of every chunk, resolved from the end of the sequence; NULL without a possible path."""
+        parts, valid = [], []
+        for name, (flat, origin) in zip(category.to_pylist(), _rows_of(scores, maps)):
             k = len(models[name][0])
-            best = f_flat[f_at[i] : f_at[i + 1]]
-            state = int(best.argmax())
-            chain = [state]
-            for origin in m_flat[m_at[i] : m_at[i + 1]].reshape(-1, k)[::-1]:
-                state = int(origin[state])
-                chain.append(state)
-            parts.append(np.array(chain[::-1], dtype=np.int32))
-            sizes.append(len(chain))
-            valid.append(best.max() > IMPOSSIBLE // 2)
-        at = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
-        return _pack(at, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), np.array(valid, dtype=bool))
+            final = flat[-k:]
+            chain = [int(final.argmax())]
+            for origin_of in origin.reshape(-1, k)[:0:-1]:
+                chain.append(int(origin_of[chain[-1]]))
+            parts.append(np.array(chain[::-1]))
+            valid.append(bool(final.max() > IMPOSSIBLE // 2))
+        return _stack(parts, np.int32, valid)
 
     @F.arrow_udf("array<int>")
-    def trace(category: pa.Array, probabilities: pa.Array, entry: pa.Array, last: pa.Array) -> pa.Array:
+    def trace(category: pa.Array, opens: pa.Array, probabilities: pa.Array, entry: pa.Array, last: pa.Array) -> pa.Array:
         """States of a chunk's days, given its last one."""
-        p_at, p_flat = _lists(probabilities)
-        e_at, e_flat = _lists(entry)
-        ends = last.to_numpy(zero_copy_only=False)
-        scores, parts = _fixed(p_flat), []
-        for i, name in enumerate(category.to_pylist()):
-            own = e_flat[e_at[i] : e_at[i + 1]]
-            _, pointers = pointers_of(name, scores[p_at[i] : p_at[i + 1]], own)
-            parts.append(_trace(pointers, np.array([len(pointers)]), np.array([ends[i]]))[:, 0])
-        at = np.concatenate([[0], np.cumsum(np.array([len(p) for p in parts], dtype=np.int64))])
-        return _pack(at, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32))
+        parts = []
+        rows = zip(category.to_pylist(), opens.to_pylist(), last.to_pylist(), _rows_of(probabilities, entry))
+        for name, first, end, (flat, own) in rows:
+            pointers = pointers_of(name, flat, own, first)
+            parts.append(_trace(pointers, np.array([len(pointers)]), np.array([end]))[:, 0])
+        return _stack(parts, np.int32)
 
     return transfer, entries, origins, last_states, trace
 
 
 def viterbi_decode_long(sequences: DataFrame, chunk: int = 4096, categories: list[str] | None = None) -> DataFrame:
-    """:func:`viterbi_decode` with every sequence cut into chunks of ``chunk`` days that are decoded in parallel.
+    """:func:`viterbi_decode` with every sequence cut into chunks of at most ``chunk`` days, decoded in parallel.
 
-    Best-score transfers between states compose, so a chunk is first reduced to one states x states matrix, the chunks of a
-    sequence are chained (one small row per chunk), and each chunk is then traced back from its known last state.
+    Best-score transfers between states compose, so each chunk is first reduced to a small matrix. The chunks of a
+    sequence are chained over these (one small row per chunk), and every chunk is traced back from its known last
+    state. Chunks, and chunks with their entry scores, are stored: they are read by several steps.
     """
-    transfer, entries, origins, last_states, trace = _chunk_functions(categories or list(S.HMM_MODELS))
-    bounds = sequences.groupBy(*KEYS).agg(F.min("date").alias("first_date"))
-    days = sequences.join(bounds, KEYS).withColumn("step", F.datediff("date", "first_date"))
-    parts = (
-        days.groupBy(*KEYS, F.when(F.col("step") > 0, F.floor((F.col("step") - 1) / chunk)).otherwise(-1).alias("chunk"))
+    categories = categories or list(S.HMM_MODELS)
+    transfer, entries, origins, last_states, trace = _chunk_functions(categories)
+    k = F.expr("CASE category " + " ".join(f"WHEN '{c}' THEN {len(hmm_spec(c)[0])}" for c in categories) + " END")
+
+    chunks = stored(
+        sequences.groupBy(*KEYS, F.floor(F.unix_date("date") / chunk).alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("date", "probabilities"))).alias("days"))
         .select(*KEYS, "chunk", F.col("days.date").alias("dates"), F.flatten(F.col("days.probabilities")).alias("p"))
     )
-    opening = F.col("chunk") == -1
-
-    reduced = parts.withColumn("transfer", transfer("category", F.when(opening, F.array().cast("array<double>")).otherwise(F.col("p"))))
     chained = (
-        reduced.groupBy(*KEYS)
-        .agg(
-            F.max(F.when(opening, F.col("p"))).alias("first"),
-            F.array_sort(F.collect_list(F.when(~opening, F.struct("chunk", "transfer")))).alias("chunks"),
-        )
-        .withColumn("entry", entries("category", "first", F.flatten(F.col("chunks.transfer"))))
-        .select(*KEYS, "entry")
+        chunks.withColumn("transfer", transfer("category", "p"))
+        .groupBy(*KEYS)
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", "transfer"))).alias("parts"))
+        .withColumn("scores", entries("category", F.flatten(F.col("parts.transfer"))))
     )
-    k = F.when(F.col("category") == "dominant_cover", len(S.COVER_STATES)).otherwise(len(S.STATUS_STATES))
-    entered = parts.join(chained, KEYS).withColumn(
-        "own", F.slice("entry", F.greatest(F.col("chunk"), F.lit(0)).cast("int") * k + 1, k)
+    placed = chained.select(*KEYS, "scores", F.posexplode(F.col("parts.chunk")).alias("place", "chunk")).select(
+        *KEYS, "chunk", "place", F.slice("scores", F.col("place") * k + 1, k).alias("entry")
     )
-    mapped = entered.filter(~opening).withColumn("origin", origins("category", "p", "own"))
+    entered = chunks.join(placed, [*KEYS, "chunk"]).withColumn("opens", F.col("place") == 0)
+    entered = stored(entered.withColumn("origin", origins("category", "opens", "p", "entry")))
+
+    final = chained.select(*KEYS, "scores")
+    maps = entered.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "origin"))).alias("maps"))
     ends = (
-        chained.select(*KEYS, F.slice("entry", -k, k).alias("final"))
-        .join(
-            mapped.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("chunk", "origin"))).alias("maps")), KEYS, "left"
-        )
-        .withColumn("maps", F.coalesce(F.flatten(F.col("maps.origin")), F.array().cast("array<int>")))
-        .withColumn("last", last_states("category", "final", "maps"))
+        maps.join(final, KEYS)
+        .withColumn("last", last_states("category", "scores", F.flatten(F.col("maps.origin"))))
         .filter(F.col("last").isNotNull())
-        .select(*KEYS, "last")
-    )
-    traced = (
-        mapped.join(ends, KEYS)
-        .withColumn("path", trace("category", "p", "own", F.get("last", (F.col("chunk") + 1).cast("int"))))
-        .select(*KEYS, "dates", "path")
+        .select(*KEYS, F.posexplode("last").alias("place", "end"))
     )
-    openings = parts.filter(opening).join(ends, KEYS).select(*KEYS, "dates", F.slice("last", 1, 1).alias("path"))
-    states = _unpack(traced.unionByName(openings))
-    return states.select(
-        "phenocam_name", F.year("date").alias("year"), "date", "site_sequence_id", "category",
-        _state_name().alias("hmm_class"),
+    paths = entered.join(ends, [*KEYS, "place"]).withColumn("path", trace("category", "opens", "p", "entry", "end"))
+    return _unpack(paths.select(*KEYS, "dates", "path")).select(
+        "phenocam_name", F.year("date").alias("year"), "date", "site_sequence_id", "category", _state_name().alias("hmm_class")
     )

@@ -36,28 +36,33 @@ def sample_distinct(df: DataFrame, col: str, n: int, seed: int = SEED) -> DataFr
     return values.orderBy("_key", col).limit(n).select(col)
 
 
-def take_exactly(df: DataFrame, n: Column, key: Column, tie: list[str], flag: str) -> DataFrame:
+def take_exactly(df: DataFrame, n: Column, key: Column, tie: list[str], flag: str, among: str = "true") -> DataFrame:
     """Add a boolean ``flag``: true for the ``n`` rows with the smallest (key, tie), for any size of ``n``.
 
-    ``key`` is a hex key. Rows are counted per key prefix; all buckets below the one where the running count
-    passes ``n`` are taken whole without a shuffle, and only the rows of that one bucket (a millionth of the
-    table) are ordered.
+    Only rows that satisfy ``among`` take part; ``n`` is an expression over ``all_rows`` and ``all_taking``, the number
+    of rows and of rows that take part. ``key`` is a hex key. Rows are counted per key prefix; buckets
+    below the one where the running count passes ``n`` are taken whole without a shuffle, and only the rows of that
+    one bucket (a millionth of the table) are ordered. ``df`` is read three times, so it should be stored.
     """
-    bucketed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, GLOBAL_PREFIX))
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("rows"))
-    # at most 16 ** GLOBAL_PREFIX rows, whatever the size of the table
-    passed = counts.select("_bucket", F.sum("rows").over(Window.orderBy("_bucket")).alias("upto"), "rows")
-    edge = passed.filter(F.col("upto") > n).agg(
-        F.min(F.struct("_bucket", (F.col("upto") - F.col("rows")).alias("below"))).alias("edge")
+    bucketed = df.withColumns({"_key": key, "_in": F.expr(among)}).withColumn("_bucket", F.substring("_key", 1, GLOBAL_PREFIX))
+    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("rows"), F.count_if("_in").alias("taking"))
+    # at most 16 ** GLOBAL_PREFIX rows from here on, whatever the size of the table
+    every = Window.partitionBy()
+    passed = counts.select(
+        "_bucket", "taking", F.sum("taking").over(Window.orderBy("_bucket")).alias("upto"),
+        F.sum("rows").over(every).alias("all_rows"), F.sum("taking").over(every).alias("all_taking"),
+    ).withColumn("n", n)
+    edge = passed.agg(
+        F.min(F.when(F.col("upto") > F.col("n"), F.struct("_bucket", (F.col("upto") - F.col("taking")).alias("below")))).alias("at"),
+        F.max("n").alias("n"),
     )
-    limit = edge.select("edge").scalar()
-    placed = bucketed.withColumn("_edge", limit)
-    inner = placed.filter(F.col("_edge").isNotNull() & (F.col("_bucket") == F.col("_edge._bucket")))
-    outer = placed.filter(F.col("_edge").isNull() | (F.col("_bucket") != F.col("_edge._bucket")))
+    placed = bucketed.withColumn("_edge", edge.select(F.struct("at", "n")).scalar())
+    in_edge = F.coalesce(F.col("_in") & (F.col("_bucket") == F.col("_edge.at._bucket")), F.lit(False))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *tie))
-    inner = inner.withColumn(flag, F.col("_edge.below") + rank <= n)
-    outer = outer.withColumn(flag, F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge._bucket")))
-    return outer.unionByName(inner).drop("_key", "_bucket", "_edge")
+    inner = placed.filter(in_edge).withColumn(flag, F.col("_edge.at.below") + rank <= F.col("_edge.n"))
+    below = F.col("_edge.at").isNull() | (F.col("_bucket") < F.col("_edge.at._bucket"))
+    outer = placed.filter(~in_edge).withColumn(flag, F.col("_in") & below)
+    return outer.unionByName(inner).drop("_key", "_bucket", "_edge", "_in")
 
 
 def group_positions(df: DataFrame, keys: list[str], key: Column, tie: list[str]) -> DataFrame:

@@ -53,14 +53,17 @@ def argmax_label(vector: str) -> Column:
     return V.first_top_code(vector)
 
 
-def linear_softmax(column: str, weights: list[np.ndarray]) -> Callable[[], Model]:
-    """A fixed multi-head model over a feature column: softmax of a linear map per head."""
+def linear_softmax(column: str, weights: Callable[[int], list[np.ndarray]]) -> Callable[[], Model]:
+    """A fixed multi-head model over a feature column: softmax of a linear map per head.
+
+    ``weights`` gives one (classes, features) matrix per head for a number of features.
+    """
 
     def load() -> Model:
         def predict(frame: pd.DataFrame) -> list[np.ndarray]:
             x = np.stack(frame[column].to_numpy()).astype(np.float64)
             out = []
-            for w in weights:
+            for w in weights(x.shape[1]):
                 z = x @ w.T
                 e = np.exp(z - z.max(axis=1, keepdims=True))
                 out.append(e / e.sum(axis=1, keepdims=True))

@@ -90,21 +90,42 @@ def first_image_per_day(df: DataFrame) -> DataFrame:
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
-# ---- row-local masks -----------------------------------------------------------------------------------
+# ---- masks ---------------------------------------------------------------------------------------------
 def _cover_is(name: str) -> Column:
+    """The image's top cover is ``name``."""
     return V.top_is("dominant_cover", S.WIDTHS["dominant_cover"], S.code("dominant_cover", name))
 
 
+def _day_cover_is(name: str) -> Column:
+    """The highest cover probability among all images of the day belongs to ``name``."""
+    day = f"OVER (PARTITION BY {SITE}, date)"
+    own = V.element_sql("dominant_cover", S.code("dominant_cover", name))
+    best = ", ".join(V.elements_sql("dominant_cover", S.WIDTHS["dominant_cover"]))
+    return F.expr(f"coalesce(max({own}) {day} >= max(greatest({best})) {day}, false)")
+
+
+def _masked(df: DataFrame, hit: Column, categories: Iterable[str]) -> DataFrame:
+    return df.withColumns({c: F.when(~hit, F.col(c)) for c in categories})
+
+
 def mask_snow_days(df: DataFrame) -> DataFrame:
-    """NULL crop_type and crop_status where snow is the top cover (ties count)."""
-    snow = _cover_is("snow")
-    return df.withColumns({c: F.when(~snow, F.col(c)) for c in CROP})
+    """NULL crop_type and crop_status on days whose top cover is snow (ties count)."""
+    return _masked(df.withColumn("_hit", _day_cover_is("snow")), F.col("_hit"), CROP).drop("_hit")
+
+
+def mask_snow_daily(df: DataFrame) -> DataFrame:
+    """:func:`mask_snow_days` for one row per day: row-local."""
+    return _masked(df, _cover_is("snow"), CROP)
 
 
 def mask_blurry_days(df: DataFrame) -> DataFrame:
-    """NULL all categories where blurry is the top cover (ties count)."""
-    blurry = _cover_is("blurry")
-    return df.withColumns({c: F.when(~blurry, F.col(c)) for c in S.CATEGORIES})
+    """NULL all categories on days whose top cover is blurry (ties count)."""
+    return _masked(df.withColumn("_hit", _day_cover_is("blurry")), F.col("_hit"), S.CATEGORIES).drop("_hit")
+
+
+def mask_blurry_daily(df: DataFrame) -> DataFrame:
+    """:func:`mask_blurry_days` for one row per day: row-local."""
+    return _masked(df, _cover_is("blurry"), S.CATEGORIES)
 
 
 def drop_blurry_renorm(df: DataFrame) -> DataFrame:
@@ -298,8 +319,8 @@ def with_site_and_date(pred: DataFrame) -> DataFrame:
 def clean_daily(daily: DataFrame, snow_gap: int = S.SNOW_GAP_ROWS, gap: int = S.BLUR_GAP_DAYS) -> DataFrame:
     """Daily images -> gap-filled daily series. The order is fixed: snow mask and its gaps first, blur mask after."""
     kept_widths = {c: w - 1 for c, w in S.WIDTHS.items()}
-    masked = interpolate_daily(mask_snow_days(daily), snow_gap)
-    calendar = fill_calendar_daily(drop_blurry_renorm(mask_blurry_days(masked)))
+    masked = interpolate_daily(mask_snow_daily(daily), snow_gap)
+    calendar = fill_calendar_daily(drop_blurry_renorm(mask_blurry_daily(masked)))
     return interpolate_daily(calendar, gap, widths=kept_widths)
 
 

@@ -11,6 +11,7 @@ from fieldstate import schema as S
 from fieldstate.functions import keys as K
 from fieldstate.functions import vectors as V
 from fieldstate.operators import sampling
+from fieldstate.sources.tables import stored
 
 LABELS = ("dominant_cover", "crop_type", "crop_status")
 
@@ -82,14 +83,11 @@ def holdout_split(
 
     ``site_regex`` is searched anywhere in the site name.
     """
-    held = df.select("filename", F.col("phenocam_name").rlike(site_regex).alias("held"))
-    wanted = held.agg(
-        (F.floor(F.count("*") * F.lit(fraction)) - F.count_if("held")).alias("n")
-    ).scalar()
-    rest = sampling.take_exactly(
-        held.filter(~F.col("held")).select("filename"), wanted, K.sample_key("filename", seed), ["filename"], "is_validation"
-    )
-    return held.filter("held").select("filename", F.lit(True).alias("is_validation")).unionByName(rest)
+    held = stored(df.select("filename", F.col("phenocam_name").rlike(site_regex).alias("held")))
+    # rows that do not take part are the held-out ones, which count against the wanted number
+    wanted = F.floor(F.col("all_rows") * F.lit(fraction)) - (F.col("all_rows") - F.col("all_taking"))
+    drawn = sampling.take_exactly(held, wanted, K.sample_key("filename", seed), ["filename"], "drawn", among="NOT held")
+    return drawn.select("filename", (F.col("held") | F.col("drawn")).alias("is_validation"))
 
 
 def balanced_weights(df: DataFrame, cols: tuple[str, ...] = LABELS) -> DataFrame:
@@ -114,6 +112,7 @@ def resample_balanced(
     draws meet rows in an equi-join.
     """
     cols = list(cols)
+    df = stored(df)
     key = K.sample_key(identity, seed)
     spans = sampling.bucket_spans(df, cols, key)
     combos = spans.groupBy(*cols).agg(F.sum("rows").alias("n_rows"))

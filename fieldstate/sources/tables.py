@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,18 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("year
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the cluster's checkpoint folder.
+
+    For results that several later steps read, so that a lost executor costs a re-read and not the whole lineage.
+    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where there is none.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def read_skip_header(spark: SparkSession, paths: str | list[str], skip: int, schema: T.StructType) -> DataFrame:
     """CSV files that start with ``skip`` preamble lines and then a header line; all files united.
 
