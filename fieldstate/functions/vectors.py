@@ -1,8 +1,8 @@
 """Expressions over probability vectors (``ARRAY<DOUBLE>`` of known width).
 
-Elements are addressed one by one instead of through lambda functions, so the expressions stay inside
-whole-stage code generation. They are written as SQL text: a wide expression is one call to the JVM instead of
-hundreds. Functions named ``*_sql`` return text, the others a Column.
+Elements that are needed on every row are addressed one by one instead of through lambda functions, so the
+expressions stay inside whole-stage code generation. They are written as SQL text: a wide expression is one call to
+the JVM instead of hundreds. Functions named ``*_sql`` return text, the others a Column.
 """
 
 from __future__ import annotations
@@ -42,14 +42,15 @@ def renormalised(vector: str, width: int, start: int) -> Column:
     return F.expr(f"CASE WHEN {total} <> 0 THEN array({', '.join(f'{p} / {total}' for p in kept)}) END")
 
 
-def between(vector: str, width: int, position: str, previous: str, following: str, max_gap: int) -> Column:
-    """The stored vector, or the straight line between its bounding marks (structs ``at``, ``v``) over a short gap."""
+def between(vector: str, position: str, previous: str, following: str, max_gap: int) -> Column:
+    """The stored vector, or the straight line between its bounding marks (structs ``at``, ``v``) over a short gap.
+
+    The line is a lambda function on purpose: it is evaluated on gap rows only, and writing it out per element makes
+    generated methods too large for the JVM to compile.
+    """
     span = f"({following}.at - {previous}.at)"
-    share = f"(({position} - {previous}.at) / {span})"
-    line = ", ".join(
-        f"get({previous}.v, {k}) + (get({following}.v, {k}) - get({previous}.v, {k})) * {share}" for k in range(width)
-    )
-    return F.expr(f"CASE WHEN {vector} IS NOT NULL THEN {vector} WHEN {span} - 1 <= {max_gap} THEN array({line}) END")
+    line = f"zip_with({previous}.v, {following}.v, (a, b) -> a + (b - a) * (({position} - {previous}.at) / {span}))"
+    return F.expr(f"CASE WHEN {vector} IS NOT NULL THEN {vector} WHEN {span} - 1 <= {max_gap} THEN {line} END")
 
 
 def first_top_code_sql(vector: str) -> str:

@@ -160,10 +160,6 @@ def fill_calendar_daily(df: DataFrame) -> DataFrame:
 
 
 # ---- interpolation -------------------------------------------------------------------------------------
-def _widths(df: DataFrame, widths: dict[str, int] | None) -> dict[str, int]:
-    return widths or {c: w for c, w in S.WIDTHS.items() if c in df.columns}
-
-
 def _mark(c: str, at: str) -> str:
     """Position and vector of a present value, NULL otherwise."""
     return f"CASE WHEN {c} IS NOT NULL THEN named_struct('at', {at}, 'v', {c}) END"
@@ -174,39 +170,35 @@ def _last(value: str, window: str) -> str:
     return f"last({value}, true) OVER ({window} {BEFORE})"
 
 
-def interpolate_daily(
-    df: DataFrame, max_gap: int, by: str = "row", widths: dict[str, int] | None = None
-) -> DataFrame:
+def interpolate_daily(df: DataFrame, max_gap: int, by: str = "row") -> DataFrame:
     """Fill gaps of at most ``max_gap`` NULL vectors per category, one row per site and day.
 
     Distance is counted in rows (``by="row"``) or days (``by="date"``). Gaps at the ends stay NULL. The next
     value is found by a running frame in reverse order, as a frame over following rows is recomputed per row.
     """
-    widths = _widths(df, widths)
+    vectors = [c for c in S.CATEGORIES if c in df.columns]
     position = f"row_number() OVER ({BY_DATE})" if by == "row" else "unix_date(date)"
     rows = df.selectExpr("*", f"{position} AS _at")
-    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_at'), BY_DATE)} AS _p_{c}" for c in widths])
-    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_at'), BY_DATE_DESC)} AS _n_{c}" for c in widths])
-    filled = {c: V.between(c, w, "_at", f"_p_{c}", f"_n_{c}", max_gap) for c, w in widths.items()}
+    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_at'), BY_DATE)} AS _p_{c}" for c in vectors])
+    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_at'), BY_DATE_DESC)} AS _n_{c}" for c in vectors])
+    filled = {c: V.between(c, "_at", f"_p_{c}", f"_n_{c}", max_gap) for c in vectors}
     return rows.select(*[filled[c].alias(c) if c in filled else c for c in df.columns])
 
 
-def interpolate_gaps(
-    df: DataFrame, max_gap: int, by: str = "row", order: str = "file", widths: dict[str, int] | None = None
-) -> DataFrame:
+def interpolate_gaps(df: DataFrame, max_gap: int, by: str = "row", order: str = "file") -> DataFrame:
     """:func:`interpolate_daily` for any number of rows per day, ordered by date and ``order`` within the day.
 
     Rows are windowed per (site, day). A one-row summary per day (row count, first and last vector) is carried
     along the site's calendar and joined back, so no task holds all images of a site.
     """
-    widths = _widths(df, widths)
+    vectors = [c for c in S.CATEGORIES if c in df.columns]
     day = [SITE, "date"]
     in_day, in_day_desc = (f"PARTITION BY {SITE}, date ORDER BY {order}{d}" for d in ("", " DESC"))
     rows = df.selectExpr("*", f"row_number() OVER ({in_day}) AS _row")
     # a day's first and last present row, as (row, vector)
     edges = [
         f"{f}_by({_mark(c, '_row')}, CASE WHEN {c} IS NOT NULL THEN _row END) AS _{name}_{c}"
-        for c in widths
+        for c in vectors
         for f, name in (("min", "first"), ("max", "last"))
     ]
     summary = rows.groupBy(*day).agg(F.expr("count(*) AS _rows"), *[F.expr(e) for e in edges])
@@ -220,16 +212,16 @@ def interpolate_gaps(
         return f"CASE WHEN {mark} IS NOT NULL THEN named_struct('at', {at}, 'v', {mark}.v) END"
 
     carried = summary.selectExpr("*", f"CAST({offset} AS BIGINT) AS _offset")
-    carried = carried.selectExpr("*", *[f"{_last(placed(f'_last_{c}'), BY_DATE)} AS _dp_{c}" for c in widths])
-    carried = carried.selectExpr("*", *[f"{_last(placed(f'_first_{c}'), BY_DATE_DESC)} AS _dn_{c}" for c in widths])
-    carried = carried.select(*day, "_offset", *[f"_d{s}_{c}" for s in "pn" for c in widths])
+    carried = carried.selectExpr("*", *[f"{_last(placed(f'_last_{c}'), BY_DATE)} AS _dp_{c}" for c in vectors])
+    carried = carried.selectExpr("*", *[f"{_last(placed(f'_first_{c}'), BY_DATE_DESC)} AS _dn_{c}" for c in vectors])
+    carried = carried.select(*day, "_offset", *[f"_d{s}_{c}" for s in "pn" for c in vectors])
 
-    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_row'), in_day)} AS _lp_{c}" for c in widths])
-    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_row'), in_day_desc)} AS _ln_{c}" for c in widths])
+    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_row'), in_day)} AS _lp_{c}" for c in vectors])
+    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_row'), in_day_desc)} AS _ln_{c}" for c in vectors])
     joined = rows.join(carried, day)
-    bounds = [f"coalesce({placed(f'_l{s}_{c}')}, _d{s}_{c}) AS _{s}_{c}" for s in "pn" for c in widths]
+    bounds = [f"coalesce({placed(f'_l{s}_{c}')}, _d{s}_{c}) AS _{s}_{c}" for s in "pn" for c in vectors]
     joined = joined.selectExpr(*df.columns, f"_offset + {'_row' if by_row else '0'} AS _at", *bounds)
-    filled = {c: V.between(c, w, "_at", f"_p_{c}", f"_n_{c}", max_gap) for c, w in widths.items()}
+    filled = {c: V.between(c, "_at", f"_p_{c}", f"_n_{c}", max_gap) for c in vectors}
     return joined.select(*[filled[c].alias(c) if c in filled else c for c in df.columns])
 
 
@@ -318,10 +310,9 @@ def with_site_and_date(pred: DataFrame) -> DataFrame:
 
 def clean_daily(daily: DataFrame, snow_gap: int = S.SNOW_GAP_ROWS, gap: int = S.BLUR_GAP_DAYS) -> DataFrame:
     """Daily images -> gap-filled daily series. The order is fixed: snow mask and its gaps first, blur mask after."""
-    kept_widths = {c: w - 1 for c, w in S.WIDTHS.items()}
     masked = interpolate_daily(mask_snow_daily(daily), snow_gap)
     calendar = fill_calendar_daily(drop_blurry_renorm(mask_blurry_daily(masked)))
-    return interpolate_daily(calendar, gap, widths=kept_widths)
+    return interpolate_daily(calendar, gap)
 
 
 def prep_for_hmm(

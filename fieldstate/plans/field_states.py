@@ -56,7 +56,7 @@ def final_table(prepared: DataFrame, max_days: int = S.UNKNOWN_CROP_MAX_DAYS) ->
     counts = [f"_c{i}" for i in range(len(GROWING))]
     days = days.selectExpr(
         SITE, "date", *S.HMM_MODELS, "_segment",
-        *[f"sum(_v{k}) {segment} AS _t{k}" for k in VOTES],
+        *[f"round(sum(_v{k}) {segment}, {croptype.VOTE_DIGITS}) AS _t{k}" for k in VOTES],
         *[f"count_if(crop_status = '{s}') {segment} AS {c}" for s, c in zip(GROWING, counts)],
     )
 

@@ -214,7 +214,7 @@ FROM (SELECT phenocam_name, date, hmm_class AS crop_status,
         CASE WHEN date - lag(date) OVER (PARTITION BY phenocam_name ORDER BY date) <> 1 THEN 1 ELSE 0 END AS j
       FROM hmm_status WHERE hmm_class <> 'no_crop')"""
 CTES["vote_sums"] = """
-SELECT s.phenocam_name, s.crop_sequence_id, o.class AS crop_class, sum(o.probability) AS total_probability
+SELECT s.phenocam_name, s.crop_sequence_id, o.class AS crop_class, round(sum(o.probability), 9) AS total_probability
 FROM o_seq o JOIN segments s ON s.phenocam_name = o.phenocam_name AND s.date = o.date
 WHERE o.category = 'crop_type' AND o.class <> 'unknown_plant' GROUP BY ALL"""
 CTES["votes"] = """
