@@ -54,27 +54,18 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _weights(label: str, width: int) -> list[str]:
-    """Integer weight per class: a constant for the true class, a varying part, and blur on some images."""
-    weights = [f"IF({label} = {k}, 60, 0) + (h + {37 * k * k + 11 * k}) % 40" for k in range(width)]
-    weights[0] += " + IF(h % 29 = 0, 200, 0)"
-    return weights
+def _probabilities(label: str, width: int) -> str:
+    """Vector of class shares, to 4 decimals: a constant for the true class, a varying part, and blur on some images."""
+    weights = [f"(IF({label} = {k}, 60, 0) + (h + {37 * k * k + 11 * k}) % 40)" for k in range(width)]
+    weights[0] = f"({weights[0]} + IF(h % 29 = 0, 200, 0))"
+    total = f"({' + '.join(weights)})"
+    return f"array({', '.join(f'floor(CAST({w} AS DOUBLE) / {total} * 10000 + 0.5) / 10000' for w in weights)})"
 
 
 def scored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`images` with one vector per category: class shares to 4 decimals."""
-    labels = dict(zip(S.CATEGORIES, ("dc", "ct", "cs")))
-    names = {c: [f"{label}_{k}" for k in range(S.WIDTHS[c])] for c, label in labels.items()}
-    weighted = images(spark, sf_dir).selectExpr(
-        "phenocam_name", "date", "file", "h",
-        *[f"{w} AS {n}" for c, label in labels.items() for w, n in zip(_weights(label, S.WIDTHS[c]), names[c])],
-    )
-    totals = weighted.selectExpr("*", *[f"{' + '.join(names[c])} AS {label}_all" for c, label in labels.items()])
-    vectors = [
-        "array(" + ", ".join(f"floor(CAST({n} AS DOUBLE) / {label}_all * 10000 + 0.5) / 10000" for n in names[c]) + f") AS {c}"
-        for c, label in labels.items()
-    ]
-    return totals.selectExpr("phenocam_name", "date", "file", "h", *vectors)
+    vectors = [f"{_probabilities(label, S.WIDTHS[c])} AS {c}" for c, label in zip(S.CATEGORIES, ("dc", "ct", "cs"))]
+    return images(spark, sf_dir).selectExpr("phenocam_name", "date", "file", "h", *vectors)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
