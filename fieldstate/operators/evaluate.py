@@ -171,12 +171,15 @@ def overall_metrics(metrics: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def confusion_matrix(pairs: DataFrame) -> DataFrame:
     """Counts per (category, data_type, true_class, predicted_class), zero for absent pairs of observed values."""
-    keys = ("category", "data_type", "true_class", "predicted_class")
-    counts = confusion_counts(pairs, keys[:2])
-    # the grid is built from three small sets per category, not from a product of tables
-    observed = counts.groupBy("category").agg(*[F.collect_set(k).alias(k) for k in keys[1:]])
-    grid = reduce(lambda df, k: df.withColumn(k, F.explode(k)), keys[1:], observed)
-    return grid.join(counts, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    axes = ("data_type", "true_class", "predicted_class")
+    counts = confusion_counts(pairs, ("category", "data_type"))
+    # one small row per category: the observed values and the counted cells; the grid is unfolded from it
+    cell = F.struct(*axes)
+    folded = counts.groupBy("category").agg(
+        *[F.collect_set(a).alias(a) for a in axes], F.map_from_entries(F.collect_list(F.struct(cell.alias("at"), "n"))).alias("cells")
+    )
+    grid = reduce(lambda df, a: df.withColumn(a, F.explode(a)), axes, folded)
+    return grid.select("category", *axes, F.coalesce(F.try_element_at("cells", cell), F.lit(0).cast("bigint")).alias("n"))
 
 
 def metric_labels(metrics: DataFrame) -> DataFrame:

@@ -170,6 +170,11 @@ def _last(value: str, window: str) -> str:
     return f"last({value}, true) OVER ({window} {BEFORE})"
 
 
+def _bound(c: str, at: str, window: str) -> str:
+    """The mark before the row, kept on gap rows only: the next sort then moves narrow rows."""
+    return f"CASE WHEN {c} IS NULL THEN {_last(_mark(c, at), window)} END"
+
+
 def interpolate_daily(df: DataFrame, max_gap: int, by: str = "row") -> DataFrame:
     """Fill gaps of at most ``max_gap`` NULL vectors per category, one row per site and day.
 
@@ -179,8 +184,8 @@ def interpolate_daily(df: DataFrame, max_gap: int, by: str = "row") -> DataFrame
     vectors = [c for c in S.CATEGORIES if c in df.columns]
     position = f"row_number() OVER ({BY_DATE})" if by == "row" else "unix_date(date)"
     rows = df.selectExpr("*", f"{position} AS _at")
-    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_at'), BY_DATE)} AS _p_{c}" for c in vectors])
-    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_at'), BY_DATE_DESC)} AS _n_{c}" for c in vectors])
+    rows = rows.selectExpr("*", *[f"{_bound(c, '_at', BY_DATE)} AS _p_{c}" for c in vectors])
+    rows = rows.selectExpr("*", *[f"{_bound(c, '_at', BY_DATE_DESC)} AS _n_{c}" for c in vectors])
     filled = {c: V.between(c, "_at", f"_p_{c}", f"_n_{c}", max_gap) for c in vectors}
     return rows.select(*[filled[c].alias(c) if c in filled else c for c in df.columns])
 
@@ -216,8 +221,8 @@ def interpolate_gaps(df: DataFrame, max_gap: int, by: str = "row", order: str =
     carried = carried.selectExpr("*", *[f"{_last(placed(f'_first_{c}'), BY_DATE_DESC)} AS _dn_{c}" for c in vectors])
     carried = carried.select(*day, "_offset", *[f"_d{s}_{c}" for s in "pn" for c in vectors])
 
-    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_row'), in_day)} AS _lp_{c}" for c in vectors])
-    rows = rows.selectExpr("*", *[f"{_last(_mark(c, '_row'), in_day_desc)} AS _ln_{c}" for c in vectors])
+    rows = rows.selectExpr("*", *[f"{_bound(c, '_row', in_day)} AS _lp_{c}" for c in vectors])
+    rows = rows.selectExpr("*", *[f"{_bound(c, '_row', in_day_desc)} AS _ln_{c}" for c in vectors])
     joined = rows.join(carried, day)
     bounds = [f"coalesce({placed(f'_l{s}_{c}')}, _d{s}_{c}) AS _{s}_{c}" for s in "pn" for c in vectors]
     joined = joined.selectExpr(*df.columns, f"_offset + {'_row' if by_row else '0'} AS _at", *bounds)

@@ -16,6 +16,7 @@ from fieldstate.operators import islands as I
 from fieldstate.plans import field_states as plan
 from fieldstate.sources import derived as D
 from fieldstate.sources import manifests
+from fieldstate.sources.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,9 +90,9 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.truth_table(D.annotations(spark, d), split(spark, d))
 
 
-def raw_pairs(spark: SparkSession, d: str) -> DataFrame:
+def raw_pairs(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
     top = evaluate.maxprob_class(D.observations(spark, d))
-    return evaluate.raw_eval_set(truth(spark, d), top).withColumnRenamed("maxprob_class", "predicted_class")
+    return evaluate.raw_eval_set(known or truth(spark, d), top).withColumnRenamed("maxprob_class", "predicted_class")
 
 
 def final_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -287,7 +288,8 @@ def balanced_weights(spark, d):
 
 @query
 def resample_balanced(spark, d):
-    train = all_images(spark, d).join(split(spark, d).filter("NOT is_validation").select("filename"), "filename")
+    images = stored(all_images(spark, d))
+    train = images.join(training.holdout_split(images, HELD_OUT).filter("NOT is_validation").select("filename"), "filename")
     return training.resample_balanced(train).select("draw", "filename", *training.LABELS)
 
 
@@ -600,7 +602,8 @@ def class_metrics_final(spark, d):
 
 @query
 def overall_metrics(spark, d):
-    return _rounded_metrics(evaluate.overall_metrics(evaluate.class_metrics(raw_pairs(spark, d)), evaluate.sample_sizes(truth(spark, d))))
+    known = truth(spark, d)
+    return _rounded_metrics(evaluate.overall_metrics(evaluate.class_metrics(raw_pairs(spark, d, known)), evaluate.sample_sizes(known)))
 
 
 @query
@@ -615,7 +618,8 @@ def confusion_matrix_final(spark, d):
 
 @query
 def metric_labels(spark, d):
-    sized = evaluate.with_sample_sizes(evaluate.class_metrics(raw_pairs(spark, d)), evaluate.sample_sizes(truth(spark, d)))
+    known = truth(spark, d)
+    sized = evaluate.with_sample_sizes(evaluate.class_metrics(raw_pairs(spark, d, known)), evaluate.sample_sizes(known))
     return evaluate.metric_labels(sized)
 
 
