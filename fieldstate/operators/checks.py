@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +17,16 @@ def undated_files(pred: DataFrame) -> DataFrame:
 def sequence_violations(df: DataFrame) -> DataFrame:
     """(phenocam_name, date, category, share_missing): days whose values of a category are not all there or all missing,
     and days that occur more than once in a table that should hold one row per day."""
-    parts = []
-    for category in (c for c in S.CATEGORIES if c in df.columns):
-        holes = F.size(F.filter(category, lambda p: p.isNull()))
-        size = F.lit(S.WIDTHS[category])
-        missing = F.when(F.col(category).isNull(), 1.0).otherwise(holes / size)
-        parts.append(
-            df.groupBy("phenocam_name", "date")
-            .agg(F.avg(missing).alias("share_missing"), F.count("*").alias("n"))
-            .filter((~F.col("share_missing").isin(0.0, 1.0)) | (F.col("n") > 1))
-            .select("phenocam_name", "date", F.lit(category).alias("category"), "share_missing")
-        )
-    return reduce(DataFrame.unionByName, parts)
+    categories = [c for c in S.CATEGORIES if c in df.columns]
+
+    def missing(category: str) -> str:
+        holes = f"size(filter({category}, p -> p IS NULL)) / {S.WIDTHS[category]}"
+        return f"avg(CASE WHEN {category} IS NULL THEN 1.0D ELSE {holes} END) AS {category}"
+
+    days = df.groupBy("phenocam_name", "date").agg(F.expr("count(*) AS n"), *[F.expr(missing(c)) for c in categories])
+    rows = ", ".join(f"named_struct('category', '{c}', 'share_missing', {c})" for c in categories)
+    shares = days.selectExpr("phenocam_name", "date", "n", f"inline(array({rows}))")
+    return shares.filter("n > 1 OR share_missing NOT IN (0.0D, 1.0D)").drop("n")
 
 
 def split_assertions(split: DataFrame, site_regex: str = S.VALIDATION_SITES) -> DataFrame:
