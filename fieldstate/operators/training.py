@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fieldstate import schema as S
 from fieldstate.functions import keys as K
-from fieldstate.functions import vectors as V
 from fieldstate.operators import sampling
 from fieldstate.sources.tables import stored
 
@@ -207,8 +206,3 @@ def crop_plan(
 def crop_plan_violations(meta: DataFrame, crop_dim: int, height_cutoff: float = 0.5) -> DataFrame:
     _, room_y, room_x = _crop_room(crop_dim, height_cutoff)
     return meta.filter(~F.coalesce((room_y > 0) & (room_x > 0), F.lit(False)))
-
-
-def labelled(df: DataFrame) -> DataFrame:
-    """Class names beside the codes of the three label columns."""
-    return df.select("*", *[V.class_name(c, c).alias(f"{c}_class") for c in LABELS])
