@@ -141,3 +141,13 @@ def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     s = suffix_array_dedup(docs.select("doc_id", "text"))
     return s.select("doc_id", "suffixes.n_bytes", "suffixes.n_removed", "suffixes.n_spans", F.col("suffixes.sha256").alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with each text cut to what is kept and n_chars following it; a null text stays null."""
+    out = suffix_array_dedup(docs)
+    text = F.when(F.col("text").isNotNull(), F.col("suffixes.kept"))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
