@@ -67,7 +67,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             f"OR (i + 1 < size(_s) AND {key.format('_s[i + 1]')} = {key.format('x')}))"))
         .withColumn("_m", F.struct(
             F.expr("cast(_n as long)").alias("n_words"),
-            F.expr(r"cast(length(translate(_t, ' \t\n' || chr(11) || '\f\r', '')) as long)").alias("word_chars"),
+            F.expr(r"cast(length(translate(_t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as long)").alias("word_chars"),
             F.expr("cast(length(_t) - length(translate(_t, '#*$%&|<>', '')) as long)").alias("n_symbols"),
             F.expr("cast(length(_t) - length(translate(_t, '!?', '')) as long)").alias("n_marks"),
             F.expr("cast(size(_l) as long)").alias("n_lines"),
