@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -77,7 +78,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.ndarray,
 
 
 def all_runs(docs: DataFrame, w: Windows) -> DataFrame:
-    """(anchor long, id long, run long) of every document; ``docs`` has (id, text)."""
+    """(anchor long, id long, run long) of every document; ``docs`` has (id, text), and a hash (scope) to keep scopes apart."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,15 +86,22 @@ def all_runs(docs: DataFrame, w: Windows) -> DataFrame:
             data, offsets = C.buffers(batch.column(1))
             for a, b in C.slices(offsets):
                 anchor, row, run = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], w)
+                if batch.num_columns > 2:
+                    scope = batch.column(2).to_numpy(zero_copy_only=False)[a:b]
+                    anchor = C.mix(anchor.view(C.U) ^ scope[row].view(C.U)).view(np.int64)
                 yield pa.record_batch([pa.array(anchor), pa.array(ids[a:b][row]), pa.array(run)], ["anchor", "id", "run"])
 
     return docs.mapInArrow(emit, "anchor long, id long, run long")
 
 
-def repeated_runs(docs: DataFrame, w: Windows, label: str) -> DataFrame:
-    """Per document its runs whose anchor stands more than once: (id, runs array of (anchor, run, hot))."""
+def repeated_runs(docs: DataFrame, w: Windows, label: str, apart: bool = False) -> DataFrame:
+    """Per document its runs whose anchor stands more than once (in two documents, if ``apart``): (id, runs array of
+    (anchor, run, hot))."""
     places = all_runs(docs, w)
-    counted = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    if apart:
+        counted = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor", "n")
+    else:
+        counted = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     kept = places.join(counted, "anchor").select("id", F.struct("anchor", "run", (F.col("n") > w.hot).alias("hot")).alias("r"))
     return C.written(kept.groupBy("id").agg(F.collect_list("r").alias("runs")), label)
 
@@ -181,30 +189,40 @@ def hot_windows(marked: DataFrame, w: Windows) -> DataFrame:
 Judge = Callable[[list[list[bytes]]], Iterator[tuple[int, int, int, int]]]
 
 
+def whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole anchors from batches sorted by anchor, and where each anchor begins (and the last one ends)."""
+    rest = None
+    for batch in chain(batches, [None]):
+        if batch is not None and not len(batch):
+            continue
+        table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if table is None or not len(table):
+            continue
+        anchors = table.column(0).combine_chunks().to_numpy()
+        cut = len(anchors) if batch is None else int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
+        rest = table.slice(cut)
+        if cut:
+            edges = np.flatnonzero(np.append(True, anchors[1:cut] != anchors[: cut - 1])).tolist()
+            yield table.slice(0, cut), [*edges, cut]
+
+
+def by_anchor(cold: DataFrame) -> DataFrame:
+    return cold.repartition("anchor").sortWithinPartitions("anchor")
+
+
 def first_runs(cold: DataFrame, w: Windows, judge: Judge) -> DataFrame:
     """(id, start, n): windows that stand for the first time, for all anchors that are not hot."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            anchors = table.column(0).combine_chunks().to_numpy()
-            if not len(anchors):
-                continue
-            cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on in the next batch
-            rest = table.slice(cut)
-            if cut:
-                yield judged(table.slice(0, cut), anchors[:cut], judge)
-        if rest is not None and len(rest):
-            yield judged(rest, rest.column(0).combine_chunks().to_numpy(), judge)
+        for table, edges in whole_anchors(batches):
+            yield judged(table, edges, judge)
 
-    return cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(emit, "id long, start long, n long")
+    return by_anchor(cold).mapInArrow(emit, "id long, start long, n long")
 
 
-def judged(table: pa.Table, anchors: np.ndarray, judge: Judge) -> pa.RecordBatch:
+def judged(table: pa.Table, edges: list[int], judge: Judge) -> pa.RecordBatch:
     ids, run = table.column(1).to_pylist(), table.column(2).to_pylist()
     content = table.column(3).to_pylist()
-    edges = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1])).tolist() + [len(anchors)]
     out: tuple[list, list, list] = ([], [], [])
     groups, owners = [], []
     for a, b in zip(edges, edges[1:]):
@@ -235,14 +253,14 @@ def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
 def marked_documents(docs: DataFrame, w: Windows, judge: Judge, label: str, text_col: str = "text") -> DataFrame:
     """``docs`` with two more columns for ``covered``: ``_runs`` (repeated anchors' windows) and ``_firsts`` (windows first there).
 
-    ``docs`` needs a column ``_key`` from ``common.key``.
+    ``docs`` needs a column ``_key`` from ``common.key``. If it holds nothing else but the text, one shuffle of the texts
+    serves both joins.
     """
-    brief = docs.select(F.col("_key").alias("id"), F.col(text_col).alias("text"))
-    found = repeated_runs(brief, w, label)
-    marked = brief.join(found, "id")
+    found = repeated_runs(docs.select(F.col("_key").alias("id"), F.col(text_col).alias("text")), w, label).withColumnRenamed("id", "_key")
+    marked = docs.select("_key", text_col).join(found, "_key")
     both = first_runs(cold_runs(marked, w), w, judge).unionByName(hot_windows(marked, w))
     firsts = both.groupBy(F.col("id").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("_firsts"))
-    compact = found.select(F.col("id").alias("_key"), F.transform("runs", lambda r: r["run"]).alias("_runs"))
+    compact = found.select("_key", F.transform("runs", lambda r: r["run"]).alias("_runs"))
     return docs.join(compact.join(firsts, "_key", "left"), "_key", "left")
 
 

@@ -115,9 +115,13 @@ def substring_dedup(
         kept = pa.array(out[2], pa.binary()).cast(pa.string())
         return pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), kept], ["n_words", "n_removed", "kept"])
 
-    keyed = docs.withColumn("_key", C.key(id_col))
+    plain = set(docs.columns) == {id_col, text_col}
+    keyed = docs.select(C.key(id_col).alias("_key"), text_col) if plain else docs.withColumn("_key", C.key(id_col))
     marked = A.marked_documents(keyed, w, judge(window), "substring", text_col)
-    return marked.withColumn("substring", cut(text_col, "_runs", "_firsts")).drop("_key", "_runs", "_firsts")
+    out = marked.withColumn("substring", cut(text_col, "_runs", "_firsts"))
+    if plain:
+        out = out.withColumn(id_col, F.when(F.col("_key") != C.NO_ID, F.col("_key")).cast(docs.schema[id_col].dataType))
+    return out.select(*docs.columns, "substring")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -132,9 +132,13 @@ def suffix_array_dedup(
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
-    keyed = docs.withColumn("_key", C.key(id_col))
+    plain = set(docs.columns) == {id_col, text_col}
+    keyed = docs.select(C.key(id_col).alias("_key"), text_col) if plain else docs.withColumn("_key", C.key(id_col))
     marked = A.marked_documents(keyed, w, judge(window), "suffixes", text_col)
-    return marked.withColumn("suffixes", cut(text_col, "_runs", "_firsts")).drop("_key", "_runs", "_firsts")
+    out = marked.withColumn("suffixes", cut(text_col, "_runs", "_firsts"))
+    if plain:
+        out = out.withColumn(id_col, F.when(F.col("_key") != C.NO_ID, F.col("_key")).cast(docs.schema[id_col].dataType))
+    return out.select(*docs.columns, "suffixes")
 
 
 def digest(docs: DataFrame) -> DataFrame:
