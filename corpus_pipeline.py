@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldstate.llm import quality, suffixarray
+from fieldstate.llm import decontaminate, packing, quality, suffixarray, superminhash
 from fieldstate.llm.common import written
 
 
@@ -13,12 +14,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs).filter("quality.kept").select(*docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: 5-word shingles, similarity 0.8; texts without words all stay."""
+    return superminhash.near_duplicates(docs).filter("near.kept").select(*docs.columns)
+
+
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that an earlier one has; lengths follow the text."""
+    """All documents, without the byte strings that an earlier one has; lengths follow the text."""
     return suffixarray.without_repeats(docs)
 
 
-STAGES = [("quality", quality_stage), ("suffix_dedup", suffix_stage)]
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("suffix_dedup", suffix_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
