@@ -99,9 +99,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     """
     m = measures(docs, text_col).withColumns({"_b": base_failed(), "_f": failed_rules(rules)})
     kept = (~F.col("_b")) & (F.size("_f") == 0)
-    return m.withColumn("quality", F.struct("_m.*", F.col("_b").alias("base_failed"), F.col("_f").alias("failed"), kept.alias("kept"))).drop(
-        "_m", "_b", "_f"
-    )
+    verdict = F.struct("_m.*", F.col("_b").alias("base_failed"), F.col("_f").alias("failed"), kept.alias("kept"))
+    # a generated column: a later filter on it must not be rewritten in terms of the arrays below, once for every mention
+    return m.withColumn("quality", F.explode(F.array(verdict))).drop("_m", "_b", "_f")
 
 
 def digest(docs: DataFrame) -> DataFrame:
