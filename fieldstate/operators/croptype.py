@@ -11,7 +11,7 @@ from fieldstate.operators import islands as I
 
 SEGMENT = ["phenocam_name", "crop_sequence_id"]
 VOTED = S.CLASSES["crop_type"][2:]  # without blurry and unknown_plant
-VOTE_DIGITS = 9  # totals that agree to this precision are tied, so the order of summation decides nothing
+SCALE = 1 << 40  # probabilities are summed as whole numbers of this part, so the order of summation decides nothing
 
 
 def pivot_states(hmm: DataFrame) -> DataFrame:
@@ -31,9 +31,14 @@ def crop_segments(hmm: DataFrame) -> DataFrame:
     )
 
 
+def exact_sql(p: str) -> str:
+    """A probability as a whole number."""
+    return f"cast(round({p} * {SCALE}) as bigint)"
+
+
 def segment_class_votes(type_probs: DataFrame, segments: DataFrame) -> DataFrame:
     """Total probability per segment and class, unknown_plant left out."""
-    sums = [F.round(F.sum(V.element("probabilities", i + 1)), VOTE_DIGITS).alias(name) for i, name in enumerate(VOTED)]
+    sums = [F.expr(f"sum({exact_sql(f'get(probabilities, {i + 1})')}) / {SCALE}.0D AS `{name}`") for i, name in enumerate(VOTED)]
     totals = (
         type_probs.select("phenocam_name", "date", "probabilities")
         .join(segments.select("phenocam_name", "date", "crop_sequence_id"), ["phenocam_name", "date"])

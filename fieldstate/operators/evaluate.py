@@ -19,6 +19,11 @@ METRICS = (
 )
 
 
+def of_images(obs: DataFrame, files: DataFrame, name: str = "filename") -> DataFrame:
+    """Rows of the listed images only. Applied before any mean, so that few annotated images cost few rows."""
+    return obs.join(files.select(F.col(name).alias("file")).distinct(), "file", "left_semi").select(*obs.columns)
+
+
 # ---- class of highest probability ----------------------------------------------------------------------
 def image_means(obs: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Mean vector per image; rows of one image are united by partial aggregation."""
@@ -78,6 +83,12 @@ def split_counts(split: DataFrame, sites: tuple[str, ...]) -> DataFrame:
     )
 
 
+def truth_counts(truth: DataFrame, sites: tuple[str, ...]) -> DataFrame:
+    """(data_type, is_validation_site, n_images): distinct annotated images; site names are compared whole."""
+    images = truth.select("filename", "phenocam_name", "data_type").distinct()
+    return images.groupBy("data_type", F.col("phenocam_name").isin(*sites).alias("is_validation_site")).agg(F.count("*").alias("n_images"))
+
+
 def sample_sizes(truth: DataFrame) -> DataFrame:
     return truth.groupBy("category", F.col("true_class").alias("class"), "data_type").agg(F.count("*").alias("sample_size"))
 
@@ -103,16 +114,15 @@ def hmm_eval_set(truth: DataFrame, final: DataFrame) -> DataFrame:
 
 
 def raw_eval_set(truth: DataFrame, maxprob: DataFrame) -> DataFrame:
-    """Truth with the class of highest probability, per image and category."""
+    """Truth with the class of highest probability, per image and category; NULL for images without a prediction."""
     predicted = maxprob.select(F.col("file").alias("filename"), "category", "maxprob_class")
-    return truth.join(predicted, ["filename", "category"]).select(*truth.columns, "maxprob_class")
+    return truth.join(predicted, ["filename", "category"], "left").select(*truth.columns, "maxprob_class")
 
 
 # ---- metrics -------------------------------------------------------------------------------------------
-def confusion_counts(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def confusion_counts(pairs: DataFrame, keys: tuple[str, ...], known: str = "true_class IS NOT NULL AND predicted_class IS NOT NULL") -> DataFrame:
     """Counts per (keys, true_class, predicted_class): partial aggregation, at most classes x classes rows per key."""
-    known = pairs.filter(F.col("true_class").isNotNull() & F.col("predicted_class").isNotNull())
-    return known.groupBy(*keys, "true_class", "predicted_class").agg(F.count("*").alias("n"))
+    return pairs.filter(known).groupBy(*keys, "true_class", "predicted_class").agg(F.count("*").alias("n"))
 
 
 def class_metrics(
@@ -170,16 +180,20 @@ def overall_metrics(metrics: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(pairs: DataFrame) -> DataFrame:
-    """Counts per (category, data_type, true_class, predicted_class), zero for absent pairs of observed values."""
+    """Counts per (category, data_type, true_class, predicted_class), zero for absent pairs of observed values.
+
+    A missing prediction is a level of its own, NULL.
+    """
     axes = ("data_type", "true_class", "predicted_class")
-    counts = confusion_counts(pairs, ("category", "data_type"))
+    counts = confusion_counts(pairs.fillna("", "predicted_class"), ("category", "data_type"), "true_class IS NOT NULL")
     # one small row per category: the observed values and the counted cells; the grid is unfolded from it
     cell = F.struct(*axes)
     folded = counts.groupBy("category").agg(
         *[F.collect_set(a).alias(a) for a in axes], F.map_from_entries(F.collect_list(F.struct(cell.alias("at"), "n"))).alias("cells")
     )
     grid = reduce(lambda df, a: df.withColumn(a, F.explode(a)), axes, folded)
-    return grid.select("category", *axes, F.coalesce(F.try_element_at("cells", cell), F.lit(0).cast("bigint")).alias("n"))
+    n = F.coalesce(F.try_element_at("cells", cell), F.lit(0).cast("bigint"))
+    return grid.select("category", *axes[:2], F.nullif("predicted_class", F.lit("")).alias("predicted_class"), n.alias("n"))
 
 
 def metric_labels(metrics: DataFrame) -> DataFrame:
@@ -200,6 +214,16 @@ def metric_labels(metrics: DataFrame) -> DataFrame:
     return wide.select("category", "term", "class", label.alias("error_text"))
 
 
+def report_labels(metrics: DataFrame, sizes: DataFrame) -> DataFrame:
+    """:func:`metric_labels` of the classes and of all classes together, with class_label and facet_label.
+
+    As on a report's axis, classes outside the display order have no label.
+    """
+    rows = with_sample_sizes(metrics, sizes).unionByName(overall_metrics(metrics, sizes))
+    facet = F.concat(F.initcap("term"), F.lit(": "), F.initcap(F.replace("category", F.lit("_"), F.lit(" "))))
+    return metric_labels(rows).withColumns({"class_label": N.display_label("class"), "facet_label": facet})
+
+
 def class_rank_label(df: DataFrame, col: str = "class") -> DataFrame:
     """Add class_rank and class_label of the fixed report order."""
     return df.select("*", N.display_rank(col).alias("class_rank"), N.display_label(col).alias("class_label"))
@@ -217,7 +241,8 @@ def timeseries_panel(
 ) -> DataFrame:
     """Plot-ready rows (series, phenocam_name, year, date, category, class, probability, class_rank).
 
-    ``series`` is ``probability`` (all classes), ``maxprob`` or ``hmm``. The site and year filters reach the scan.
+    ``series`` is ``probability`` (all classes), ``maxprob`` or ``hmm``. The filters stand before the
+    means; that on the year is computed from the date, so only a table partitioned by year is read in part.
     """
     images = _of_site_year(obs.withColumn("year", F.year("date")), site, year)
     keys = ("phenocam_name", "year", "date")
@@ -251,7 +276,7 @@ def image_diagnostic(obs: DataFrame, truth: DataFrame, file: str | None = None)
     labels = truth.groupBy("filename").agg(
         *[F.max(F.when(F.col("category") == c, F.col("true_class"))).alias(f"_true_{c}") for c in S.CATEGORIES]
     )
-    images = image_means(obs, ("file",)).withColumnRenamed("file", "filename").join(labels, "filename")
+    images = image_means(of_images(obs, labels), ("file",)).withColumnRenamed("file", "filename").join(labels, "filename")
     rows = ", ".join(
         f"named_struct('category', '{c}', 'class', {V.quoted(name)}, 'probability', {V.element_sql(c, k)}, "
         f"'is_maxprob_class', {V.first_top_code_sql(c)} = {k}, 'is_true_class', _true_{c} = {V.quoted(name)})"

@@ -330,7 +330,8 @@ def prep_for_hmm(
     """Scored images (filepath, file, 3 vectors) -> clean daily series with sequence ids per category.
 
     Two shuffles: by (site, day) to pick a day's first image, then by site for everything along time. Picking the
-    first file makes a separate ``distinct`` unnecessary.
+    first file makes a separate ``distinct`` unnecessary. Images whose name holds no date have no place in a series and are
+    left out; ``checks.undated_files`` lists them.
     """
     images = pred.filter(~F.contains("filepath", F.lit(extra_folder))).select("file", *S.CATEGORIES)
     daily = first_image_per_day(with_site_and_date(images).filter(F.col("date").isNotNull())).drop("file")

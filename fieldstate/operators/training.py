@@ -22,6 +22,21 @@ def _join_groups(df: DataFrame, groups: DataFrame, cols: tuple[str, ...], how: s
     return df.join(renamed, same, how).drop(*[f"_{c}" for c in cols])
 
 
+def _combo(cols: tuple[str, ...]) -> Column:
+    """A label combination as one text; NULL differs from every code."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+
+
+def _per_combo(counts: DataFrame, cols: tuple[str, ...], value: str) -> Column:
+    """Value of a row's label combination, from one map with an entry per combination.
+
+    Combinations are bounded by the class dictionary (a few hundred), so the map is small however many images there are,
+    and images are not shuffled by a key of which a few values hold most rows.
+    """
+    table = counts.agg(F.map_from_entries(F.collect_list(F.struct(_combo(cols).alias("combo"), F.col(value).alias("value")))).alias("m"))
+    return F.try_element_at(table.scalar(), _combo(cols))
+
+
 def merge_annotations(session: DataFrame, redo: DataFrame) -> DataFrame:
     """Combine the first annotation session with the redone crop types, resolving disagreements.
 
@@ -54,10 +69,9 @@ def keep_available_extras(extra: DataFrame, files: DataFrame) -> DataFrame:
 def drop_rare_combos(df: DataFrame, cols: tuple[str, ...] = LABELS, min_n: int = S.MIN_COMBO_IMAGES) -> DataFrame:
     """Keep rows whose label combination occurs at least ``min_n`` times.
 
-    Counted by partial aggregation, not by a window, so a combination that holds most rows is no hot task.
+    Counted by partial aggregation, so a combination that holds most rows is no hot task.
     """
-    frequent = df.groupBy(*cols).count().filter(F.col("count") >= min_n).drop("count")
-    return _join_groups(df, frequent, cols)
+    return df.filter(_per_combo(df.groupBy(*cols).count(), cols, "count") >= min_n)
 
 
 def propagate_labels(annotated: DataFrame, extra: DataFrame) -> DataFrame:
@@ -94,7 +108,7 @@ def balanced_weights(df: DataFrame, cols: tuple[str, ...] = LABELS) -> DataFrame
     counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
     every = Window.partitionBy()  # one row per label combination
     weight = F.sum("n").over(every) / (F.count("*").over(every) * F.col("n"))
-    return _join_groups(df, counts.select(*cols, weight.alias("sample_weight")), cols)
+    return df.withColumn("sample_weight", _per_combo(counts.withColumn("sample_weight", weight), cols, "sample_weight"))
 
 
 def resample_balanced(

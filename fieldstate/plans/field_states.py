@@ -56,7 +56,7 @@ def final_table(prepared: DataFrame, max_days: int = S.UNKNOWN_CROP_MAX_DAYS) ->
     counts = [f"_c{i}" for i in range(len(GROWING))]
     days = days.selectExpr(
         SITE, "date", *S.HMM_MODELS, "_segment",
-        *[f"round(sum(_v{k}) {segment}, {croptype.VOTE_DIGITS}) AS _t{k}" for k in VOTES],
+        *[f"sum({croptype.exact_sql(f'_v{k}')}) {segment} AS _t{k}" for k in VOTES],
         *[f"count_if(crop_status = '{s}') {segment} AS {c}" for s, c in zip(GROWING, counts)],
     )
 
@@ -74,5 +74,8 @@ def final_table(prepared: DataFrame, max_days: int = S.UNKNOWN_CROP_MAX_DAYS) ->
 
 
 def field_states(pred: DataFrame, extra_folder: str, **options) -> DataFrame:
-    """Scored images (filepath, file, 3 vectors) -> final daily table."""
+    """Scored images (filepath, file, 3 vectors) -> final daily table.
+
+    Images whose name holds no date are left out; ``checks.undated_files`` lists them.
+    """
     return final_table(series.prep_for_hmm(pred, extra_folder, **options))

@@ -139,17 +139,18 @@ def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greenness transition dates per site and growing cycle: (site, direction, gcc_value, transition_10/25/50)."""
     shots = images(spark, sf_dir)
-    # dates lie within 500 days by construction, so the set of observed dates is a small array
-    observed = shots.agg(F.collect_set("date").alias("dates")).scalar()
+    phases = (160, 175, 200, 270, 300, 330)
     phase = (F.dayofyear("date") + 13 * F.col("site_no")) % 365
     cycle = F.floor((F.dayofyear("date") + 13 * F.col("site_no") + 365 * (F.year("date") - 2018)) / 365.0).cast("int")
+    # the day of the year on which a site is in a phase is known, so dates are met by an equi-join
+    asked = shots.select("site_no", "phenocam_name").distinct().withColumn("wanted", F.explode(F.array(*[F.lit(p) for p in phases])))
+    asked = asked.select("site_no", "phenocam_name", F.pmod(F.col("wanted") - 13 * F.col("site_no"), F.lit(365)).alias("day"))
+    observed = shots.select("date").distinct().withColumn("day", (F.dayofyear("date") % 365).cast("long"))
     days = (
-        shots.select("site_no", "phenocam_name").distinct()
-        .select("site_no", "phenocam_name", F.explode(observed).alias("date"))
+        asked.withColumn("day", F.col("day").cast("long")).join(observed, "day")
         .select("phenocam_name", "date", phase.alias("phase"), cycle.alias("cyc"))
-        .filter(F.col("phase").isin(160, 175, 200, 270, 300, 330))
     )
-    at = {p: F.max(F.when(F.col("phase") == p, F.col("date"))) for p in (160, 175, 200, 270, 300, 330)}
+    at = {p: F.max(F.when(F.col("phase") == p, F.col("date"))) for p in phases}
     per_cycle = days.groupBy("phenocam_name", "cyc").agg(*[c.alias(f"p{p}") for p, c in at.items()])
 
     def half(direction: str, p10: int, p25: int, p50: int) -> DataFrame:

@@ -214,7 +214,8 @@ FROM (SELECT phenocam_name, date, hmm_class AS crop_status,
         CASE WHEN date - lag(date) OVER (PARTITION BY phenocam_name ORDER BY date) <> 1 THEN 1 ELSE 0 END AS j
       FROM hmm_status WHERE hmm_class <> 'no_crop')"""
 CTES["vote_sums"] = """
-SELECT s.phenocam_name, s.crop_sequence_id, o.class AS crop_class, round(sum(o.probability), 9) AS total_probability
+SELECT s.phenocam_name, s.crop_sequence_id, o.class AS crop_class,
+ CAST(sum(CAST(round(o.probability * 1099511627776) AS BIGINT)) AS DOUBLE) / 1099511627776 AS total_probability
 FROM o_seq o JOIN segments s ON s.phenocam_name = o.phenocam_name AND s.date = o.date
 WHERE o.category = 'crop_type' AND o.class <> 'unknown_plant' GROUP BY ALL"""
 CTES["votes"] = """
@@ -277,8 +278,16 @@ CTES["maxprob"] = """
 SELECT phenocam_name, file, date, category, class AS maxprob_class FROM (
  SELECT phenocam_name, file, date, category, class, avg(probability) AS p FROM fx_obs GROUP BY ALL)
 QUALIFY rank() OVER (PARTITION BY file, category ORDER BY p DESC) = 1"""
+CTES["raw_top"] = "SELECT * FROM maxprob WHERE file IN (SELECT file FROM fx_img WHERE h % 7 <> 0)"
 CTES["raw_pairs"] = """
-SELECT t.*, m.maxprob_class AS predicted_class FROM truth t JOIN maxprob m ON m.file = t.filename AND m.category = t.category"""
+SELECT t.*, m.maxprob_class AS predicted_class FROM truth t LEFT JOIN raw_top m ON m.file = t.filename AND m.category = t.category"""
+CTES["raw_known"] = "SELECT * FROM raw_pairs WHERE predicted_class IS NOT NULL"
+CTES["annotated_first"] = """
+SELECT file, category, class FROM fx_obs JOIN fx_classes USING (category, class) WHERE file IN (SELECT file FROM fx_annotations)
+QUALIFY row_number() OVER (PARTITION BY file, category ORDER BY probability DESC, class_value) = 1"""
+CTES["daily_class"] = """
+SELECT o.phenocam_name, CAST(year(o.date) AS INT) AS year, o.date, o.category, o.class FROM o_daily o JOIN fx_classes USING (category, class)
+QUALIFY row_number() OVER (PARTITION BY o.phenocam_name, o.date, o.category ORDER BY probability DESC, class_value) = 1"""
 CTES["hmm_pairs"] = """
 SELECT t.*, f.class AS predicted_class FROM truth t
 LEFT JOIN final_long f ON f.phenocam_name = t.phenocam_name AND f.date = t.date AND f.category = t.category
@@ -315,8 +324,13 @@ def metrics(pairs: str, terms: tuple[str, ...]) -> str:
 
 
 USED = ("precision", "recall", "f1")
-CTES["raw_metrics"] = metrics("raw_pairs", USED)
+CTES["raw_metrics"] = metrics("raw_known", USED)
 CTES["final_metrics"] = metrics("hmm_pairs", USED)
+OVERALL = """
+SELECT m.category, m.term, m.data_type, CASE WHEN count(estimate) = count(*) AND count(sample_size) = count(*) THEN sum(estimate * sample_size) / sum(sample_size) END AS estimate,
+ CASE WHEN count(sample_size) = count(*) THEN CAST(sum(sample_size) AS BIGINT) END AS sample_size, 'overall' AS class
+FROM {} m LEFT JOIN sizes USING (category, class, data_type) GROUP BY 1, 2, 3"""
+CTES["raw_overall"], CTES["final_overall"] = OVERALL.format("raw_metrics"), OVERALL.format("final_metrics")
 CTES["display"] = (
     "SELECT * FROM (VALUES "
     + ",".join(f"('{n}',{i},'{S.class_label(n)}')" for i, n in enumerate(S.DISPLAY_ORDER, 1))

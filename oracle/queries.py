@@ -93,7 +93,8 @@ SELECT filename, url, phenocam_name, date, hour FROM fx_extra e WHERE NOT EXISTS
 Q["keep_available_extras"] = """
 SELECT filename, url, phenocam_name, date, hour FROM fx_extra WHERE filename IN (SELECT file FROM fx_img WHERE h % 7 <> 0)"""
 Q["drop_rare_combos"] = """
-SELECT filename, phenocam_name, date, dominant_cover, crop_type, crop_status FROM ann_kept"""
+SELECT file AS filename, phenocam_name, date, dominant_cover, crop_type, crop_status FROM fx_annotations
+QUALIFY count(*) OVER (PARTITION BY dominant_cover, crop_type, crop_status) >= 150"""
 Q["propagate_labels"] = "SELECT filename, phenocam_name, date, dominant_cover, crop_type, crop_status FROM all_images"
 Q["holdout_split"] = "SELECT filename, is_validation FROM split"
 Q["split_assertions"] = """
@@ -120,17 +121,20 @@ Q["split_targets"] = "SELECT file, {} FROM fx_annotations".format(
     ", ".join(f"array_to_string([{', '.join(bits)}], ',') AS {c}_target" for c, bits in BITS.items())
 )
 Q["crop_plan"] = """
-WITH m AS (SELECT file, CAST(300 + h % 700 AS INT) AS height, CAST(500 + h * 7 % 800 AS INT) AS width FROM fx_img),
+WITH m AS (SELECT file, CAST(200 + h % 800 AS INT) AS height, CAST(500 + h * 7 % 800 AS INT) AS width FROM fx_img),
 s AS (SELECT m.*, CAST(coalesce(
   CASE WHEN height - floor(height * 0.5::DOUBLE) >= 224 THEN floor(height * 0.5::DOUBLE) END,
   CASE WHEN height - floor(height * (0.5::DOUBLE - 0.1::DOUBLE)) >= 224 THEN floor(height * (0.5::DOUBLE - 0.1::DOUBLE)) END,
   CASE WHEN height - floor(height * (0.5::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE)) >= 224 THEN floor(height * (0.5::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE)) END,
-  CASE WHEN height - floor(height * (0.5::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE)) >= 224 THEN floor(height * (0.5::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE)) END
+  CASE WHEN height - floor(height * (0.5::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE)) >= 224 THEN floor(height * (0.5::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE)) END,
+  CASE WHEN height - floor(height * (0.5::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE)) >= 224 THEN floor(height * (0.5::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE - 0.1::DOUBLE)) END,
+  CASE WHEN height >= 224 THEN 0 END
   ) AS BIGINT) AS trim FROM m),
 k AS (SELECT s.*, CAST(i AS INT) AS i, md5(concat('99|', file, '#', CAST(i AS VARCHAR))) AS k FROM s, range(3) t(i))
 SELECT file, height, width, i, CAST(trim + 1 + CAST('0x' || substr(k, 1, 8) AS BIGINT) % (height - trim - 225) AS INT) AS y0,
  CAST(1 + CAST('0x' || substr(k, 9, 8) AS BIGINT) % (width - 225) AS INT) AS x0
 FROM k WHERE height - trim - 225 > 0 AND width - 225 > 0"""
+Q["crop_plan_violations"] = f"SELECT file, height, width FROM (SELECT file, CAST(200 + h % 800 AS INT) AS height, CAST(500 + h * 7 % 800 AS INT) AS width FROM fx_img) WHERE file NOT IN (SELECT file FROM ({Q['crop_plan']}))"
 
 # ---- scoring -------------------------------------------------------------------------------------------
 def _scored() -> str:
@@ -176,11 +180,12 @@ Q["mask_blurry_days"] = "WITH b AS ({}) {}".format(
 Q["drop_blurry_renorm"] = "WITH b AS ({}), r AS ({}) {}".format(
     C.masked("o_daily", "blurry", C.ALL), C.renormed("b"), flat("r", "phenocam_name, date, file", CLEAN, 6)
 )
-Q["fill_calendar"] = """
-SELECT d.phenocam_name, d.date, CAST(year(d.date) AS INT) AS year, o.file, o.vegetation FROM
+Q["fill_calendar"] = "WITH c AS ({}) {}".format(
+    """SELECT d.phenocam_name, d.date, CAST(year(d.date) AS INT) AS year, o.file, o.category, o.class, o.probability FROM
  (SELECT phenocam_name, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM fx_img GROUP BY 1) d
-LEFT JOIN (SELECT phenocam_name, date, file, probability AS vegetation FROM fx_obs WHERE category = 'dominant_cover' AND class = 'vegetation') o
- ON o.phenocam_name = d.phenocam_name AND o.date = d.date"""
+ LEFT JOIN fx_obs o ON o.phenocam_name = d.phenocam_name AND o.date = d.date""",
+    flat("c", "phenocam_name, date, year, file", S.CLASSES, 4),
+)
 Q["interpolate_gaps"] = flat("o_interp1", "phenocam_name, date", S.CLASSES, 9)
 Q["interpolate_gaps_by_date"] = "WITH i AS ({}) {}".format(
     C.interpolated("o_snow", 5, position="date_diff('day', DATE '1970-01-01', date)"), flat("i", "phenocam_name, date", S.CLASSES, 9)
@@ -222,13 +227,11 @@ SELECT phenocam_name, date, category, missing AS share_missing FROM (
 HMM_COLUMNS = "phenocam_name, year, date, site_sequence_id, category, hmm_class"
 Q["emission_logprob"] = """
 SELECT phenocam_name, date, category, class, CASE WHEN probability > 0 THEN CAST(round(ln(probability), 6) AS VARCHAR) IS NOT NULL AND true ELSE false END AS possible,
- CASE WHEN probability > 0 THEN round(ln(probability), 6) END AS logprob FROM o_daily WHERE category = 'dominant_cover'"""
-Q["viterbi_decode"] = f"SELECT {HMM_COLUMNS} FROM hmm_cover"
-Q["viterbi_decode_long"] = f"SELECT {HMM_COLUMNS} FROM hmm_status"
+ CASE WHEN probability > 0 THEN round(ln(probability), 6) END AS logprob FROM o_daily WHERE category <> 'crop_type'"""
+Q["viterbi_decode"] = Q["viterbi_decode_long"] = f"SELECT {HMM_COLUMNS} FROM hmm"
 Q["hmm_failures"] = """
-SELECT k.phenocam_name, k.category, k.site_sequence_id, count(*) AS n_days FROM o_kept k
-WHERE k.category <> 'crop_type' AND NOT EXISTS (SELECT 1 FROM hmm h WHERE h.phenocam_name = k.phenocam_name AND h.category = k.category AND h.site_sequence_id = k.site_sequence_id)
-GROUP BY 1, 2, 3"""
+SELECT phenocam_name, category, site_sequence_id, count(*) AS n_days FROM o_kept WHERE category <> 'crop_type'
+GROUP BY 1, 2, 3 HAVING bool_or(phenocam_name LIKE '%3' AND day(date) = 15)"""
 Q["hmm_output"] = f"SELECT {HMM_COLUMNS} FROM hmm"
 
 # ---- crop types, final table, transitions --------------------------------------------------------------
@@ -248,8 +251,7 @@ FROM {src} a JOIN {src} b ON b.phenocam_name = a.phenocam_name AND b.category =
 JOIN signatures s ON s.category = a.category AND s.prior_day_class = b.class AND s.class = a.class"""
 Q["state_transitions"] = TRANSITIONS.format(src="final_long")
 Q["state_transitions_maxprob"] = """
-WITH daily_class AS (SELECT o.phenocam_name, CAST(year(o.date) AS INT) AS year, o.date, o.category, o.class FROM o_daily o JOIN fx_classes USING (category, class)
- QUALIFY row_number() OVER (PARTITION BY o.phenocam_name, o.date, o.category ORDER BY probability DESC, class_value) = 1)""" + TRANSITIONS.format(src="daily_class")
+""" + TRANSITIONS.format(src="daily_class")
 _half = "OVER (PARTITION BY phenocam_name ORDER BY date ROWS BETWEEN {} AND {})"
 
 
@@ -280,36 +282,44 @@ Q["truth_table"] = "SELECT phenocam_name, filename, year, date, category, data_t
 Q["split_counts"] = """
 SELECT CASE WHEN is_validation THEN 'val' ELSE 'train' END AS data_type, split_part(filename, '_', 1) IN ('site3', 'site7') AS is_validation_site,
  count(*) AS n, count(DISTINCT filename) AS n_files FROM split GROUP BY 1, 2"""
+Q["truth_counts"] = """
+SELECT data_type, phenocam_name IN ('site3', 'site7') AS is_validation_site, count(DISTINCT filename) AS n_images FROM truth GROUP BY 1, 2"""
+Q["undated_files"] = "SELECT concat('thumb_', h, '.jpg') AS file FROM fx_img WHERE h % 10 = 0"
 Q["sample_sizes"] = "SELECT category, class, data_type, sample_size FROM sizes"
 Q["coverage_check_raw"] = """
-SELECT avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS percent, count(*) FILTER (WHERE ok) AS num FROM (
- SELECT t.filename, bool_and(m.maxprob_class IS NOT NULL) AS ok FROM truth t LEFT JOIN maxprob m ON m.file = t.filename AND m.category = t.category GROUP BY 1)"""
+SELECT round(avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS percent, count(*) FILTER (WHERE ok) AS num FROM (
+ SELECT t.filename, bool_and(m.maxprob_class IS NOT NULL) AS ok FROM truth t LEFT JOIN raw_top m ON m.file = t.filename AND m.category = t.category GROUP BY 1)"""
 Q["coverage_check_final"] = """
 SELECT round(avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS percent, count(*) FILTER (WHERE ok) AS num FROM (
  SELECT t.filename, bool_and(f.class IS NOT NULL) AS ok FROM truth t
  LEFT JOIN final_long f ON f.phenocam_name = t.phenocam_name AND f.date = t.date AND f.category = t.category GROUP BY 1)"""
 Q["hmm_eval_set"] = "SELECT phenocam_name, filename, year, date, category, data_type, true_class, predicted_class AS hmm_class FROM hmm_pairs"
 Q["class_metrics_raw"] = "SELECT category, data_type, class, term, round(estimate, 4) AS estimate FROM ({})".format(
-    C.metrics("raw_pairs", ("sensitivity", "specificity", "pos_pred_value", "neg_pred_value", "precision", "recall", "f1",
+    C.metrics("raw_known", ("sensitivity", "specificity", "pos_pred_value", "neg_pred_value", "precision", "recall", "f1",
                             "prevalence", "detection_rate", "detection_prevalence", "balanced_accuracy"))
 )
 Q["class_metrics_final"] = "SELECT category, data_type, class, term, round(estimate, 4) AS estimate FROM final_metrics"
-Q["overall_metrics"] = """
-SELECT m.category, m.term, m.data_type, CASE WHEN count(estimate) = count(*) AND count(sample_size) = count(*) THEN round(sum(estimate * sample_size) / sum(sample_size), 4) END AS estimate,
- CASE WHEN count(sample_size) = count(*) THEN CAST(sum(sample_size) AS BIGINT) END AS sample_size, 'overall' AS class
-FROM raw_metrics m LEFT JOIN sizes USING (category, class, data_type) GROUP BY 1, 2, 3"""
+OVERALL = "SELECT category, term, data_type, round(estimate, 4) AS estimate, sample_size, class FROM {}"
+Q["overall_metrics"], Q["overall_metrics_final"] = OVERALL.format("raw_overall"), OVERALL.format("final_overall")
 MATRIX = """
 WITH n AS (SELECT category, data_type, true_class, predicted_class, count(*) AS n FROM {pairs} GROUP BY ALL),
 g AS (SELECT a.category, a.data_type, b.true_class, c.predicted_class FROM (SELECT DISTINCT category, data_type FROM n) a
  JOIN (SELECT DISTINCT category, true_class FROM n) b USING (category) JOIN (SELECT DISTINCT category, predicted_class FROM n) c USING (category))
-SELECT category, data_type, true_class, predicted_class, coalesce(n.n, 0) AS n FROM g LEFT JOIN n USING (category, data_type, true_class, predicted_class)"""
+SELECT g.category, g.data_type, g.true_class, g.predicted_class, coalesce(n.n, 0) AS n FROM g LEFT JOIN n
+ ON n.category = g.category AND n.data_type = g.data_type AND n.true_class = g.true_class AND n.predicted_class IS NOT DISTINCT FROM g.predicted_class"""
 Q["confusion_matrix_raw"] = MATRIX.format(pairs="raw_pairs")
 Q["confusion_matrix_final"] = MATRIX.format(pairs="hmm_pairs")
-Q["metric_labels"] = """
-WITH m AS (SELECT m.*, s.sample_size FROM raw_metrics m LEFT JOIN sizes s USING (category, class, data_type)),
+LABELS = """
+WITH m AS ({rows}),
 w AS (SELECT category, term, class, max(CASE WHEN data_type = 'val' THEN estimate END) AS v, max(CASE WHEN data_type = 'train' THEN estimate END) AS t,
  max(CASE WHEN data_type = 'val' THEN sample_size END) + max(CASE WHEN data_type = 'train' THEN sample_size END) AS n FROM m GROUP BY 1, 2, 3)
-SELECT category, term, class, concat(coalesce(printf('%.2f', round(v, 2)), 'NA'), ', ', coalesce(printf('%.2f', round(t, 2)), 'NA'), ' (', coalesce(CAST(n AS VARCHAR), 'NA'), ')') AS error_text FROM w"""
+SELECT w.category, w.term, w.class, concat(coalesce(printf('%.2f', round(v, 2)), 'NA'), ', ', coalesce(printf('%.2f', round(t, 2)), 'NA'), ' (', coalesce(CAST(n AS VARCHAR), 'NA'), ')') AS error_text{more} FROM w"""
+SIZED = "SELECT m.category, m.term, m.class, m.data_type, m.estimate, s.sample_size FROM {}_metrics m LEFT JOIN sizes s USING (category, class, data_type)"
+Q["metric_labels"] = LABELS.format(rows=SIZED.format("raw"), more="")
+FACET = """, d.class_label, concat(upper(w.term[1]), w.term[2:], ': ', CASE w.category WHEN 'dominant_cover' THEN 'Dominant Cover' WHEN 'crop_type' THEN 'Crop Type' ELSE 'Crop Status' END) AS facet_label"""
+for _kind in ("raw", "final"):
+    _rows = SIZED.format(_kind) + f" UNION ALL SELECT category, term, class, data_type, estimate, sample_size FROM {_kind}_overall"
+    Q[f"report_labels_{_kind}"] = LABELS.format(rows=_rows, more=FACET) + " LEFT JOIN display d USING (class)"
 Q["class_rank_label"] = """
 SELECT s.category, s.class, s.data_type, s.sample_size, CAST(d.class_rank AS INT) AS class_rank, d.class_label FROM sizes s LEFT JOIN display d USING (class)"""
 Q["timeseries_panel"] = """
@@ -323,8 +333,7 @@ Q["image_diagnostic"] = """
 SELECT o.file AS filename, o.category, o.class, o.probability, o.class = m.class AS is_maxprob_class, o.class = t.true_class AS is_true_class,
  CASE WHEN o.class = t.true_class THEN CASE WHEN o.probability < 0.5 THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END END AS label_x, CAST(d.class_rank AS INT) AS class_rank
 FROM fx_obs o JOIN truth t ON t.filename = o.file AND t.category = o.category
-JOIN (SELECT file, category, class FROM fx_obs JOIN fx_classes USING (category, class)
-      QUALIFY row_number() OVER (PARTITION BY file, category ORDER BY probability DESC, class_value) = 1) m ON m.file = o.file AND m.category = o.category
+JOIN annotated_first m ON m.file = o.file AND m.category = o.category
 LEFT JOIN display d ON d.class = o.class"""
 Q["greenness_vs_status"] = """
 SELECT coalesce(g.phenocam_name, f.phenocam_name) AS phenocam_name, CAST(year(coalesce(g.date, f.date)) AS INT) AS year,
