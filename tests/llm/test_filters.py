@@ -119,10 +119,10 @@ def test_url_templates_and_purity(spark):
         pages.append((k, f"http://host.org/{'spam' if k % 2 else 'news'}/{k}/view"))
         if k % 3 == 0:
             labels.append((k, k % 2))
-    pages += [(1000 + k, f"http://other.org/{'a' if k % 2 else 'b'}/{k}") for k in range(40)]
-    labels += [(1000 + k, int(k % 10 == 0)) for k in range(40)]
+    pages += [(1000 + k, f"http://other.org/{'a' if k % 2 else 'b'}/{k}") for k in range(100)]
+    labels += [(1000 + k, int(k % 9 == 0)) for k in range(100)]
     out = urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad long"), rules=())
     got = {(r.template, r.verdict) for r in out.collect()}
     assert got == {("/spam/*/view", "block"), ("/news/*/view", "allow"), ("/a/*", "allow"), ("/b/*", "allow")}
     # a and b do not differ significantly, so both stand on their host's counts
-    assert {(r.labelled, r.bad) for r in out.filter("host = 'other.org'").select("labelled", "bad").collect()} == {(40, 4.0)}
+    assert {(r.labelled, r.bad) for r in out.filter("host = 'other.org'").select("labelled", "bad").collect()} == {(100, 12.0)}
