@@ -160,10 +160,12 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
     rows = reps.filter("n > 0").select(F.explode("bands").alias("bucket"), "id", "n", F.lit(True).alias("open"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     rows = rows.join(shared, "bucket")
+    # the texts that share a bucket with another, once; later rounds keep those that are still in question
+    texts = C.written(texts.join(rows.select("id").distinct(), "id", "left_semi"), "texts")
     done: DataFrame | None = None
     round_ = 0
     while True:
-        slots = 1 << round_
+        slots = 4**round_
         slot = F.when(F.lit(slots) == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(slots)))
         opened = rows.filter("open").withColumn("slot", slot.cast("long"))
         centres = opened.groupBy("bucket", "slot").agg(F.min(F.struct("id", "n")).alias("c"))
@@ -195,8 +197,9 @@ def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
             stays.join(least, "bucket").filter(f"open OR d >= reach - {1 - limit + 1e-9}").select("bucket", "id", "n", "open"), f"open-{round_}"
         )
         round_ += 1
-        if rows.limit(1).count() == 0:
+        if rows.isEmpty():
             break
+        texts = C.written(texts.join(rows.select("id").distinct(), "id", "left_semi"), f"texts-{round_}")
     return done.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b"))
 
 
