@@ -102,6 +102,8 @@ def repeated_runs(docs: DataFrame, w: Windows, label: str, apart: bool = False)
         counted = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor", "n")
     else:
         counted = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    # written, so that both sides of the join are plain shuffles and a hot anchor's places can be split among tasks
+    counted = C.written(counted, f"{label}-anchors")
     kept = places.join(counted, "anchor").select("id", F.struct("anchor", "run", (F.col("n") > w.hot).alias("hot")).alias("r"))
     return C.written(kept.groupBy("id").agg(F.collect_list("r").alias("runs")), label)
 
@@ -117,6 +119,20 @@ def pieces(data: bytes, w: Windows) -> Callable[[int, int], bytes]:
 COLD = "anchor long, id long, run long, content binary"
 
 
+def window_places(passages: dict[bytes, tuple[int, int]], w: Windows) -> Iterator[pa.RecordBatch]:
+    """(digest, id, start): the least place of every window of the passages."""
+    first: dict[bytes, tuple[int, int]] = {}
+    for passage, (own, r) in passages.items():
+        cut, at = pieces(passage, w), r >> 8
+        for s in range(r & COUNT):
+            digest, place = blake2b(cut(s, s + w.window), digest_size=16).digest(), (own, at + (s << 20))
+            if digest not in first or place < first[digest]:
+                first[digest] = place
+    own, start = zip(*first.values()) if first else ((), ())
+    table = pa.table([pa.array(list(first), pa.binary()), pa.array(own, pa.int64()), pa.array(start, pa.int64())], ["digest", "id", "start"])
+    yield from table.to_batches(max_chunksize=10_000)
+
+
 def listed(runs_: pa.ListScalar) -> Iterator[tuple[int, int, bool]]:
     """(anchor, run, hot) of one document."""
     values = runs_.values
@@ -154,12 +170,14 @@ def cold_batch(anchor: list, ids: list, run: list, content: list) -> pa.RecordBa
 
 
 def hot_windows(marked: DataFrame, w: Windows) -> DataFrame:
-    """First place of each single window of the hot anchors within a batch: (window digest, id, start)."""
+    """First place of each single window of the hot anchors: (id, start, 1). A task keeps one place for each passage it meets,
+    and cuts only these into windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages: dict[bytes, tuple[int, int]] = {}
+        size = 0
         for batch in batches:
             ids, texts, lists = batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)
-            first: dict[bytes, tuple[int, int]] = {}
             for i in range(len(batch)):
                 runs_ = [r for _, r, hot in listed(lists[i]) if hot]
                 if not runs_:
@@ -169,15 +187,16 @@ def hot_windows(marked: DataFrame, w: Windows) -> DataFrame:
                 for r in runs_:
                     if r >> 8 & CHECK != check:
                         continue
-                    for s in range(r >> START, (r >> START) + (r & COUNT)):
-                        digest = blake2b(cut(s, s + w.window), digest_size=16).digest()
-                        place = (own, s << 20 | check)
-                        if digest not in first or place < first[digest]:
-                            first[digest] = place
-            if first:
-                own, start = zip(*first.values())
-                arrays = [pa.array(list(first), pa.binary()), pa.array(own, pa.int64()), pa.array(start, pa.int64())]
-                yield pa.record_batch(arrays, ["digest", "id", "start"])
+                    passage, place = cut(r >> START, (r >> START) + (r & COUNT) + w.window - 1), (own, r)
+                    held = passages.get(passage)
+                    if held is None:
+                        size += len(passage)
+                    if held is None or place < held:
+                        passages[passage] = place
+            if size > 16 * C.SLICE:
+                yield from window_places(passages, w)
+                passages, size = {}, 0
+        yield from window_places(passages, w)
 
     found = marked.mapInArrow(emit, "digest binary, id long, start long")
     least = found.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("p"))

@@ -106,7 +106,7 @@ RESULT = "n_bytes long, n_removed long, n_spans long, sha256 string, kept string
 
 
 def suffix_array_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, gram: int = 24, hot: int = 2000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, gram: int = 24, hot: int = 256
 ) -> DataFrame:
     """All rows and columns of ``docs`` and a struct ``suffixes`` (n_bytes, n_removed, n_spans, sha256, kept).
 
