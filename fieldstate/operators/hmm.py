@@ -209,11 +209,6 @@ def hmm_output(cover: DataFrame, status: DataFrame) -> DataFrame:
     return cover.unionByName(status)
 
 
-def decode_prepared(prepared: DataFrame) -> DataFrame:
-    """Both models over the output of ``prep_for_hmm`` in one pass."""
-    return viterbi_decode(series.stack_sequences(prepared, tuple(S.HMM_MODELS)))
-
-
 # ---- chunked decoding of very long sequences -----------------------------------------------------------
 def _advance(best: np.ndarray, steps: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Best scores after each row of ``best`` has gone through all steps."""

@@ -18,10 +18,6 @@ def running(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def before(window: WindowSpec) -> WindowSpec:
-    return window.rowsBetween(Window.unboundedPreceding, -1)
-
-
 def run_start(present: Column, window: WindowSpec) -> Column:
     """True on the first row of each run of present rows."""
     return present & ~F.coalesce(F.lag(present).over(window), F.lit(False))

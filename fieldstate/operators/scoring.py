@@ -24,17 +24,21 @@ def score_images(
     df: DataFrame,
     load_model: Callable[[], Model],
     inputs: list[str],
+    keys: list[str],
     heads: tuple[str, ...] = S.CATEGORIES,
     batch: int = S.SCORE_BATCH,
     digits: int = S.SCORE_DIGITS,
 ) -> DataFrame:
-    """Add one probability vector per head, rounded to ``digits``.
+    """(keys, one probability vector per head, rounded to ``digits``).
+
+    Only ``keys`` and ``inputs`` travel to Python, and only ``keys`` and heads come back.
 
     ``load_model`` runs once per task and returns a function from a frame of at most ``batch`` rows (the
     ``inputs`` columns) to one (rows, classes) matrix per head. Rows are scored where they are; nothing is shuffled.
     """
     heads = tuple(heads)
-    fields = [f for f in df.schema.fields] + [T.StructField(h, T.ArrayType(T.DoubleType())) for h in heads]
+    needed = df.select(*keys, *[c for c in inputs if c not in keys])
+    fields = [df.schema[k] for k in keys] + [T.StructField(h, T.ArrayType(T.DoubleType())) for h in heads]
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
@@ -43,9 +47,9 @@ def score_images(
                 part = frame.iloc[start : start + batch]
                 matrices = model(part[inputs])
                 scored = {h: list(np.round(np.asarray(m, dtype=np.float64), digits)) for h, m in zip(heads, matrices)}
-                yield part.assign(**{h: pd.Series(v, index=part.index) for h, v in scored.items()})
+                yield part[keys].assign(**{h: pd.Series(v, index=part.index) for h, v in scored.items()})
 
-    return df.mapInPandas(score, T.StructType(fields))
+    return needed.mapInPandas(score, T.StructType(fields))
 
 
 def argmax_label(vector: str) -> Column:

@@ -92,15 +92,16 @@ def holdout_split(
     fraction: float = S.VALIDATION_FRACTION,
     seed: int = sampling.SEED,
 ) -> DataFrame:
-    """(filename, is_validation): all images of held-out sites, filled up at random to ``int(rows * fraction)``.
+    """Add ``is_validation``: all images of held-out sites, filled up at random to ``int(rows * fraction)``.
 
-    ``site_regex`` is searched anywhere in the site name.
+    ``site_regex`` is searched anywhere in the site name. Rows are split, not names: of an image listed twice one row may
+    be on either side.
     """
-    held = stored(df.select("filename", F.col("phenocam_name").rlike(site_regex).alias("held")))
+    held = stored(df.withColumn("_held", F.coalesce(F.col("phenocam_name").rlike(site_regex), F.lit(False))))
     # rows that do not take part are the held-out ones, which count against the wanted number
     wanted = F.floor(F.col("all_rows") * F.lit(fraction)) - (F.col("all_rows") - F.col("all_taking"))
-    drawn = sampling.take_exactly(held, wanted, K.sample_key("filename", seed), ["filename"], "drawn", among="NOT held")
-    return drawn.select("filename", (F.col("held") | F.col("drawn")).alias("is_validation"))
+    drawn = sampling.take_exactly(held, wanted, K.sample_key("filename", seed), ["filename"], "_drawn", among="NOT _held")
+    return drawn.withColumn("is_validation", F.col("_held") | F.col("_drawn")).drop("_held", "_drawn")
 
 
 def balanced_weights(df: DataFrame, cols: tuple[str, ...] = LABELS) -> DataFrame:

@@ -16,7 +16,6 @@ from fieldstate.operators import islands as I
 from fieldstate.plans import field_states as plan
 from fieldstate.sources import derived as D
 from fieldstate.sources import manifests
-from fieldstate.sources.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,7 +278,7 @@ def propagate_labels(spark, d):
 
 @query
 def holdout_split(spark, d):
-    return split(spark, d)
+    return split(spark, d).select("filename", "is_validation")
 
 
 @query
@@ -295,8 +294,7 @@ def balanced_weights(spark, d):
 
 @query
 def resample_balanced(spark, d):
-    images = stored(all_images(spark, d))
-    train = images.join(training.holdout_split(images, HELD_OUT).filter("NOT is_validation").select("filename"), "filename")
+    train = split(spark, d).filter("NOT is_validation").drop("is_validation")
     return training.resample_balanced(train).select("draw", "filename", *training.LABELS)
 
 
@@ -340,12 +338,12 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
         ]
 
     load = scoring.linear_softmax("embedding", weights)
-    return scoring.score_images(vectors, load, ["embedding"])
+    return scoring.score_images(vectors, load, ["embedding"], keys=["vec_id"])
 
 
 @query
 def score_images(spark, d):
-    return series.to_class_columns(scored(spark, d).drop("embedding"))
+    return series.to_class_columns(scored(spark, d))
 
 
 @query

@@ -113,46 +113,8 @@ def code(category: str, name: str) -> int:
     return CLASSES[category].index(name)
 
 
-SITES_SCHEMA = T.StructType(
-    [
-        T.StructField("phenocam_name", T.StringType()),
-        T.StructField("lat", T.DoubleType()),
-        T.StructField("lon", T.DoubleType()),
-        T.StructField("roi_type", T.StringType()),
-        T.StructField("roi_id", T.IntegerType()),
-        T.StructField("first_date", T.DateType()),
-        T.StructField("last_date", T.DateType()),
-        T.StructField("site_years", T.DoubleType()),
-    ]
-)
-
-ANNOTATION_SCHEMA = T.StructType(
-    [
-        T.StructField("file", T.StringType()),
-        T.StructField("crop_status", T.IntegerType()),
-        T.StructField("crop_type", T.IntegerType()),
-        T.StructField("dominant_cover", T.IntegerType()),
-        T.StructField("time", T.IntegerType()),
-    ]
-)
-
-SPLIT_SCHEMA = T.StructType(
-    [T.StructField("filename", T.StringType()), T.StructField("is_validation", T.BooleanType())]
-)
-
 # predictions as exchanged between stages: one DOUBLE column per class
 PREDICTION_CSV_SCHEMA = T.StructType(
     [T.StructField("filepath", T.StringType()), T.StructField("file", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for category in CATEGORIES for c in class_columns(category)]
 )
-
-FINAL_SCHEMA = T.StructType(
-    [
-        T.StructField("phenocam_name", T.StringType()),
-        T.StructField("year", T.IntegerType()),
-        T.StructField("date", T.DateType()),
-        T.StructField("dominant_cover", T.StringType()),
-        T.StructField("crop_status", T.StringType()),
-        T.StructField("crop_type", T.StringType()),
-    ]
-)

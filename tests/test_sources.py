@@ -10,7 +10,9 @@ import __spark_entry__ as entry
 from fieldstate import schema as S
 from fieldstate.functions import names as N
 from fieldstate.operators import parsing, scoring, series
+from fieldstate.plans import catalog
 from fieldstate.sources import manifests, tables
+from oracle import QUERIES as SQL
 
 
 def test_read_skip_header_over_a_folder(spark, tmp_path):
@@ -80,13 +82,13 @@ def test_scoring_batches_and_rounds(spark):
 
         return model
 
-    got = scoring.score_images(df, load, ["x"]).select("id", "crop_type", scoring.argmax_label("crop_type").alias("k")).collect()
+    got = scoring.score_images(df, load, ["x"], keys=["id"]).select("id", "crop_type", scoring.argmax_label("crop_type").alias("k")).collect()
     assert len(got) == 1203
     assert all(r.crop_type[0] == pytest.approx(round(r.id / 1203, 4)) and sum(r.crop_type) == pytest.approx(1) for r in got)
     assert all(r.k == (0 if r.crop_type[0] >= r.crop_type[1] else 1) for r in got)
 
 
 def test_every_query_has_sql_and_entry_runs(spark):
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(SQL) and set(entry.oracle_sql()) <= set(entry.queries())
     rows = entry.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"phenocam_name", "year", "date", "category", "class", "prior_day_class", "transition", "doy"}

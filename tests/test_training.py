@@ -56,6 +56,24 @@ def test_take_exactly_any_size(spark, n):
     assert all(r.hit for r in order[:n]) and not any(r.hit for r in order[n:])
 
 
+def test_split_of_images_listed_twice(spark):
+    df = labelled(spark, 60).union(labelled(spark, 60))
+    rows = training.holdout_split(df, "(site3)")
+    assert rows.columns == [*df.columns, "is_validation"]
+    got = Counter((r.filename, r.is_validation) for r in rows.collect())
+    assert sum(got.values()) == 120 and sum(n for (_, v), n in got.items() if v) == 24
+    assert all(got[f, True] == 2 for f, _ in got if f.startswith("site3"))
+
+
+def test_resample_with_one_combination_of_nearly_all_rows(spark):
+    hot = F.when(F.col("id") % 100 == 0, 1).otherwise(2)
+    df = labelled(spark, 2000).withColumn("id", F.regexp_extract("filename", r"(\d+)$", 1).cast("long"))
+    df = df.withColumns({"dominant_cover": hot, "crop_type": F.lit(1), "crop_status": F.lit(1)}).drop("id")
+    df = df.union(df.filter("dominant_cover = 1"))  # files listed twice count twice
+    got = Counter(r.dominant_cover for r in training.resample_balanced(df, n=4000).collect())
+    assert sum(got.values()) == 4000 and abs(got[1] - 2000) < 5 * np.sqrt(2000)
+
+
 def test_resample_draws_combinations_evenly(spark):
     df = labelled(spark, 600)
     got = training.resample_balanced(df, n=6000).select("draw", *training.LABELS).collect()
@@ -138,7 +156,24 @@ def test_metrics_with_classes_missing_on_one_side(spark):
     overall = {r.term: r.estimate for r in evaluate.overall_metrics(metrics.filter("class <> 'y'"), sizes).collect()}
     assert overall["recall"] == pytest.approx(0.6) and overall["precision"] is None
     cells = {(r.true_class, r.predicted_class): r.n for r in evaluate.confusion_matrix(df).collect()}
-    assert cells == {("x", "x"): 3, ("x", "y"): 1, ("z", "x"): 1, ("z", "y"): 0}
+    # a missing prediction is a level of the matrix and no part of the metrics
+    assert cells == {("x", "x"): 3, ("x", "y"): 1, ("x", None): 1, ("z", "x"): 1, ("z", "y"): 0, ("z", None): 0}
+
+
+def test_images_without_prediction_stay_in_the_evaluation(spark):
+    truth = spark.createDataFrame(
+        [("a", "f1", 2020, date(2020, 1, 1), "crop_type", "val", "corn"), ("a", "f2", 2020, date(2020, 1, 2), "crop_type", "val", "corn")],
+        "phenocam_name STRING, filename STRING, year INT, date DATE, category STRING, data_type STRING, true_class STRING")
+    top = spark.createDataFrame([("f1", "crop_type", "corn"), ("f3", "crop_type", "corn")], "file STRING, category STRING, maxprob_class STRING")
+    pairs = evaluate.raw_eval_set(truth, top)
+    assert {(r.filename, r.maxprob_class) for r in pairs.collect()} == {("f1", "corn"), ("f2", None)}
+    assert [r.n_images for r in evaluate.truth_counts(truth, ("a",)).collect()] == [2]
+
+
+def test_undated_names_are_listed(spark):
+    df = spark.createDataFrame([("site1_2020_01_02_120000.jpg",), ("thumb_7.jpg",), ("site1_2020_13_02_120000.jpg",)], "file STRING")
+    assert "thumb_7.jpg" in [r.file for r in checks.undated_files(df).collect()]
+    assert "site1_2020_01_02_120000.jpg" not in [r.file for r in checks.undated_files(df).collect()]
 
 
 def test_maxprob_keeps_ties_and_first_takes_lowest_code(spark):
