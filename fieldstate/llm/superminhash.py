@@ -5,13 +5,14 @@ the element's j-th slot. Ranks of one element are correlated, which lowers the v
 holds less than j + 1, later steps cannot lower any and are not made. Long texts need two or three steps of the 120.
 
 Nothing forms all pairs of a bucket. Texts with equal sets collapse first. Then each bucket names a centre, and only pairs
-with a centre are verified. Rows that do not link with it stay open and meet further centres, together with those linked
-rows that the triangle inequality of the Jaccard distance lets reach an open one. So no link between two groups is lost
-because a third text stood at the centre.
+with a centre are verified. Rows that end in another group than the bucket's first stay open and become centres in turn,
+together with those rows that the triangle inequality of the Jaccard distance lets reach an open one. So no link between
+two groups is lost because a third text stood at the centre.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -153,59 +154,67 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, label
     )
 
 
-def links(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): verified links that join all texts which any chain of links through shared buckets joins."""
-    spark = reps.sparkSession
-    limit = percent / 100
+def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, component) of the texts (id, n, bands) that link with another one.
+
+    Every bucket has a base, its smallest id. A row is open while its group differs from the base's. Each round, open rows
+    become centres and are compared with the whole bucket; then groups are formed anew from all links found. Rows of one
+    group need no comparison, so a bucket is done when no row is open, and each round ends at least one open row of it.
+    """
+    slack = 1 - percent / 100 + 1e-9
     rows = reps.filter("n > 0").select(F.explode("bands").alias("bucket"), "id", "n", F.lit(True).alias("open"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    rows = rows.join(shared, "bucket")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("base")).filter("size > 1").drop("size")
+    rows = C.written(rows.join(C.written(shared, "bases"), "bucket"), "buckets")
     # the texts that share a bucket with another, once; later rounds keep those that are still in question
     texts = C.written(texts.join(rows.select("id").distinct(), "id", "left_semi"), "texts")
     done: DataFrame | None = None
-    round_ = 0
-    while True:
+    for round_ in itertools.count():
         slots = 4**round_
         slot = F.when(F.lit(slots) == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(slots)))
         opened = rows.filter("open").withColumn("slot", slot.cast("long"))
         centres = opened.groupBy("bucket", "slot").agg(F.min(F.struct("id", "n")).alias("c"))
         first = centres.groupBy("bucket").agg(F.min("c.id").alias("first"))
         centres = centres.join(first, "bucket").select("bucket", "first", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"))
+        centres = C.written(centres, f"centres-{round_}")  # so that the join is of plain shuffles, and a hot bucket can be split
         met = rows.join(centres, "bucket").filter("id <> centre")
         # sizes alone rule out most pairs that merely share a band
         near = met.filter(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
-        pairs = near.select(F.least("id", "centre").alias("centre"), F.greatest("id", "centre").alias("id"),
-                            F.when(F.col("id") < F.col("centre"), F.col("n")).otherwise(F.col("cn")).alias("cn"),
-                            F.when(F.col("id") < F.col("centre"), F.col("cn")).otherwise(F.col("n")).alias("n")).distinct()
+        swap = F.col("id") < F.col("centre")
+        pairs = near.select(
+            F.least("id", "centre").alias("centre"), F.greatest("id", "centre").alias("id"),
+            F.when(swap, F.col("n")).otherwise(F.col("cn")).alias("cn"), F.when(swap, F.col("cn")).otherwise(F.col("n")).alias("n"),
+        ).distinct()
         if done is not None:
             pairs = pairs.join(done, ["centre", "id"], "left_anti")
         found = verified(pairs, texts, width, percent, f"pairs-{round_}")
         done = found if done is None else done.unionByName(found)
+        grouped = components(done.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+
         # distance of every row to its bucket's first centre, from below where only the sizes are known
-        seen = done.select(F.col("centre").alias("lo"), F.col("id").alias("hi"), "j", "linked")
-        to_first = (
+        seen = done.select(F.col("centre").alias("lo"), F.col("id").alias("hi"), "j")
+        apart = 1 - F.coalesce("j", F.least("n", "cn") / F.greatest("n", "cn"))
+        left = (
             met.filter("centre = first")
             .withColumns({"lo": F.least("id", "centre"), "hi": F.greatest("id", "centre")})
             .join(seen, ["lo", "hi"], "left")
-            .select("bucket", "id", "n", "open", F.coalesce("linked", F.lit(False)).alias("linked"),
-                    (1 - F.coalesce("j", F.least("n", "cn") / F.greatest("n", "cn"))).alias("d"))
+            .select("bucket", "id", "n", "base", apart.alias("d"))
+            .join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
+            .join(grouped, "id", "left")
+            .join(grouped.select(F.col("id").alias("base"), F.col("component").alias("of_base")), "base", "left")
+            .withColumn("open", F.coalesce("component", "id") != F.coalesce("of_base", "base"))
         )
-        stays = to_first.join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-        stays = stays.withColumn("open", F.col("open") & ~F.col("linked"))
-        least = stays.filter("open").groupBy("bucket").agg(F.min("d").alias("reach"))
-        rows = C.written(
-            stays.join(least, "bucket").filter(f"open OR d >= reach - {1 - limit + 1e-9}").select("bucket", "id", "n", "open"), f"open-{round_}"
-        )
-        round_ += 1
+        # by the triangle inequality, rows nearer to the first centre than this cannot link with an open one
+        reach = left.filter("open").groupBy("bucket").agg(F.min("d").alias("reach"))
+        rows = left.join(reach, "bucket").filter(f"open OR d >= reach - {slack}").select("bucket", "id", "n", "open", "base")
+        rows = C.written(rows, f"open-{round_}")
         if rows.isEmpty():
-            break
+            return grouped
         texts = C.written(texts.join(rows.select("id").distinct(), "id", "left_semi"), f"texts-{round_}")
-    return done.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable. Union-find as alternating stars: every round hangs all neighbours of a node
-    under the least one near it, so the depth of the trees shrinks at least by half; it ends when nothing moves."""
+    under the least one near it, so the depth of the trees shrinks at least by half; it ends when all trees are stars."""
     def star(e: DataFrame, larger_only: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if larger_only:  # small star: a node and its smaller neighbours go under the least of them
@@ -218,13 +227,12 @@ def components(edges: DataFrame) -> DataFrame:
             out = both.join(least, "u").filter("v > u").select("v", "m")
         return out.filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
-    edges, before = edges.distinct(), None
-    for k in range(10_000):
+    edges = edges.distinct()
+    for k in itertools.count():
         edges = C.written(star(star(edges, False), True), f"stars-{k}")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        deep = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi")
+        if deep.isEmpty() and edges.groupBy("b").count().filter("count > 1").isEmpty():  # every tree is a star
             break
-        before = state
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
@@ -244,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = C.written(sketched(brief, width), "sketch")
     reps = sketch.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     own = sketch.join(reps, "digest").filter("id = rep").select("id", "n", "bands")
-    found = components(links(own, brief, width, percent)).withColumnRenamed("id", "rep")
+    found = groups(own, brief, width, percent).withColumnRenamed("id", "rep")
     rep = sketch.join(reps, "digest", "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     group = rep.join(found, "rep", "left").select(F.col("id").alias("_key"), "n", F.coalesce("component", "rep", "id").alias("_c"))
     near = F.struct(

@@ -126,3 +126,20 @@ def test_sketch_estimates_similarity_with_less_variance_than_independent_draws()
     assert np.std(estimates) < (j * (1 - j) / superminhash.SLOTS) ** 0.5
     small = superminhash.sketches(np.array([5], np.uint64), np.array([0, 1, 1]))
     assert np.isfinite(small[0]).all() and np.isinf(small[1]).all()
+
+
+def test_families_around_the_threshold(spark):
+    """Copies of two originals with independent edits: many pairs just above and below the threshold, and chains of links."""
+    rng = random.Random(31)
+    docs = []
+    for family in range(2):
+        original = [f"f{family}w{k}" for k in range(140)]
+        for _ in range(45):
+            copy = list(original)
+            for k in rng.sample(range(140), rng.randrange(1, 8)):
+                copy[k] = f"e{rng.randrange(10**9)}"
+            docs.append(" ".join(copy))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(frame(spark, docs), width=3, percent=85).select("doc_id", "near.component_id").collect()}
+    assert got == {i: c for i, (_, c) in plain.groups(docs, 3, 85).items()}
