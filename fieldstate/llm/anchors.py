@@ -34,10 +34,6 @@ from fieldstate.llm import common as C
 START, COUNT, CHECK = 28, (1 << 8) - 1, (1 << 20) - 1
 
 
-def checksum(text: bytes) -> int:
-    return crc32(text) & CHECK
-
-
 @dataclass(frozen=True)
 class Windows:
     """``unit``: "word" or "byte". Anchor grams have ``gram`` symbols. ``hot``: occurrences of an anchor kept together."""
@@ -46,6 +42,11 @@ class Windows:
     window: int
     gram: int
     hot: int = 2000
+    #: False where ids are known to be unique; then texts need no checksum and the places are shorter.
+    checked: bool = True
+
+    def checksum(self, text: bytes) -> int:
+        return crc32(text) & CHECK if self.checked else 0
 
     @property
     def choices(self) -> int:
@@ -73,7 +74,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.ndarray,
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, total))
-    checks = np.fromiter((checksum(data[a:b]) for a, b in zip(offsets, offsets[1:])), np.int64, len(offsets) - 1)
+    checks = np.fromiter((w.checksum(data[a:b]) for a, b in zip(offsets, offsets[1:])), np.int64, len(offsets) - 1)
     return grams[at[first]].view(np.int64), row[first], start[first] << START | checks[row[first]] << 8 | count
 
 
@@ -149,7 +150,7 @@ def cold_runs(marked: DataFrame, w: Windows) -> DataFrame:
             size = 0
             for i in range(len(batch)):
                 own, text = ids[i].as_py(), texts[i].as_py() or b""
-                cut, check = pieces(text, w), checksum(text)
+                cut, check = pieces(text, w), w.checksum(text)
                 for a, r, hot in listed(lists[i]):
                     if not hot and r >> 8 & CHECK == check:
                         out[0].append(a), out[1].append(own), out[2].append(r)
@@ -183,7 +184,7 @@ def hot_windows(marked: DataFrame, w: Windows) -> DataFrame:
                 if not runs_:
                     continue
                 own, text = ids[i].as_py(), texts[i].as_py() or b""
-                cut, check = pieces(text, w), checksum(text)
+                cut, check = pieces(text, w), w.checksum(text)
                 for r in runs_:
                     if r >> 8 & CHECK != check:
                         continue
@@ -269,6 +270,11 @@ def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
 
 
+def repeats_ids(keyed: DataFrame) -> bool:
+    """Whether any ``_key`` stands twice; reads nothing but the ids."""
+    return not keyed.groupBy("_key").count().filter("count > 1").isEmpty()
+
+
 def marked_documents(docs: DataFrame, w: Windows, judge: Judge, label: str, text_col: str = "text") -> DataFrame:
     """``docs`` with two more columns for ``covered``: ``_runs`` (repeated anchors' windows) and ``_firsts`` (windows first there).
 
@@ -304,11 +310,11 @@ def spread(length: int, starts: np.ndarray, counts: np.ndarray | int) -> np.ndar
     return np.cumsum(step)[:length] > 0
 
 
-def covered_row(length: int, text: bytes, runs_: pa.ListScalar, firsts: pa.ListScalar, window: int) -> np.ndarray:
+def covered_row(length: int, text: bytes, runs_: pa.ListScalar, firsts: pa.ListScalar, w: Windows) -> np.ndarray:
     """``covered`` for one row of Arrow values as ``marked_documents`` gives them."""
     if runs_.values is None:
         return np.zeros(length, bool)
     starts = counts = None
     if firsts.values is not None:
         starts, counts = (firsts.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    return covered(length, checksum(text), runs_.values.to_numpy(zero_copy_only=False), starts, counts, window)
+    return covered(length, w.checksum(text), runs_.values.to_numpy(zero_copy_only=False), starts, counts, w.window)

@@ -100,7 +100,9 @@ def substring_dedup(
     an id and text are one place, so they keep alike; a null id is the smallest. An empty table gives an empty table.
     Other columns pass through unread.
     """
-    w = A.Windows("word", window, gram, hot)
+    plain = set(docs.columns) == {id_col, text_col}
+    keyed = docs.select(C.key(id_col).alias("_key"), text_col) if plain else docs.withColumn("_key", C.key(id_col))
+    w = A.Windows("word", window, gram, hot, A.repeats_ids(keyed))
 
     @F.arrow_udf(RESULT)
     def cut(texts: pa.Array, runs_: pa.Array, firsts: pa.Array) -> pa.Array:
@@ -109,14 +111,12 @@ def substring_dedup(
         for i in range(len(texts)):
             text = texts[i].as_py() or b""
             words = text.split()
-            gone = A.covered_row(len(words), text, runs_[i], firsts[i], window)
+            gone = A.covered_row(len(words), text, runs_[i], firsts[i], w)
             kept = [x for x, g in zip(words, gone.tolist()) if not g] if gone.any() else words
             out[0].append(len(words)), out[1].append(len(words) - len(kept)), out[2].append(b" ".join(kept))
         kept = pa.array(out[2], pa.binary()).cast(pa.string())
         return pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), kept], ["n_words", "n_removed", "kept"])
 
-    plain = set(docs.columns) == {id_col, text_col}
-    keyed = docs.select(C.key(id_col).alias("_key"), text_col) if plain else docs.withColumn("_key", C.key(id_col))
     marked = A.marked_documents(keyed, w, judge(window), "substring", text_col)
     out = marked.withColumn("substring", cut(text_col, "_runs", "_firsts"))
     if plain:

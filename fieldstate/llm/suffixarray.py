@@ -106,7 +106,7 @@ RESULT = "n_bytes long, n_removed long, n_spans long, sha256 string, kept string
 
 
 def suffix_array_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, gram: int = 24, hot: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, gram: int = 24, hot: int = 1000
 ) -> DataFrame:
     """All rows and columns of ``docs`` and a struct ``suffixes`` (n_bytes, n_removed, n_spans, sha256, kept).
 
@@ -116,7 +116,9 @@ def suffix_array_dedup(
     Empty and null texts give (0, 0, 0, sha256 of nothing, ""). Rows that repeat an id and text are one place and keep
     alike; a null id is the smallest. An empty table gives an empty table. Other columns pass through unread.
     """
-    w = A.Windows("byte", window, gram, hot)
+    plain = set(docs.columns) == {id_col, text_col}
+    keyed = docs.select(C.key(id_col).alias("_key"), text_col) if plain else docs.withColumn("_key", C.key(id_col))
+    w = A.Windows("byte", window, gram, hot, A.repeats_ids(keyed))
 
     @F.arrow_udf(RESULT)
     def cut(texts: pa.Array, runs_: pa.Array, firsts: pa.Array) -> pa.Array:
@@ -124,7 +126,7 @@ def suffix_array_dedup(
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for i in range(len(texts)):
             text = texts[i].as_py() or b""
-            gone = A.covered_row(len(text), text, runs_[i], firsts[i], window)
+            gone = A.covered_row(len(text), text, runs_[i], firsts[i], w)
             spans = A.stretches(gone)
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
             out[0].append(len(text)), out[1].append(len(text) - len(kept)), out[2].append(len(spans))
@@ -132,8 +134,6 @@ def suffix_array_dedup(
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
-    plain = set(docs.columns) == {id_col, text_col}
-    keyed = docs.select(C.key(id_col).alias("_key"), text_col) if plain else docs.withColumn("_key", C.key(id_col))
     marked = A.marked_documents(keyed, w, judge(window), "suffixes", text_col)
     out = marked.withColumn("suffixes", cut(text_col, "_runs", "_firsts"))
     if plain:

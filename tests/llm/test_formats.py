@@ -142,5 +142,5 @@ def test_hot_anchors_give_the_same(spark, monkeypatch):
     from fieldstate.llm import anchors
 
     plain = anchors.Windows
-    monkeypatch.setattr(html.A, "Windows", lambda *a: plain(*a, hot=2))
+    monkeypatch.setattr(html.A, "Windows", lambda *a, **k: plain(*a, hot=2, **k))
     assert sorted(map(tuple, html.main_text(df).collect())) == want
