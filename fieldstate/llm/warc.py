@@ -7,6 +7,7 @@ runs. Ranges split even a single url's captures, so neither a hot url nor a hot
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -63,9 +64,9 @@ def record() -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, smallest: int = SMALLEST) -> None:
-    """Archive files of all rows of (page_id, url, html) under ``path``, which must not exist."""
+    """Archive files, compressed as a whole, of all rows of (page_id, url, html) under ``path``, which must not exist."""
     records = with_originals(pages, smallest).select(record().alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
@@ -100,14 +101,14 @@ TYPES = [{"string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in INDE
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """A sorted run for each archive file under ``path``. Digests and sizes of responses come from the payload read."""
+    """A sorted run for each archive file under ``path``; offsets and lengths are those before compression. Digests and sizes of responses come from the payload read."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
                 run = uuid.uuid5(uuid.NAMESPACE_URL, name).hex
-                for headers, offset, length, block in parsed(content.as_py()):
+                for headers, offset, length, block in parsed(gzip.decompress(content.as_py())):
                     top = block.index(b"\r\n\r\n") + 4
                     kind, body = headers["WARC-Type"], block[top:]
                     size, digest = len(body), sha256(body).hexdigest() if kind == "response" else ""
