@@ -25,7 +25,7 @@ from fieldstate.llm import common as C
 #: Grid steps in a window, parts of a combination, end-of-text id, groups per length in which parts are numbered.
 UNITS, DEPTH, END, SALTS = 64, 5, 1, 256
 #: Chunks whose ids a worker remembers, and their greatest length.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 800_000, 64
 #: A space between two other separators, where a cut could change how the pre-tokeniser reads the run.
 BETWEEN = re.compile(r"\s \s")
 
@@ -68,7 +68,7 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     new = list(missing)
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
-        for x, e in zip(some, tok.encode_batch(some, add_special_tokens=False)):
+        for x, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
             (memory if len(x) <= SHORT else once)[x] = np.array(e.ids, dtype="<u4").tobytes()
     return [b"".join([memory[x] if x in memory else once[x] for x in cut]) for cut in chunked]
 
