@@ -1,5 +1,6 @@
 """Quality rules, licence scan, decontamination and URL filter."""
 
+import itertools
 import random
 
 import duckdb
@@ -97,6 +98,24 @@ def test_contamination_tolerates_substitutions(spark):
     assert decontaminate.contaminations(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_seeds_reach_every_accepted_pattern():
+    assert all(m[0] == m[-1] == "1" for m in decontaminate.MASKS)
+    for words in range(12, 21):
+        free = [sum(1 << (at + i) for i, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for at in range(words - len(m) + 1)]
+        for places in itertools.combinations(range(words), words // 5):
+            gone = sum(1 << p for p in places)
+            assert any(not gone & f for f in free), (words, places)
+
+
+def test_contamination_with_four_words_of_twenty_substituted(spark):
+    rng = random.Random(14)
+    lost = {20: (2, 6, 10, 14), 15: (3, 7, 11)}  # no clean place for masks of weight 8 over 12 words
+    items = [(n, " ".join(prose(rng, n, 100_000))) for n in lost]
+    docs = [(n, " ".join("changed" if k in lost[n] else w for k, w in enumerate(t.split()))) for n, t in items]
+    got = decontaminate.contaminations(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in got} == {(20, 20, 16), (15, 15, 12)}
+
+
 def test_url_rules_and_parts(spark):
     pages = [
         (1, "https://WWW.Example.com/en/1?x#y"), (2, "http://a.example.com/en/1"), (3, "http://example.com/de/"), (4, "http://x.com"), (5, None), (6, "no url"),
