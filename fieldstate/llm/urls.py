@@ -1,7 +1,7 @@
 """URL filters: explicit host and path rules, and a path-template tree with labelled purity for all other pages.
 
-The tree grows per host, level by level: a segment whose parent has many children, none of which stands out, becomes a
-wildcard. Every node counts its labelled pages. Walking down a template, a branch whose share of bad pages does not differ
+The tree grows per host, level by level: under a parent with many children, a segment that holds few of the pages and whose
+share of bad ones does not differ significantly from its siblings' becomes a wildcard. Every node counts its labelled pages. Walking down a template, a branch whose share of bad pages does not differ
 significantly from the node above is merged into it; a template takes the verdict of the last node that stands by itself.
 Counts are summed before every shuffle, so a host may hold most pages.
 """
@@ -18,12 +18,19 @@ RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 )
 #: Levels of the tree; a longer path ends in one segment "**". A parent with more children than this generalises those
-#: that hold less than the share of its pages.
-LEVELS, CHILDREN, SHARE = 8, 12, 0.05
+#: that hold less than the share of its pages; one of so many pages or more only if its labels do not tell it from the others.
+LEVELS, CHILDREN, SHARE, FEW = 8, 12, 0.05, 5
 #: Branches merge below this z value. A template is blocked if its purity, smoothed by so many pages of the mean, is above.
 Z, WEIGHT, LIMIT = 2.58, 4.0, 0.5
 
 
+#: Whether l labelled pages, k of them bad, differ from the other ones of ls and ks: the z test without its divisions.
+UNLIKE = (
+    f"(l > 0 AND ls > l AND ks > 0 AND ks < ls "
+    f"AND pow(k * (ls - l) - (ks - k) * l, 2) * ls >= {Z * Z} * ks * (ls - ks) * l * (ls - l))"
+)
+
+
 def host_of(url: Column) -> Column:
     host = F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit(""))
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -44,16 +51,19 @@ def fitting_rule(rules=RULES) -> tuple[Column, Column]:
 
 
 def templated(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, path, ...) with a column ``template``: array of segments, variable ones as "*"."""
+    """``pages`` (host, path, bad, ...) with a column ``template``: array of segments, variable ones as "*"."""
     parts = F.split("path", "/", -1)
     df = pages.withColumn("_segments", F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS - 1), F.array(F.lit("**")))).otherwise(parts))
     df = C.written(df.withColumn("template", F.array().cast("array<string>")), "tree")
     for level in range(df.agg(F.max(F.size("_segments"))).first()[0] or 0):
         df = df.withColumn("_segment", F.get("_segments", F.lit(level)))
         keys = ["host", "template", "_segment"]
-        counts = df.filter("_segment IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n"))
-        parents = counts.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("total")).filter(f"children > {CHILDREN}")
-        wild = counts.join(parents, ["host", "template"]).filter(F.col("n") < SHARE * F.col("total")).select(*keys, F.lit(True).alias("_wild"))
+        counts = df.filter("_segment IS NOT NULL").groupBy(*keys).agg(
+            F.count("*").alias("n"), F.count("bad").cast("double").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
+        parents = counts.groupBy("host", "template").agg(
+            F.count("*").alias("children"), F.sum("n").alias("total"), F.sum("l").alias("ls"), F.sum("k").alias("ks")).filter(f"children > {CHILDREN}")
+        few = F.col("n") < SHARE * F.col("total")
+        wild = counts.join(parents, ["host", "template"]).filter(few & ((F.col("n") < FEW) | ~F.expr(UNLIKE))).select(*keys, F.lit(True).alias("_wild"))
         df = df.join(wild, keys, "left")
         step = F.when(F.col("_wild"), F.lit("*")).otherwise(F.col("_segment"))
         grown = F.when(F.col("_segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(step)))

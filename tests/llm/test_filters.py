@@ -145,3 +145,13 @@ def test_url_templates_and_purity(spark):
     assert got == {("/spam/*/view", "block"), ("/news/*/view", "allow"), ("/a/*", "allow"), ("/b/*", "allow")}
     # a and b do not differ significantly, so both stand on their host's counts
     assert {(r.labelled, r.bad) for r in out.filter("host = 'other.org'").select("labelled", "bad").collect()} == {(100, 12.0)}
+
+
+def test_bad_section_stays_apart_whatever_the_number_of_siblings(spark):
+    for sections in (8, 40):
+        pages = [(1000 * s + k, f"http://host.org/{'casino' if s == 3 else f'part{s}'}/{k}") for s in range(sections) for k in range(30)]
+        labels = [(i, int(i // 1000 == 3)) for i, _ in pages if i % 2]
+        out = urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad long"), rules=())
+        assert {r.page_id for r in out.filter("verdict = 'block'").collect()} == {i for i, _ in pages if i // 1000 == 3}, sections
+        if sections > urls.CHILDREN:  # sections like each other still share a template, and so do single pages
+            assert {r.template for r in out.collect()} == {"/casino/*", "/*/*"}
