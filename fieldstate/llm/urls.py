@@ -1,13 +1,16 @@
 """URL filters: explicit host and path rules, and a path-template tree with labelled purity for all other pages.
 
 The tree grows per host, level by level: under a parent with many children, a segment that holds few of the pages and whose
-share of bad ones does not differ significantly from its siblings' becomes a wildcard. Every node counts its labelled pages. Walking down a template, a branch whose share of bad pages does not differ
-significantly from the node above is merged into it; a template takes the verdict of the last node that stands by itself.
+share of bad ones does not differ significantly from its siblings' becomes a wildcard. Every node counts its labelled pages.
+Walking down a template, a branch whose share of bad pages does not differ significantly from the node above is merged into
+it; a template takes the verdict of the last node that stands by itself.
 Counts are summed before every shuffle, so a host may hold most pages.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,8 @@ from fieldstate.llm import common as C
 RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 )
-#: Levels of the tree; a longer path ends in one segment "**". A parent with more children than this generalises those
-#: that hold less than the share of its pages; one of so many pages or more only if its labels do not tell it from the others.
-LEVELS, CHILDREN, SHARE, FEW = 8, 12, 0.05, 5
+#: A parent with more children than this generalises those that hold less than the share of its pages; one of so many pages or more only if its labels do not tell it from the others.
+CHILDREN, SHARE, FEW = 12, 0.05, 5
 #: Branches merge below this z value. A template is blocked if its purity, smoothed by so many pages of the mean, is above.
 Z, WEIGHT, LIMIT = 2.58, 4.0, 0.5
 
@@ -52,23 +54,30 @@ def fitting_rule(rules=RULES) -> tuple[Column, Column]:
 
 def templated(pages: DataFrame) -> DataFrame:
     """``pages`` (host, path, bad, ...) with a column ``template``: array of segments, variable ones as "*"."""
-    parts = F.split("path", "/", -1)
-    df = pages.withColumn("_segments", F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS - 1), F.array(F.lit("**")))).otherwise(parts))
-    df = C.written(df.withColumn("template", F.array().cast("array<string>")), "tree")
-    for level in range(df.agg(F.max(F.size("_segments"))).first()[0] or 0):
+    df = pages.withColumn("_segments", F.split("path", "/", -1)).withColumn("template", F.array().cast("array<string>"))
+    df = C.written(df.withColumn("_open", F.lit(True)), "tree")
+    closed, level = [], 0
+    # only rows whose path goes on, below a node of more pages than CHILDREN, reach the next level
+    while not (df := df.filter("_open")).isEmpty():
         df = df.withColumn("_segment", F.get("_segments", F.lit(level)))
         keys = ["host", "template", "_segment"]
-        counts = df.filter("_segment IS NOT NULL").groupBy(*keys).agg(
+        counts = df.groupBy(*keys).agg(
             F.count("*").alias("n"), F.count("bad").cast("double").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
         parents = counts.groupBy("host", "template").agg(
             F.count("*").alias("children"), F.sum("n").alias("total"), F.sum("l").alias("ls"), F.sum("k").alias("ks")).filter(f"children > {CHILDREN}")
         few = F.col("n") < SHARE * F.col("total")
-        wild = counts.join(parents, ["host", "template"]).filter(few & ((F.col("n") < FEW) | ~F.expr(UNLIKE))).select(*keys, F.lit(True).alias("_wild"))
-        df = df.join(wild, keys, "left")
-        step = F.when(F.col("_wild"), F.lit("*")).otherwise(F.col("_segment"))
-        grown = F.when(F.col("_segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(step)))
-        df = C.written(df.withColumn("template", grown).drop("_segment", "_wild"), f"tree-{level}")
-    return df.drop("_segments")
+        wild = F.coalesce(few & ((F.col("n") < FEW) | ~F.expr(UNLIKE)), F.lit(False))
+        # so few pages have no more children further down, so they keep the rest of their paths
+        known = counts.join(parents, ["host", "template"], "left").withColumn("_wild", wild).filter(f"_wild OR n <= {CHILDREN}")
+        df = df.join(known.select(*keys, "_wild"), keys, "left")
+        left = F.slice("_segments", level + 1, F.size("_segments"))
+        step = F.when(F.col("_wild"), F.array(F.lit("*"))).when(~F.col("_wild"), left).otherwise(F.array("_segment"))
+        goes_on = F.coalesce("_wild", F.lit(True)) & (F.size("_segments") > level + 1)
+        grown = df.withColumn("template", F.concat("template", step)).withColumn("_open", goes_on)
+        df = C.written(grown.drop("_segment", "_wild"), f"tree-{level}")
+        closed.append(df.filter("NOT _open"))
+        level += 1
+    return reduce(DataFrame.unionByName, closed, df).drop("_segments", "_open")
 
 
 def purity(pages: DataFrame) -> DataFrame:

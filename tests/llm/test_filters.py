@@ -155,3 +155,12 @@ def test_bad_section_stays_apart_whatever_the_number_of_siblings(spark):
         assert {r.page_id for r in out.filter("verdict = 'block'").collect()} == {i for i, _ in pages if i // 1000 == 3}, sections
         if sections > urls.CHILDREN:  # sections like each other still share a template, and so do single pages
             assert {r.template for r in out.collect()} == {"/casino/*", "/*/*"}
+
+
+def test_deep_branches_stay_apart(spark):
+    pages = [(1000 * d + k, f"http://host.org/a/b/c/d/e/f/g/h/{'spam' if d else 'news'}/{k}/view") for d in range(2) for k in range(40)]
+    pages += [(5000, "http://host.org/a/b" + "/x" * 300)]  # one long path needs no rounds of its own
+    labels = [(i, int(i // 1000 == 1)) for i, _ in pages if i % 2]
+    out = urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad long"), rules=()).collect()
+    assert len(out) == len(pages) and {r.page_id for r in out if r.verdict == "block"} == {1000 + k for k in range(40)}
+    assert {r.template for r in out} == {"/a/b/c/d/e/f/g/h/spam/*/view", "/a/b/c/d/e/f/g/h/news/*/view", "/a/b" + "/x" * 300}
