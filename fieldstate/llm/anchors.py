@@ -141,12 +141,14 @@ def listed(runs_: pa.ListScalar) -> Iterator[tuple[int, int, bool]]:
 
 
 def cold_runs(marked: DataFrame, w: Windows) -> DataFrame:
-    """The symbols of every run of an anchor that is not hot."""
+    """The symbols of every run of an anchor that is not hot; a fourth column of ``marked`` (need) goes along."""
+    further = len(marked.columns) > 3
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, lists = batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            needs = batch.column(3).to_pylist() if further else None
+            out: tuple[list, ...] = ([], [], [], [], [])[: 4 + further]
             size = 0
             for i in range(len(batch)):
                 own, text = ids[i].as_py(), texts[i].as_py() or b""
@@ -156,18 +158,21 @@ def cold_runs(marked: DataFrame, w: Windows) -> DataFrame:
                         out[0].append(a), out[1].append(own), out[2].append(r)
                         out[3].append(cut(r >> START, (r >> START) + (r & COUNT) + w.window - 1))
                         size += len(out[3][-1])
+                        if further:
+                            out[4].append(needs[i])
                 if size > 4 * C.SLICE:
                     yield cold_batch(*out)
-                    out, size = ([], [], [], []), 0
+                    out, size = ([], [], [], [], [])[: 4 + further], 0
             if out[0]:
                 yield cold_batch(*out)
 
-    return marked.mapInArrow(emit, COLD)
+    return marked.mapInArrow(emit, COLD + ", need long" * further)
 
 
-def cold_batch(anchor: list, ids: list, run: list, content: list) -> pa.RecordBatch:
+def cold_batch(anchor: list, ids: list, run: list, content: list, *need: list) -> pa.RecordBatch:
     arrays = [pa.array(anchor, pa.int64()), pa.array(ids, pa.int64()), pa.array(run, pa.int64()), pa.array(content, pa.binary())]
-    return pa.record_batch(arrays, ["anchor", "id", "run", "content"])
+    arrays += [pa.array(n, pa.int64()) for n in need]
+    return pa.record_batch(arrays, ["anchor", "id", "run", "content", "need"][: len(arrays)])
 
 
 def hot_windows(marked: DataFrame, w: Windows) -> DataFrame:

@@ -144,3 +144,18 @@ def test_hot_anchors_give_the_same(spark, monkeypatch):
     plain = anchors.Windows
     monkeypatch.setattr(html.A, "Windows", lambda *a, **k: plain(*a, hot=2, **k))
     assert sorted(map(tuple, html.main_text(df).collect())) == want
+
+
+def test_copies_and_shared_passages_keep_their_text(spark):
+    menu = "Home About us Contact Imprint Terms of use and privacy policy of this site"
+    own = {k: " ".join(f"p{k}w{i}" for i in range(30)) for k in range(12)}
+    passage = "a passage of ten words that two bodies have alike"
+    body = {k: f"{own[k]} {passage}" if k in (4, 5) else own[k] for k in own}
+    page = lambda k: f"<div>{menu}</div><p>{body[k]}</p>"
+    pages = [(k, f"http://h.org/en/{k}", page(k)) for k in own]
+    pages += [(100 + k, f"http://h.org/en/7?page={k}", page(7)) for k in range(9)]  # copies of one body
+    pages += [(200 + k, f"http://one.org/{k}", page(3)) for k in range(4)]  # a host of one page
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    want = {k: body[k] for k in own} | {100 + k: body[7] for k in range(9)} | {200 + k: f"{menu}\n{body[3]}" for k in range(4)}
+    assert got == want
