@@ -190,14 +190,15 @@ def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
         done = found if done is None else done.unionByName(found)
         grouped = components(done.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
 
-        # distance of every row to its bucket's first centre, from below where only the sizes are known
+        # distance of every row to its bucket's first centre; between these bounds where only the sizes are known
         seen = done.select(F.col("centre").alias("lo"), F.col("id").alias("hi"), "j")
         apart = 1 - F.coalesce("j", F.least("n", "cn") / F.greatest("n", "cn"))
+        at_most = 1 - F.coalesce("j", F.lit(0.0))
         left = (
             met.filter("centre = first")
             .withColumns({"lo": F.least("id", "centre"), "hi": F.greatest("id", "centre")})
             .join(seen, ["lo", "hi"], "left")
-            .select("bucket", "id", "n", "base", apart.alias("d"))
+            .select("bucket", "id", "n", "base", apart.alias("d"), at_most.alias("far"))
             .join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
             .join(grouped, "id", "left")
             .join(grouped.select(F.col("id").alias("base"), F.col("component").alias("of_base")), "base", "left")
@@ -205,7 +206,7 @@ def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
         )
         # by the triangle inequality, rows nearer to the first centre than this cannot link with an open one
         reach = left.filter("open").groupBy("bucket").agg(F.min("d").alias("reach"))
-        rows = left.join(reach, "bucket").filter(f"open OR d >= reach - {slack}").select("bucket", "id", "n", "open", "base")
+        rows = left.join(reach, "bucket").filter(f"open OR far >= reach - {slack}").select("bucket", "id", "n", "open", "base")
         rows = C.written(rows, f"open-{round_}")
         if rows.isEmpty():
             return grouped

@@ -143,3 +143,13 @@ def test_families_around_the_threshold(spark):
     docs = list(enumerate(docs))
     got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(frame(spark, docs), width=3, percent=85).select("doc_id", "near.component_id").collect()}
     assert got == {i: c for i, (_, c) in plain.groups(docs, 3, 85).items()}
+
+
+def test_row_of_unknown_distance_stays_in_its_bucket(spark):
+    words = lambda c, a, y, z: " ".join([f"{k}{i}" for k, n in zip("cayz", (c, a, y, z)) for i in range(n)])
+    chain = [words(60, a, y, 0) for a, y in ((40, 0), (30, 0), (20, 0), (12, 7), (6, 13), (0, 19))]  # neighbours are similar
+    texts = [*enumerate(chain), (6, words(60, 0, 19, 17))]  # 5 lies in 6; its size is too far from that of 0 to be compared
+    bands = {i: [10 + k for k in range(5) if i in (k, k + 1)] + [1] * (i in (0, 5, 6)) for i, _ in texts}
+    reps = spark.createDataFrame([(i, len(t.split()), bands[i]) for i, t in texts], "id long, n long, bands array<long>")
+    got = superminhash.groups(reps, spark.createDataFrame(texts, "id long, text string"), 1, 80).collect()
+    assert {(r.id, r.component) for r in got} - {(0, 0)} == {(k, 0) for k in range(1, 7)}
