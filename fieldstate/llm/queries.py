@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fieldstate.llm import decontaminate, html, licences, packing, quality, substring, suffixarray, superminhash, urls, warc
+from fieldstate.llm import (
+    bpe, decontaminate, html, licences, packing, phrases, quality, substring, suffixarray, superminhash, urls, warc, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,10 +32,14 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": lambda s, d: urls.digest(table(s, d, "pages"), table(s, d, "labels")),
     "op9_warc": lambda s, d: warc.digest(table(s, d, "pages")),
     "op10_html_text": lambda s, d: html.main_text(table(s, d, "pages")),
+    "op11_bpe": lambda s, d: bpe.digest(table(s, d, "documents"), WORD_TOKENIZER),
+    "op12_collocations": lambda s, d: phrases.top(phrases.collocations(table(s, d, "documents"))),
+    "op13_whitening": lambda s, d: whitening.digest(table(s, d, "embeddings")),
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality.sql(),
     "op6_licence_scan": licences.sql(),
+    "op12_collocations": phrases.sql(),
 }
