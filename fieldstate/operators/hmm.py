@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from fieldstate import schema as S
 from fieldstate.functions import vectors as V
 from fieldstate.operators import series
-from fieldstate.sources.tables import stored
 
 # functions of this module travel to the workers with the job
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -186,8 +185,8 @@ def viterbi_paths(sequences: DataFrame, categories: list[str] | None = None) ->
 
 
 def _unpack(paths: DataFrame) -> DataFrame:
-    days = F.inline(F.arrays_zip(F.col("dates").alias("date"), F.col("path").alias("state")))
-    return paths.filter(F.col("path").isNotNull()).select(*KEYS, days)
+    """A row per day; a NULL path gives none. A filter on the path would run the decoder a second time."""
+    return paths.select(*KEYS, F.inline(F.arrays_zip(F.col("dates").alias("date"), F.col("path").alias("state"))))
 
 
 def viterbi_decode(sequences: DataFrame, categories: list[str] | None = None) -> DataFrame:
@@ -209,140 +208,226 @@ def hmm_output(cover: DataFrame, status: DataFrame) -> DataFrame:
     return cover.unionByName(status)
 
 
-# ---- chunked decoding of very long sequences -----------------------------------------------------------
-def _advance(best: np.ndarray, steps: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Best scores after each row of ``best`` has gone through all steps."""
-    for step in steps:
-        reach = (best[:, :, None] + transition[None]).max(axis=1)
-        best = np.maximum(np.maximum(reach, IMPOSSIBLE) + step[None], IMPOSSIBLE)
-    return best
+# ---- decoding by an associative scan -------------------------------------------------------------------
+# A day is a max-plus matrix: entry (i, j) is the score of going from state i on the day before to state j. Products of
+# such matrices are associative, so the days of a chunk, and the chunks of a sequence, are combined pairwise in a tree: up
+# the tree the products, down the tree the best scores before each block. The same is done with the maps "state after a
+# block -> state before it", which resolves the path from its end. All rows of a batch go through a level at once, so the
+# number of steps is the logarithm of the length.
+def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Max-plus product of (..., k, k) matrices, scaled so that the largest entry is 0; only differences matter."""
+    return _scaled((left[..., :, :, None] + right[..., None, :, :]).max(axis=-2))
 
 
-def _rows_of(*columns: pa.Array):
-    """Row by row: one flat array per list column."""
-    lists = [_lists(c) for c in columns]
-    for i in range(len(columns[0])):
-        yield [flat[at[i] : at[i + 1]] for at, flat in lists]
+def _scaled(m: np.ndarray) -> np.ndarray:
+    axes = (-2, -1) if m.ndim > 3 else (-1,)
+    top = m.max(axis=axes, keepdims=True)
+    return np.where(m > IMPOSSIBLE // 2, m - np.where(top > IMPOSSIBLE // 2, top, 0), IMPOSSIBLE)
 
 
-def _stack(parts: list[np.ndarray], dtype, valid: list[bool] | None = None) -> pa.Array:
-    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    values = np.concatenate(parts).astype(dtype) if parts else np.zeros(0, dtype=dtype)
-    return _pack(at, values, None if valid is None else np.array(valid, dtype=bool))
+def _ranked_product(left: np.ndarray, left_rank: np.ndarray, right: np.ndarray, right_rank: np.ndarray):
+    """:func:`_product` that also ranks, for each last state, the first states by the order in which ties are resolved.
 
-
-def _chunk_functions(categories: list[str]):
-    """Arrow functions of the chunked form. A chunk's row holds its flat probabilities; ``opens`` marks a first chunk."""
+    Tracing back takes the lowest state at each step from the end on, so of two equal paths the one wins that is lower at the
+    last step where they differ: first the right factor's rank decides, then the left one's.
+    """
+    k = left.shape[-1]
+    sums = left[..., :, :, None] + right[..., None, :, :]
+    top = sums.max(axis=-2)
+    order = np.where(sums == top[..., None, :], right_rank[..., None, :, :], k)
+    middle = order.argmin(axis=-2)
+    last = np.take_along_axis(order, middle[..., None, :], axis=-2)[..., 0, :]
+    rank = (last * k + np.take_along_axis(left_rank, middle, axis=-1)).argsort(axis=-2, kind="stable").argsort(axis=-2, kind="stable")
+    return _scaled(top), rank
+
+
+def _identity(k: int) -> np.ndarray:
+    return np.where(np.eye(k, dtype=bool), 0, IMPOSSIBLE).astype(np.int64)
+
+
+def _up(matrices: np.ndarray, combine) -> list[np.ndarray]:
+    """All levels of the tree over axis 1, whose length is a power of two; the last level holds one block."""
+    levels = [matrices]
+    while levels[-1].shape[1] > 1:
+        levels.append(combine(levels[-1][:, 0::2], levels[-1][:, 1::2]))
+    return levels
+
+
+def _down(levels: list[np.ndarray], first: np.ndarray, through, forward: bool) -> np.ndarray:
+    """What holds before each place (or after it, for ``forward`` false), given what holds at that end of the whole."""
+    value = first[:, None]
+    for blocks in levels[-2::-1]:
+        split = np.empty((value.shape[0], 2 * value.shape[1], *value.shape[2:]), value.dtype)
+        near, far = (0, 1) if forward else (1, 0)
+        split[:, near::2] = value
+        split[:, far::2] = through(value, blocks[:, near::2])
+        value = split
+    return value
+
+
+def _entries(levels: list[np.ndarray], entry: np.ndarray) -> np.ndarray:
+    """Best scores before each place."""
+    return _down(levels, entry, lambda v, m: _scaled_rows((v[..., :, None] + m).max(axis=-2)), True)
+
+
+def _scaled_rows(v: np.ndarray) -> np.ndarray:
+    top = v.max(axis=-1, keepdims=True)
+    return np.where(v > IMPOSSIBLE // 2, v - np.where(top > IMPOSSIBLE // 2, top, 0), IMPOSSIBLE)
+
+
+def _states(origins: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """State after each place, from the maps back over each place and the state after the last."""
+    levels = _up(origins, lambda left, right: np.take_along_axis(left, right, axis=-1))
+    return _down(levels, last, lambda s, m: np.take_along_axis(m, s[..., None], axis=-1)[..., 0], False)
+
+
+def _padded(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a flat list as (row, place, width) with a power of two of places, and which places are there."""
+    lengths = np.diff(offsets) // width
+    places = 1 << max(int(lengths.max(initial=1)) - 1, 0).bit_length()
+    there = np.arange(places) < lengths[:, None]
+    grid = np.zeros((len(lengths), places, width), flat.dtype)
+    grid[there] = flat.reshape(-1, width)
+    return grid, there
+
+
+def _day_matrices(flat: np.ndarray, offsets: np.ndarray, transition: np.ndarray, opens: np.ndarray | None):
+    """(row, day, k, k) matrices of chunks. The first day of a chunk keeps the state (it has no day before) where it opens a
+    sequence; with ``opens`` None that day is left to the caller, and its scores are returned. Missing days are identities."""
+    k = len(transition)
+    grid, there = _padded(_fixed(flat), offsets, k)
+    days = np.maximum(transition + grid[:, :, None, :], IMPOSSIBLE)
+    days[~there] = _identity(k)
+    if opens is None:
+        days[:, 0] = _identity(k)
+    else:
+        days[opens, 0] = np.maximum(_identity(k) + grid[opens, 0, None, :], IMPOSSIBLE)
+    return days, there, grid[:, 0]
+
+
+def _by_model(models, category: pa.Array, offsets: np.ndarray):
+    """(start, transition, row numbers) per model, cut so that one batch of trees stays within CELLS."""
+    names = np.asarray(category.to_pylist(), dtype=object)
+    for name, (start, transition) in models.items():
+        rows = np.flatnonzero(names == name)
+        days = np.diff(offsets)[rows] // len(start)
+        order = np.argsort(-days, kind="stable")
+        at = 0
+        while at < len(rows):
+            size = max(1, CELLS // max(1, 2 * int(days[order[at]]) * len(start) ** 2))
+            yield start, transition, rows[order[at : at + size]]
+            at += size
+
+
+def _pick(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of some rows, as (flat, offsets)."""
+    lengths = np.diff(offsets)[rows]
+    own = np.concatenate([[0], np.cumsum(lengths)])
+    return flat[np.repeat(offsets[rows] - own[:-1], lengths) + np.arange(own[-1])], own
+
+
+def _scan_functions(categories: list[str]):
+    """Arrow functions of the scan: the product of a chunk, what surrounds each chunk of a sequence, the path of a chunk."""
     models = _models(categories)
 
-    def pointers_of(name: str, flat: np.ndarray, entry: np.ndarray, opens: bool) -> np.ndarray:
-        k = len(entry)
-        steps = _fixed(flat).reshape(-1, 1, k)
-        return _forward(steps, np.array([len(steps)]), entry.reshape(1, k), models[name][1], opens)[1]
-
     @F.arrow_udf("array<bigint>")
-    def transfer(category: pa.Array, probabilities: pa.Array) -> pa.Array:
-        """Scores of the chunk's last states: as a first chunk (1 row), then from each entry state (one row per state)."""
-        parts = []
-        for name, (flat,) in zip(category.to_pylist(), _rows_of(probabilities)):
-            start, transition = models[name]
-            k = len(start)
-            steps = _fixed(flat).reshape(-1, k)
-            first = np.maximum(start + steps[0], IMPOSSIBLE)[None]
-            inner = np.full((k, k), IMPOSSIBLE, dtype=np.int64)
-            np.fill_diagonal(inner, 0)
-            parts.append(np.concatenate([_advance(first, steps[1:], transition).ravel(), _advance(inner, steps, transition).ravel()]))
-        return _stack(parts, np.int64)
+    def product(category: pa.Array, probabilities: pa.Array) -> pa.Array:
+        """Scores of the first day, then the product of the other days and the ranks of its entries, row by row."""
+        offsets, flat = _lists(probabilities)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(category)
+        for _, transition, rows in _by_model(models, category, offsets):
+            k = len(transition)
+            days, _, first = _day_matrices(*_pick(flat, offsets, rows), transition, None)
+            rank = np.broadcast_to(np.arange(k)[:, None], days.shape).copy()
+            while days.shape[1] > 1:
+                days, rank = _ranked_product(days[:, 0::2], rank[:, 0::2], days[:, 1::2], rank[:, 1::2])
+            whole = np.concatenate([first, days.reshape(-1, k * k), rank.reshape(-1, k * k)], axis=1)
+            for row, values in zip(rows, whole):
+                out[row] = values
+        return _pack(np.concatenate([[0], np.cumsum([len(x) for x in out])]), np.concatenate([np.zeros(0, np.int64), *out]))
 
     @F.arrow_udf("array<bigint>")
-    def entries(category: pa.Array, transfers: pa.Array) -> pa.Array:
-        """Entry scores of every chunk of a sequence, and the final scores at the end."""
-        parts = []
-        for name, (flat,) in zip(category.to_pylist(), _rows_of(transfers)):
-            start, _ = models[name]
+    def surroundings(category: pa.Array, products: pa.Array) -> pa.Array:
+        """Per chunk of a sequence, the best scores before it and the state after it; NULL without a possible path."""
+        offsets, flat = _lists(products)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(category)
+        valid = np.zeros(len(category), bool)
+        for start, transition, rows in _by_model(models, category, offsets):
             k = len(start)
-            chunks = flat.reshape(-1, 1 + k, k)
-            out = [start, chunks[0, 0]]
-            for chunk in chunks[1:]:
-                out.append(np.maximum((out[-1][:, None] + chunk[1:]).max(axis=0), IMPOSSIBLE))
-            parts.append(np.concatenate(out))
-        return _stack(parts, np.int64)
+            grid, there = _padded(*_pick(flat, offsets, rows), k + 2 * k * k)
+            first, inner = grid[:, :, None, :k], grid[:, :, k : k + k * k].reshape(*there.shape, k, k)
+            rank = grid[:, :, k + k * k :].reshape(inner.shape)
+            entering = np.maximum(transition + first, IMPOSSIBLE)
+            entering[:, 0] = np.maximum(_identity(k) + first[:, 0], IMPOSSIBLE)
+            lowest = np.broadcast_to(np.arange(k)[:, None], inner.shape)
+            chunks, rank = _ranked_product(entering, lowest, inner, rank)
+            chunks[~there], rank[~there] = _identity(k), np.arange(k)[:, None]
+            levels = _up(chunks, _product)
+            entries = _entries(levels, np.broadcast_to(start, (len(rows), k)))
+            reach = entries[..., :, None] + chunks
+            origins = np.where(reach == reach.max(axis=-2, keepdims=True), rank, k).argmin(axis=-2)
+            origins[~there] = np.arange(k)
+            final = (start[:, None] + levels[-1][:, 0]).max(axis=-2)
+            states = _states(origins, final.argmax(axis=-1))
+            valid[rows] = final.max(axis=-1) > IMPOSSIBLE // 2
+            both = np.concatenate([entries, states[..., None]], axis=-1)
+            for row, values, n in zip(rows, both, there.sum(axis=1)):
+                out[row] = values[:n].ravel()
+        return _pack(np.concatenate([[0], np.cumsum([len(x) for x in out])]), np.concatenate([np.zeros(0, np.int64), *out]), valid)
 
     @F.arrow_udf("array<int>")
-    def origins(category: pa.Array, opens: pa.Array, probabilities: pa.Array, entry: pa.Array) -> pa.Array:
-        """For each last state of a chunk, the state before the chunk that its best path comes from."""
-        parts = []
-        for name, first, (flat, own) in zip(category.to_pylist(), opens.to_pylist(), _rows_of(probabilities, entry)):
-            state = np.arange(len(own))
-            for pointers in pointers_of(name, flat, own, first)[::-1]:
-                state = pointers[0, state]
-            parts.append(state)
-        return _stack(parts, np.int32)
-
-    @F.arrow_udf("array<int>")
-    def last_states(category: pa.Array, scores: pa.Array, maps: pa.Array) -> pa.Array:
-        """Last state of every chunk, resolved from the end of the sequence; NULL without a possible path."""
-        parts, valid = [], []
-        for name, (flat, origin) in zip(category.to_pylist(), _rows_of(scores, maps)):
-            k = len(models[name][0])
-            final = flat[-k:]
-            chain = [int(final.argmax())]
-            for origin_of in origin.reshape(-1, k)[:0:-1]:
-                chain.append(int(origin_of[chain[-1]]))
-            parts.append(np.array(chain[::-1]))
-            valid.append(bool(final.max() > IMPOSSIBLE // 2))
-        return _stack(parts, np.int32, valid)
-
-    @F.arrow_udf("array<int>")
-    def trace(category: pa.Array, opens: pa.Array, probabilities: pa.Array, entry: pa.Array, last: pa.Array) -> pa.Array:
-        """States of a chunk's days, given its last one."""
-        parts = []
-        rows = zip(category.to_pylist(), opens.to_pylist(), last.to_pylist(), _rows_of(probabilities, entry))
-        for name, first, end, (flat, own) in rows:
-            pointers = pointers_of(name, flat, own, first)
-            parts.append(_trace(pointers, np.array([len(pointers)]), np.array([end]))[:, 0])
-        return _stack(parts, np.int32)
-
-    return transfer, entries, origins, last_states, trace
+    def path(category: pa.Array, opens: pa.Array, probabilities: pa.Array, around: pa.Array) -> pa.Array:
+        """States of a chunk's days, given the scores before it and the state after it; NULL where these are."""
+        offsets, flat = _lists(probabilities)
+        around_at, around_flat = _lists(around)
+        first_chunk = np.asarray(opens)
+        known = np.diff(around_at) > 0
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(category)
+        for start, transition, rows in _by_model(models, category, offsets):
+            k, rows = len(start), rows[known[rows]]
+            if not len(rows):
+                continue
+            own = _pick(around_flat, around_at, rows)[0].reshape(-1, k + 1)
+            days, there, _ = _day_matrices(*_pick(flat, offsets, rows), transition, first_chunk[rows])
+            entries = _entries(_up(days, _product), own[:, :k])
+            origins = (entries[..., :, None] + days).argmax(axis=-2)
+            origins[~there] = np.arange(k)
+            for row, states, n in zip(rows, _states(origins, own[:, k]), there.sum(axis=1)):
+                out[row] = states[:n]
+        return _pack(np.concatenate([[0], np.cumsum([len(x) for x in out])]), np.concatenate([np.zeros(0, np.int64), *out]).astype(np.int32), known)
+
+    return product, surroundings, path
 
 
 def viterbi_decode_long(sequences: DataFrame, chunk: int = 4096, categories: list[str] | None = None) -> DataFrame:
-    """:func:`viterbi_decode` with every sequence cut into chunks of at most ``chunk`` days, decoded in parallel.
+    """:func:`viterbi_decode` for sequences of any length, cut into chunks of at most ``chunk`` days.
 
-    Best-score transfers between states compose, so each chunk is first reduced to a small matrix. The chunks of a
-    sequence are chained over these (one small row per chunk), and every chunk is traced back from its known last
-    state. Chunks, and chunks with their entry scores, are stored: they are read by several steps.
+    Chunks are shuffled once and read twice (the second time from the same exchange). First each is reduced to the product of
+    its days, a k x k matrix; the products of a sequence, a small row each, meet and tell every chunk the scores before it and
+    the state after it; with these every chunk finds its own days. Scores are whole numbers and products are scaled by whole
+    numbers, so ties and paths are those of the direct decoding, and no length overflows them.
     """
     categories = categories or list(S.HMM_MODELS)
-    transfer, entries, origins, last_states, trace = _chunk_functions(categories)
+    product, surroundings, path = _scan_functions(categories)
     k = F.expr("CASE category " + " ".join(f"WHEN '{c}' THEN {len(hmm_spec(c)[0])}" for c in categories) + " END")
 
-    chunks = stored(
-        sequences.groupBy(*KEYS, F.floor(F.unix_date("date") / chunk).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(F.struct("date", "probabilities"))).alias("days"))
-        .select(*KEYS, "chunk", F.col("days.date").alias("dates"), F.flatten(F.col("days.probabilities")).alias("p"))
-    )
-    chained = (
-        chunks.withColumn("transfer", transfer("category", "p"))
+    rows = sequences.withColumn("chunk", F.floor(F.unix_date("date") / chunk))
+    # stated here, not only inferred from the join, so that both uses of the chunks read one exchange
+    known = " AND ".join(f"{c} IS NOT NULL" for c in [*KEYS, "chunk"])
+    chunks = rows.filter(known).groupBy(*KEYS, "chunk").agg(F.array_sort(F.collect_list(F.struct("date", "probabilities"))).alias("days"))
+    flat = F.flatten(F.col("days.probabilities"))
+    joined = (
+        chunks.select(*KEYS, "chunk", product("category", flat).alias("product"))
         .groupBy(*KEYS)
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "transfer"))).alias("parts"))
-        .withColumn("scores", entries("category", F.flatten(F.col("parts.transfer"))))
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", "product"))).alias("parts"))
+        .select(*KEYS, F.col("parts.chunk").alias("chunks"), surroundings("category", F.flatten(F.col("parts.product"))).alias("around"))
     )
-    placed = chained.select(*KEYS, "scores", F.posexplode(F.col("parts.chunk")).alias("place", "chunk")).select(
-        *KEYS, "chunk", "place", F.slice("scores", F.col("place") * k + 1, k).alias("entry")
+    placed = joined.select(*KEYS, "around", F.posexplode("chunks").alias("place", "chunk")).select(
+        *KEYS, "chunk", (F.col("place") == 0).alias("opens"), F.slice("around", F.col("place") * (k + 1) + 1, k + 1).alias("around")
     )
-    entered = chunks.join(placed, [*KEYS, "chunk"]).withColumn("opens", F.col("place") == 0)
-    entered = stored(entered.withColumn("origin", origins("category", "opens", "p", "entry")))
-
-    final = chained.select(*KEYS, "scores")
-    maps = entered.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "origin"))).alias("maps"))
-    ends = (
-        maps.join(final, KEYS)
-        .withColumn("last", last_states("category", "scores", F.flatten(F.col("maps.origin"))))
-        .filter(F.col("last").isNotNull())
-        .select(*KEYS, F.posexplode("last").alias("place", "end"))
+    found = chunks.join(placed, [*KEYS, "chunk"]).select(
+        *KEYS, F.col("days.date").alias("dates"), path("category", "opens", flat, "around").alias("path")
     )
-    paths = entered.join(ends, [*KEYS, "place"]).withColumn("path", trace("category", "opens", "p", "entry", "end"))
-    return _unpack(paths.select(*KEYS, "dates", "path")).select(
+    return _unpack(found).select(
         "phenocam_name", F.year("date").alias("year"), "date", "site_sequence_id", "category", _state_name().alias("hmm_class")
     )

@@ -1,8 +1,8 @@
 """Reproducible sampling with exact sizes.
 
 Row order is decided by a key (by default a hash of the row's identity), never by partitioning, so a retried task
-draws the same rows. No operator sorts the whole table in one task, and no group is numbered in one task: groups
-are split by key prefix into buckets, buckets are counted, and only a bucket is ever ordered locally.
+draws the same rows. No operator sorts the whole table in one task, and no group is numbered in one task: keys are
+counted by prefix, and only what shares a prefix is ever ordered locally.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from fieldstate.functions import keys as K
 
 SEED = 99
-GROUP_PREFIX = 3     # 4,096 buckets per group
-GLOBAL_PREFIX = 5    # 1,048,576 buckets over the whole table
+DIGITS = 4           # hex digits per step of a radix selection: 65,536 cells
+COPIES = 100_000     # equal rows given back by one row
 
 
 def sample_per_group(
@@ -36,46 +36,60 @@ def sample_distinct(df: DataFrame, col: str, n: int, seed: int = SEED) -> DataFr
     return values.orderBy("_key", col).limit(n).select(col)
 
 
+def _passing(counts: DataFrame, by: list[str], below: Column, n: Column) -> DataFrame:
+    """One row: ``at``, the first group where the running count passes ``n`` with the count ``below`` it, and ``n``.
+
+    ``counts`` has (by..., taking); at most one row per histogram cell, so one task orders them.
+    """
+    upto = F.sum("taking").over(Window.orderBy(*by))
+    passed = counts.select(*by, "taking", (below + upto - F.col("taking")).alias("below"), n.alias("n"))
+    over = F.col("below") + F.col("taking") > F.col("n")
+    return passed.agg(F.min(F.when(over, F.struct(*by, "below"))).alias("at"), F.max("n").alias("n"))
+
+
+def cut_off(df: DataFrame, n: Column, tie: list[str]) -> Column:
+    """The ``n``-th smallest (``_key``, tie) among the rows with ``_in``, as a scalar: a struct of ``at`` (_key, tie...) and
+    ``copies``, how many of the rows equal to it belong to the smallest ``n``. NULL if there are no more than ``n`` rows.
+
+    Radix select: a histogram over the first digits of the key finds the cell that holds the place, a second one over the next
+    digits refines it (4 billion cells), and only the few distinct keys of that cell are ordered. Every step is one
+    aggregate with partial counts over two or three columns; nothing but histograms is shuffled.
+    """
+    keys = df.select("_key", "_in", *tie)
+    cells = keys.groupBy(F.substring("_key", 1, DIGITS).alias("cell")).agg(F.count("*").alias("rows"), F.count_if("_in").alias("taking"))
+    every = Window.partitionBy()  # at most 16 ** DIGITS rows
+    totals = cells.withColumns({"all_rows": F.sum("rows").over(every), "all_taking": F.sum("taking").over(every)})
+    edge = _passing(totals, ["cell"], F.lit(0), n).select(F.struct("at", "n").alias("edge")).scalar()
+    for digits in (DIGITS, 2 * DIGITS):
+        known = keys.filter("_in").withColumn("_edge", edge)
+        inside = known.filter(F.substring("_key", 1, digits) == F.col("_edge.at.cell"))
+        by = {"cell": F.substring("_key", 1, 2 * DIGITS)} if digits == DIGITS else {c: F.col(c) for c in ("_key", *tie)}
+        counts = inside.groupBy(*[c.alias(k) for k, c in by.items()]).agg(F.count("*").alias("taking"), F.max("_edge").alias("_edge"))
+        found = _passing(counts, list(by), F.col("_edge.at.below"), F.col("_edge.n"))
+        if digits == DIGITS:
+            edge = found.select(F.struct("at", "n").alias("edge")).scalar()
+    copies = F.greatest(F.col("n") - F.col("at.below"), F.lit(0))
+    return found.select(F.when(F.col("at").isNotNull(), F.struct(F.col("at").dropFields("below").alias("at"), copies.alias("copies")))).scalar()
+
+
 def take_exactly(df: DataFrame, n: Column, key: Column, tie: list[str], flag: str, among: str = "true") -> DataFrame:
     """Add a boolean ``flag``: true for the ``n`` rows with the smallest (key, tie), for any size of ``n``.
 
     Only rows that satisfy ``among`` take part; ``n`` is an expression over ``all_rows`` and ``all_taking``, the number
-    of rows and of rows that take part. ``key`` is a hex key. Rows are counted per key prefix; buckets
-    below the one where the running count passes ``n`` are taken whole without a shuffle, and only the rows of that
-    one bucket (a millionth of the table) are ordered. ``df`` is read three times, so it should be stored.
+    of rows and of rows that take part. ``key`` is a hex key. Rows are compared with one scalar, :func:`cut_off`, where they
+    are read: no shuffle, no stored copy, no job while the plan is built. Rows equal to the cut-off in key and tie are
+    collapsed to one row per content with its number, and that many are given back, so copies of one row are no hot group.
     """
-    bucketed = df.withColumns({"_key": key, "_in": F.expr(among)}).withColumn("_bucket", F.substring("_key", 1, GLOBAL_PREFIX))
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("rows"), F.count_if("_in").alias("taking"))
-    # at most 16 ** GLOBAL_PREFIX rows from here on, whatever the size of the table
-    every = Window.partitionBy()
-    passed = counts.select(
-        "_bucket", "taking", F.sum("taking").over(Window.orderBy("_bucket")).alias("upto"),
-        F.sum("rows").over(every).alias("all_rows"), F.sum("taking").over(every).alias("all_taking"),
-    ).withColumn("n", n)
-    edge = passed.agg(
-        F.min(F.when(F.col("upto") > F.col("n"), F.struct("_bucket", (F.col("upto") - F.col("taking")).alias("below")))).alias("at"),
-        F.max("n").alias("n"),
-    )
-    placed = bucketed.withColumn("_edge", edge.select(F.struct("at", "n")).scalar())
-    in_edge = F.coalesce(F.col("_in") & (F.col("_bucket") == F.col("_edge.at._bucket")), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *tie))
-    inner = placed.filter(in_edge).withColumn(flag, F.col("_edge.at.below") + rank <= F.col("_edge.n"))
-    below = F.col("_edge.at").isNull() | (F.col("_bucket") < F.col("_edge.at._bucket"))
-    outer = placed.filter(~in_edge).withColumn(flag, F.col("_in") & below)
-    return outer.unionByName(inner).drop("_key", "_bucket", "_edge", "_in")
-
-
-def group_positions(df: DataFrame, keys: list[str], key: Column, tie: list[str]) -> DataFrame:
-    """Add ``_bucket`` and ``_local``: a 0-based position within (group, bucket), in (key, tie) order."""
-    bucketed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, GROUP_PREFIX))
-    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_key", *tie)) - 1
-    return bucketed.withColumn("_local", local.cast("bigint")).drop("_key")
-
-
-def bucket_spans(df: DataFrame, keys: list[str], key: Column) -> DataFrame:
-    """Size of every (group, bucket) and the position at which it begins within its group."""
-    counts = df.select(*keys, F.substring(key, 1, GROUP_PREFIX).alias("_bucket")).groupBy(*keys, "_bucket").agg(
-        F.count("*").alias("rows")
-    )
-    upto = F.sum("rows").over(Window.partitionBy(*keys).orderBy("_bucket"))
-    return counts.withColumn("first", upto - F.col("rows"))
+    rows = df.withColumns({"_key": key, "_in": F.coalesce(F.expr(among), F.lit(False))})
+    placed = rows.withColumn("_cut", cut_off(rows, n, tie))
+    place = F.struct("_key", *tie)
+    equal = F.coalesce(F.col("_in") & (place == F.col("_cut.at")), F.lit(False))
+    below = F.col("_in") & (F.col("_cut").isNull() | (place < F.col("_cut.at")))
+    outer = placed.filter(~equal).select(*df.columns, below.alias(flag))
+
+    contents = placed.filter(equal).groupBy(*df.columns).agg(F.count("*").alias("_n"), F.max("_cut.copies").alias("_copies"))
+    before = F.sum("_n").over(Window.orderBy(*df.columns).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = contents.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_block", F.explode(F.expr(f"sequence(0, (_n - 1) div {COPIES})")))
+    copy = F.explode(F.expr(f"sequence(_block * {COPIES} + 1, least((_block + 1) * {COPIES}, _n))"))
+    inner = blocks.repartition("_block").withColumn("_copy", copy).select(*df.columns, (F.col("_before") + F.col("_copy") <= F.col("_copies")).alias(flag))
+    return outer.unionByName(inner)

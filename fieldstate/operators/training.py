@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstate import schema as S
 from fieldstate.functions import keys as K
 from fieldstate.operators import sampling
-from fieldstate.sources.tables import stored
 
 LABELS = ("dominant_cover", "crop_type", "crop_status")
-
-
-def _join_groups(df: DataFrame, groups: DataFrame, cols: tuple[str, ...], how: str = "inner") -> DataFrame:
-    """Join per-group values back to rows; groups are one row per label combination and NULL equals NULL."""
-    renamed = groups.select(*[F.col(c).alias(f"_{c}") for c in cols], *[c for c in groups.columns if c not in cols])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
-    return df.join(renamed, same, how).drop(*[f"_{c}" for c in cols])
+BUCKET_DIGITS = 3    # hex digits: 4,096 parts of a label combination
+SLOTS = 4096         # position slots of a combination
 
 
 def _combo(cols: tuple[str, ...]) -> Column:
@@ -97,7 +89,7 @@ def holdout_split(
     ``site_regex`` is searched anywhere in the site name. Rows are split, not names: of an image listed twice one row may
     be on either side.
     """
-    held = stored(df.withColumn("_held", F.coalesce(F.col("phenocam_name").rlike(site_regex), F.lit(False))))
+    held = df.withColumn("_held", F.coalesce(F.col("phenocam_name").rlike(site_regex), F.lit(False)))
     # rows that do not take part are the held-out ones, which count against the wanted number
     wanted = F.floor(F.col("all_rows") * F.lit(fraction)) - (F.col("all_rows") - F.col("all_taking"))
     drawn = sampling.take_exactly(held, wanted, K.sample_key("filename", seed), ["filename"], "_drawn", among="NOT _held")
@@ -121,42 +113,44 @@ def resample_balanced(
 ) -> DataFrame:
     """``n`` rows drawn with replacement so that every label combination is equally likely: + ``draw`` (0..n-1).
 
-    A draw picks a combination and a position in it from its own hash. Positions are resolved through bucket
-    sizes (see :mod:`sampling`), so the rows of a combination are numbered per bucket and never in one task;
-    draws meet rows in an equi-join.
+    A draw picks a combination and a position in it from its own hash. Rows are shuffled once, by combination and key
+    prefix; that exchange serves the counts per prefix, which say where each prefix begins within its combination, and the
+    numbering of rows inside a prefix. Positions find their prefix by an equi-join on slots of fixed width, so neither rows nor
+    draws of a combination ever meet in one task.
     """
-    cols = list(cols)
-    df = stored(df)
-    key = K.sample_key(identity, seed)
-    spans = sampling.bucket_spans(df, cols, key)
-    combos = spans.groupBy(*cols).agg(F.sum("rows").alias("n_rows"))
-    ranked = combos.withColumn("combo", F.row_number().over(Window.orderBy(*cols)) - 1)
+    cols, names = list(cols), df.columns
+    shuffled = df.withColumns({"_combo": _combo(cols), "_bucket": F.substring(K.sample_key(identity, seed), 1, BUCKET_DIGITS)})
+    shuffled = shuffled.repartition("_combo", "_bucket")
+    # the checksum reads every column: the counts then need the same exchange as the rows, which is computed once
+    counts = shuffled.groupBy("_combo", "_bucket").agg(
+        F.count("*").alias("rows"), F.min(F.struct(*cols)).alias("labels"), F.bit_xor(F.xxhash64(*names)).alias("checksum")
+    )
+    counts = counts.filter("checksum IS NOT NULL")
+    # at most 16 ** BUCKET_DIGITS rows per combination from here on, and one row per combination in ``combos``
+    upto = F.sum("rows").over(Window.partitionBy("_combo").orderBy("_bucket"))
+    combos = counts.groupBy("_combo").agg(F.sum("rows").alias("n_rows"), F.min("labels").alias("labels"))
+    combos = combos.select("_combo", "n_rows", F.expr(f"n_rows div {SLOTS} + 1").alias("width"), (F.row_number().over(Window.orderBy("labels")) - 1).alias("combo"))
     n_combos = combos.agg(F.count("*").alias("k")).scalar()
+    spans = counts.select("_combo", "_bucket", (upto - F.col("rows")).alias("first"), upto.alias("end")).join(combos.select("_combo", "width"), "_combo")
+    slots = F.explode(F.expr("sequence(first div width, (end - 1) div width)"))
 
     draw_key = K.sample_key("draw", seed)
+    position = K.hex_int(draw_key, 9, 13) % F.col("n_rows")
     draws = (
         df.sparkSession.range(n).withColumnRenamed("id", "draw")
-        .select("draw", (K.hex_int(draw_key, 1, 8) % n_combos).alias("combo"), K.hex_int(draw_key, 9, 13).alias("_hash"))
-        .join(ranked, "combo")
-        .select("draw", *cols, (F.col("_hash") % F.col("n_rows")).alias("position"))
-    )
-    # as-of match of draw positions with bucket starts: at most n draws plus 4,096 starts per combination
-    marks = spans.select(*cols, F.col("first").alias("position"), "_bucket", "first", F.lit(None).cast("bigint").alias("draw"))
-    asked = draws.select(
-        *cols, "position", F.lit(None).cast("string").alias("_bucket"), F.lit(None).cast("bigint").alias("first"), "draw"
-    )
-    upto = Window.partitionBy(*cols).orderBy("position", F.col("draw").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        .withColumn("combo", K.hex_int(draw_key, 1, 8) % n_combos)
+        .join(combos, "combo")
+        .select("draw", "_combo", position.alias("position"), "width")
+        .withColumn("slot", F.expr("position div width"))
     )
     placed = (
-        marks.unionByName(asked)
-        .withColumn("_b", F.last("_bucket", ignorenulls=True).over(upto))
-        .withColumn("_f", F.last("first", ignorenulls=True).over(upto))
-        .filter(F.col("draw").isNotNull())
-        .select(*cols, F.col("_b").alias("_bucket"), (F.col("position") - F.col("_f")).alias("_local"), "draw")
+        draws.join(spans.select("_combo", "_bucket", "first", "end", slots.alias("slot")), ["_combo", "slot"])
+        .filter("position >= first AND position < end")
+        .select("_combo", "_bucket", (F.col("position") - F.col("first")).alias("_local"), "draw")
     )
-    rows = sampling.group_positions(df, cols, key, [identity])
-    return _join_groups(rows, placed, tuple([*cols, "_bucket", "_local"])).drop("_bucket", "_local")
+    inside = Window.partitionBy("_combo", "_bucket").orderBy(K.sample_key(identity, seed), identity)
+    rows = shuffled.withColumn("_local", (F.row_number().over(inside) - 1).cast("bigint"))
+    return rows.join(placed, ["_combo", "_bucket", "_local"]).select(*names, "draw")
 
 
 def one_hot_targets(df: DataFrame, widths: dict[str, int] = S.WIDTHS) -> DataFrame:

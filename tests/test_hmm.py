@@ -89,3 +89,51 @@ def test_emission_logprob(spark):
     df = spark.createDataFrame([(0.5,), (0.0,), (None,)], "p DOUBLE").select(hmm.emission_logprob("p").alias("v"))
     a, b, c = [r.v for r in df.collect()]
     assert a == pytest.approx(math.log(0.5)) and b == -math.inf and c is None
+
+
+@pytest.mark.parametrize("category", list(S.HMM_MODELS))
+def test_scan_equals_direct_for_both_models(spark, category):
+    """Random and tied days, impossible states, chunks of one day and of many."""
+    rng = np.random.default_rng(9)
+    k = len(hmm.hmm_spec(category)[0])
+    coarse = [np.round(rng.dirichlet(np.ones(k) * 0.3, size=n) * 4) / 4 + 0.05 * rng.integers(0, 2, size=(n, k)) for n in (1, 2, 3, 40, 129, 260)]
+    fine = [rng.dirichlet(np.ones(k) * 0.5, size=n) for n in (64, 65, 200)]
+    equal = [np.full((90, k), 1 / k)]
+    df = sequences(spark, category, *coarse, *fine, *equal)
+    direct = paths(hmm.viterbi_decode(df))
+    assert len(direct) >= 4
+    for chunk in (1, 5, 64, 1000):
+        assert paths(hmm.viterbi_decode_long(df, chunk=chunk)) == direct
+
+
+def test_one_sequence_of_200000_days_in_several_tasks(spark):
+    """The states of a random walk, observed with noise, against the direct decoder on the packed sequence."""
+    n, k = 200_000, 5
+    rng = np.random.default_rng(3)
+    truth = np.repeat(rng.integers(0, k, size=n // 40), 40)
+    probs = np.round(np.where(np.arange(k) == truth[:, None], 0.5, 0.1) * rng.uniform(0.2, 1, size=(n, k)), 6)
+    rows = [(i, probs[i].tolist()) for i in range(n)]
+    from pyspark.sql import functions as F
+
+    days = spark.createDataFrame(rows, "i INT, probabilities ARRAY<DOUBLE>").repartition(8).select(
+        F.lit("s").alias("phenocam_name"), F.lit(0).alias("year"), F.expr("date_add(DATE '1500-01-01', i)").alias("date"),
+        F.lit("dominant_cover").alias("category"), F.lit(1).cast("bigint").alias("site_sequence_id"), "probabilities",
+    )
+    found = hmm.viterbi_decode_long(days, chunk=4096)
+    got = {(r.date, r.hmm_class) for r in found.collect()}
+    want = {(r.date, r.hmm_class) for r in hmm.viterbi_decode(days).collect()}
+    assert len(got) == n and got == want
+    # the chunks are shuffled once for both uses, and those of the one sequence are spread over tasks
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert "ReusedExchange" in final and final.count("Scan") == 1 and final.count("ArrowEvalPython") == 3
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_building_the_plan_runs_no_job(spark):
+    df = sequences(spark, "dominant_cover", [[0.2] * 5] * 4)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    hmm.viterbi_decode_long(df, chunk=2)
+    assert not tracker.getJobIdsForGroup("plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

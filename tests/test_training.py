@@ -183,3 +183,46 @@ def test_maxprob_keeps_ties_and_first_takes_lowest_code(spark):
     assert got == [("crop_status", "no_crop"), ("crop_type", "blurry"), ("dominant_cover", "soil"), ("dominant_cover", "vegetation")]
     assert ("dominant_cover", "vegetation") in [(r.category, r.maxprob_class) for r in evaluate.maxprob_first(df).collect()]
     assert evaluate.maxprob_first(df).count() == 3
+
+
+def test_take_exactly_splits_copies_and_contents(spark):
+    """Half of all rows are one image: the cut falls among its copies, and among rows that differ in other columns only."""
+    rows = [("hot", k % 2) for k in range(500)] + [(f"r{k}", 0) for k in range(500)]
+    df = spark.createDataFrame(rows, "x STRING, y INT").repartition(5)
+    hash_of = lambda x: __import__("hashlib").md5(f"1|{x}".encode()).hexdigest()
+    below = sum(hash_of(x) < hash_of("hot") for x, _ in rows)
+    n = below + 333
+    got = sampling.take_exactly(df, F.lit(n), K.sample_key("x", 1), ["x"], "hit").collect()
+    assert Counter((r.x, r.y) for r in got) == Counter(rows) and sum(r.hit for r in got) == n
+    assert Counter((r.y, r.hit) for r in got if r.x == "hot") == {(0, True): 250, (1, True): 83, (1, False): 167}
+    assert all(r.hit == (hash_of(r.x) < hash_of("hot")) for r in got if r.x != "hot")
+
+
+@pytest.mark.parametrize("keys", ["equal", "shared_prefix"])
+def test_take_exactly_when_keys_share_their_digits(spark, keys):
+    df = spark.range(300).select(F.col("id").cast("string").alias("x"))
+    key = F.lit("ab" * 16) if keys == "equal" else F.concat(F.lit("0123456789abcdef" * 1), F.lpad("x", 16, "0"))
+    got = sampling.take_exactly(df, F.floor(F.col("all_rows") * 0.5), key, ["x"], "hit").collect()
+    order = sorted(got, key=lambda r: r.x if keys == "equal" else r.x.zfill(16))
+    assert [r.hit for r in order] == [True] * 150 + [False] * 150
+
+
+def test_plans_of_split_and_resampling(spark, tmp_path):
+    """No job while a plan is built, no stored copy; resampling scans and shuffles its input once."""
+    import re
+
+    labelled(spark, 3000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    spark.sparkContext.setJobGroup("plans", "plans")
+    split = training.holdout_split(df, "(site3)")
+    drawn = training.resample_balanced(df, n=500)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    drawn.collect()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert len(re.findall(r"FileScan parquet", final)) == 1 and "ReusedExchange" in final
+    windows = re.findall(r"windowspecdefinition\(([^)]*)\)", final)
+    assert windows and not any("dominant_cover" in w.split(" ASC")[0] for w in windows)
+    main = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in main and "row_number" not in main
