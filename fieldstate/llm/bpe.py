@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from fieldstate.llm import common as C
 
-#: Words that a worker remembers before it starts anew, and the places of new words that are walked at once.
-REMEMBERED, PLACES = 500_000, 1 << 20
+#: Words and chunks (what stands between two spaces) that a worker remembers before it starts anew, the places of new words
+#: that are walked at once, and the bytes of text that are looked up at once.
+REMEMBERED, PLACES, TEXTS = 700_000, 1 << 20, 1 << 22
+#: Symbols of a word up to which it is merged together with others, and how many of them.
+SHORT, ROWS = 48, 8192
 NEVER = 1 << 60
 #: Below so many unfinished words their proposals are followed one by one.
 FEW = 32
@@ -87,7 +90,9 @@ class Vocabulary:
         self.parts[:, made] = left, right
         order = np.argsort(left * self.size + right)
         self.pairs, self.pair_rank = (left * self.size + right)[order], order
-        self.made = made
+        self.made, self.made_list = made, made.tolist()
+        first, second = np.meshgrid(self.single, self.single, indexing="ij")
+        self.symbol_rank = self.ranked(first, second)
         self.rank_of = dict(zip((left * self.size + right).tolist(), range(len(merges))))
 
         # a token can be proposed if merging its own symbols gives it
@@ -121,21 +126,22 @@ class Vocabulary:
         self.accepts = np.array(accepts)
 
     def forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.bounds, self.known_words = np.zeros(1 << 12, np.int64), 0
-        self.add([[i] for i in self.specials.values()], list(self.specials))
-
-    def add(self, tokens: list, words: list[str]) -> None:
-        """Remember the tokens of words."""
-        ends = self.used + np.cumsum([len(t) for t in tokens], dtype=np.int64)
-        if not len(ends):
-            return
-        self.flat, self.bounds = grown(self.flat, int(ends[-1])), grown(self.bounds, self.known_words + len(words) + 1)
-        self.flat[self.used : ends[-1]] = np.concatenate(tokens)
-        self.codes.update(zip(words, range(self.known_words, self.known_words + len(words))))
-        self.bounds[self.known_words + 1 : self.known_words + len(words) + 1] = ends
-        self.used, self.known_words = int(ends[-1]), self.known_words + len(words)
+        #: Number of a word, or of a chunk; tokens of number n are flat[bounds[n] : bounds[n + 1]].
+        self.words_known: dict[str, int] = {}
+        self.chunks_known: dict[str, int] = {}
+        self.flat, self.bounds, self.numbers = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), 0
+        ids = np.array(list(self.specials.values()), np.int32)
+        self.add(self.words_known, list(self.specials), ids, np.ones(len(ids), np.int64))
+
+    def add(self, known: dict[str, int], names: list[str], tokens: np.ndarray, counts: np.ndarray) -> None:
+        """Remember the tokens of words or chunks, given one after another."""
+        used, n = int(self.bounds[self.numbers]), self.numbers
+        ends = used + np.cumsum(counts, dtype=np.int64)
+        self.flat, self.bounds = grown(self.flat, used + len(tokens)), grown(self.bounds, n + len(names) + 1)
+        self.flat[used : used + len(tokens)] = tokens
+        self.bounds[n + 1 : n + len(names) + 1] = ends
+        known.update(zip(names, range(n, n + len(names))))
+        self.numbers += len(names)
 
     # ---- check ---------------------------------------------------------------------------------------------
     def compatible(self, a: np.ndarray, b: np.ndarray, bound: np.ndarray | None = None) -> np.ndarray:
@@ -148,9 +154,7 @@ class Vocabulary:
         live, a, b = np.arange(len(a)), a.copy(), b.copy()
         bound = np.full(len(a), NEVER) if bound is None else bound.copy()
         while len(live):
-            where = np.minimum(np.searchsorted(self.pairs, a * self.size + b), len(self.pairs) - 1)
-            own = np.where(self.pairs[where] == a * self.size + b, self.pair_rank[where] * 2, NEVER)
-            fails = own < bound
+            fails = 2 * self.ranked(a, b) < bound
             ok[live[fails]] = False
             rank_a, rank_b = self.rank[a], self.rank[b]
             on = ~fails & ((rank_a >= 0) | (rank_b >= 0))
@@ -204,8 +208,62 @@ class Vocabulary:
         return tokens[order], word[order]
 
     # ---- exact merging -------------------------------------------------------------------------------------
-    def merged(self, ids: list[int]) -> list[int]:
-        """Tokens of one word by merging the lowest rank first, of equal ranks the leftmost."""
+    def merged(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        """Tokens of words, given as symbols, by merging the lowest rank first, of equal ranks the leftmost.
+
+        Short words of similar length are merged together, each step by one pair; long ones one by one.
+        """
+        out = [w if len(w) <= SHORT else np.array(self.merged_by_heap(self.single[w].tolist())) for w in words]
+        lengths = np.array([len(w) if len(w) <= SHORT else 0 for w in words])
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        for at in range(0, len(order), ROWS):
+            rows = order[at : at + ROWS]
+            tokens, counts = self.merged_together([words[r] for r in rows.tolist()])
+            for r, t, n in zip(rows.tolist(), tokens, counts.tolist()):
+                out[r] = t[:n]
+        return out
+
+    def merged_together(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words as padded rows, and how many each has."""
+        counts = np.array([len(w) for w in words])
+        width = int(counts.max())
+        there = np.arange(width) < counts[:, None]
+        symbols = np.zeros(there.shape, np.int64)
+        symbols[there] = np.concatenate(words)
+        ids = self.single[symbols]
+        ranks = np.full(there.shape, NEVER)
+        ranks[:, :-1] = np.where(there[:, 1:], self.symbol_rank[symbols[:, :-1], symbols[:, 1:]], NEVER)
+        live = np.arange(len(words))
+        places = np.arange(width)
+        while len(live):
+            own = ranks[live]
+            at = own.argmin(axis=1)
+            least = own[np.arange(len(live)), at]
+            going = least < NEVER
+            live, at, own, least = live[going], at[going], own[going], least[going]
+            if not len(live):
+                break
+            source = np.minimum(places + (places > at[:, None]), width - 1)
+            row = np.arange(len(live))
+            moved = np.take_along_axis(ids[live], source, axis=1)
+            own = np.take_along_axis(own, np.minimum(places + (places >= at[:, None]), width - 1), axis=1)
+            moved[row, at], own[:, -1] = self.made[least], NEVER
+            counts[live] -= 1
+            left, right = np.maximum(at - 1, 0), np.minimum(at + 1, width - 1)
+            own[row, left] = np.where(at > 0, self.ranked(moved[row, left], moved[row, at]), own[row, left])
+            own[row, at] = np.where(at + 1 < counts[live], self.ranked(moved[row, at], moved[row, right]), NEVER)
+            ids[live], ranks[live] = moved, own
+        return ids, counts
+
+    def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair, NEVER where there is none."""
+        key = a * self.size + b
+        where = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[where] == key, self.pair_rank[where], NEVER)
+
+    def merged_by_heap(self, ids: list[int]) -> list[int]:
+        """The same for long words: places in a heap by rank, neighbours linked."""
         n, size, rank_of = len(ids), self.size, self.rank_of
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(rank_of[k], i, k) for i in range(n - 1) if (k := ids[i] * size + ids[i + 1]) in rank_of]
@@ -215,7 +273,7 @@ class Vocabulary:
             j = after[i]
             if ids[i] < 0 or j >= n or ids[i] * size + ids[j] != k:
                 continue  # one of the two has merged since
-            ids[i], ids[j] = int(self.made[rank]), -1
+            ids[i], ids[j] = self.made_list[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -236,12 +294,15 @@ class Vocabulary:
             inner = np.flatnonzero(word[1:] == word[:-1])
             distinct, which = np.unique(tokens[inner] * self.size + tokens[inner + 1], return_inverse=True)
             ok = self.compatible(distinct // self.size, distinct % self.size)
-            failing = np.unique(word[inner[~ok[which]]]).tolist()
-            at = np.searchsorted(word, np.arange(last - first + 1))
-            out = [tokens[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            for w in failing:
-                out[w] = self.merged(self.single[symbols[starts[w] : stops[w]]].tolist())
-            self.add(out, words[first:last])
+            failing = np.unique(word[inner[~ok[which]]])
+            exact = self.merged([symbols[a:b] for a, b in zip(starts[failing].tolist(), stops[failing].tolist())])
+            passing = np.ones(last - first, bool)
+            passing[failing] = False
+            passing = passing[word]
+            tokens = np.concatenate([tokens[passing], *exact])
+            word = np.concatenate([word[passing], np.repeat(failing, np.array([len(e) for e in exact], np.int64))])
+            order = np.argsort(word, kind="stable")
+            self.add(self.words_known, words[first:last], tokens[order], np.bincount(word, minlength=last - first))
 
     # ---- texts ---------------------------------------------------------------------------------------------
     def as_library(self, char: str) -> bool:
@@ -267,26 +328,62 @@ class Vocabulary:
                 return [x for x, _ in split.pre_tokenize_str(normal.normalize_str(text))]
         return self.words_in(text.lower())
 
-    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all texts one after another, and how many each has."""
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            own = self.words(text)
+    def numbered(self, words: list[str]) -> np.ndarray:
+        """Numbers of words; new ones are learned."""
+        new = set(words).difference(self.words_known)
+        if new:
+            self.learn(list(new))
+        return np.fromiter(map(self.words_known.__getitem__, words), np.int64, len(words))
+
+    def tokens_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of numbers one after another, and where each number's end."""
+        lengths = self.bounds[numbers + 1] - self.bounds[numbers]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.bounds[numbers] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], ends
+
+    def learn_chunks(self, chunks: list[str]) -> None:
+        """Tokens of chunks: those of their words."""
+        words, counts = [], []
+        for chunk in chunks:
+            own = self.words_in(chunk)
             counts.append(len(own))
             words += own
-        new = set(words).difference(self.codes)
-        if len(self.codes) + len(new) > REMEMBERED:
+        tokens, ends = self.tokens_of(self.numbered(words))
+        upto = np.append(0, ends)[np.append(0, np.cumsum(counts)).astype(np.int64)]
+        self.add(self.chunks_known, chunks, tokens, np.diff(upto))
+
+    def plainly(self, text: str) -> str | None:
+        """The text composed and in lower case if it can be cut at spaces, None if it holds a special token or odd character."""
+        if self.special and self.special.search(text):
+            return None
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            new = set(text) - self.plain
+            self.plain.update(c for c in new if self.as_library(c))
+            if not new <= self.plain:
+                return None
+        return text.lower().replace("\n", " ").replace("\t", " ")
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts one after another, and how many each has."""
+        if len(self.words_known) + len(self.chunks_known) > REMEMBERED:
             self.forget()
-            new = set(words).difference(self.codes)
-        self.learn(sorted(new))
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        bounds = self.bounds
-        lengths = bounds[codes + 1] - bounds[codes]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(bounds[codes] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return ids, np.diff(upto)
+        ready = [self.plainly(t) for t in texts]
+        chunks = pa.compute.split_pattern(pa.array([t for t in ready if t is not None], pa.large_string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if new := set(distinct).difference(self.chunks_known):
+            self.learn_chunks(list(new))
+        number = np.fromiter(map(self.chunks_known.__getitem__, distinct), np.int64, len(distinct))
+        odd = [self.words(t) for t, r in zip(texts, ready) if r is None]
+        plain = np.array([r is not None for r in ready], bool)
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain], counts[~plain] = chunks.value_lengths().to_numpy(), [len(w) for w in odd]
+        numbers, from_plain = np.zeros(int(counts.sum()), np.int64), np.repeat(plain, counts)
+        numbers[from_plain] = number[coded.indices.to_numpy()]
+        numbers[~from_plain] = self.numbered([w for words in odd for w in words])
+        ids, ends = self.tokens_of(numbers)
+        return ids, np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))])
 
     def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Names of the tokens of each row joined by spaces, as (bytes, offsets); unknown ids are left out."""
@@ -323,7 +420,7 @@ def encode(text: Column | str, path: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         vocab, ids, counts = vocabulary(path), [], []
         _, offsets = C.buffers(texts)
-        for a, b in C.slices(offsets):
+        for a, b in C.slices(offsets, TEXTS):
             own, n = vocab.encoded(["" if t is None else t for t in texts[a:b].to_pylist()])
             ids.append(own)
             counts.append(n)

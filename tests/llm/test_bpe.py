@@ -78,7 +78,8 @@ def test_check_finds_exactly_the_words_that_merging_changes():
         tokens, _ = v.proposed(s, np.array([0]), np.array([len(s)]))
         ok = bool(v.compatible(tokens[:-1], tokens[1:]).all())
         failed += not ok
-        assert ok == (tokens.tolist() == v.merged(v.single[s].tolist()))
+        (exact,) = v.merged([s])
+        assert ok == (tokens.tolist() == exact.tolist()) and exact.tolist() == v.merged_by_heap(v.single[s].tolist())
     assert 0 < failed < len(words)
 
 
