@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldstate.functions import keys as K
 
 SEED = 99
-DIGITS = 4           # hex digits per step of a radix selection: 65,536 cells
+DIGITS = (5,)        # hex digits of a radix selection's histograms: of 10**12 rows a cell holds a million
 COPIES = 100_000     # equal rows given back by one row
 
 
@@ -36,58 +36,58 @@ def sample_distinct(df: DataFrame, col: str, n: int, seed: int = SEED) -> DataFr
     return values.orderBy("_key", col).limit(n).select(col)
 
 
-def _passing(counts: DataFrame, by: list[str], below: Column, n: Column) -> DataFrame:
-    """One row: ``at``, the first group where the running count passes ``n`` with the count ``below`` it, and ``n``.
+def _passing(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., below, n), one row at most: the first cell where the running count passes ``n``, and the count below it.
 
-    ``counts`` has (by..., taking); at most one row per histogram cell, so one task orders them.
+    ``counts`` has (by..., taking, below, n), where ``below`` counts what lies before all cells. It has one row per histogram
+    cell, so one task orders them.
     """
-    upto = F.sum("taking").over(Window.orderBy(*by))
-    passed = counts.select(*by, "taking", (below + upto - F.col("taking")).alias("below"), n.alias("n"))
-    over = F.col("below") + F.col("taking") > F.col("n")
-    return passed.agg(F.min(F.when(over, F.struct(*by, "below"))).alias("at"), F.max("n").alias("n"))
+    upto = F.col("below") + F.sum("taking").over(Window.orderBy(*by))
+    over = counts.select(*by, (upto - F.col("taking")).alias("below"), upto.alias("upto"), "n").filter("upto > n")
+    first = over.agg(F.min(F.struct(*by, "below", "n")).alias("at")).filter("at IS NOT NULL")
+    return first.select("at.*")
 
 
-def cut_off(df: DataFrame, n: Column, tie: list[str]) -> Column:
-    """The ``n``-th smallest (``_key``, tie) among the rows with ``_in``, as a scalar: a struct of ``at`` (_key, tie...) and
-    ``copies``, how many of the rows equal to it belong to the smallest ``n``. NULL if there are no more than ``n`` rows.
+def cut_off(df: DataFrame, n: Column, tie: list[str], digits: tuple[int, ...] = DIGITS) -> DataFrame:
+    """The ``n``-th smallest (``_key``, tie) among the rows with ``_in``: one row (at: struct of _key and tie, copies), where
+    ``copies`` says how many of the rows equal to it belong to the smallest ``n``; no row if there are no more than ``n``.
 
-    Radix select: a histogram over the first digits of the key finds the cell that holds the place, a second one over the next
-    digits refines it (4 billion cells), and only the few distinct keys of that cell are ordered. Every step is one
-    aggregate with partial counts over two or three columns; nothing but histograms is shuffled.
+    Radix select: a histogram over the first ``digits`` of the key finds the cell that holds the place, further numbers of
+    digits refine it, and only the distinct keys of the last cell are ordered. Every step is an aggregate with partial
+    counts over two or three columns; only histograms are shuffled, and a cell is picked by an equi-join with its one row.
     """
     keys = df.select("_key", "_in", *tie)
-    cells = keys.groupBy(F.substring("_key", 1, DIGITS).alias("cell")).agg(F.count("*").alias("rows"), F.count_if("_in").alias("taking"))
-    every = Window.partitionBy()  # at most 16 ** DIGITS rows
+    cell = lambda k: F.substring("_key", 1, k)
+    cells = keys.groupBy(cell(digits[0]).alias("cell")).agg(F.count("*").alias("rows"), F.count_if("_in").alias("taking"))
+    every = Window.partitionBy()  # at most 16 ** digits rows
     totals = cells.withColumns({"all_rows": F.sum("rows").over(every), "all_taking": F.sum("taking").over(every)})
-    edge = _passing(totals, ["cell"], F.lit(0), n).select(F.struct("at", "n").alias("edge")).scalar()
-    for digits in (DIGITS, 2 * DIGITS):
-        known = keys.filter("_in").withColumn("_edge", edge)
-        inside = known.filter(F.substring("_key", 1, digits) == F.col("_edge.at.cell"))
-        by = {"cell": F.substring("_key", 1, 2 * DIGITS)} if digits == DIGITS else {c: F.col(c) for c in ("_key", *tie)}
-        counts = inside.groupBy(*[c.alias(k) for k, c in by.items()]).agg(F.count("*").alias("taking"), F.max("_edge").alias("_edge"))
-        found = _passing(counts, list(by), F.col("_edge.at.below"), F.col("_edge.n"))
-        if digits == DIGITS:
-            edge = found.select(F.struct("at", "n").alias("edge")).scalar()
-    copies = F.greatest(F.col("n") - F.col("at.below"), F.lit(0))
-    return found.select(F.when(F.col("at").isNotNull(), F.struct(F.col("at").dropFields("below").alias("at"), copies.alias("copies")))).scalar()
-
-
-def take_exactly(df: DataFrame, n: Column, key: Column, tie: list[str], flag: str, among: str = "true") -> DataFrame:
+    edge = _passing(totals.select("cell", "taking", F.lit(0).cast("long").alias("below"), n.cast("long").alias("n")), ["cell"])
+    for k, finer in zip(digits, [*digits[1:], None]):
+        by = {"cell": cell(finer)} if finer else {c: F.col(c) for c in ("_key", *tie)}
+        inside = keys.filter("_in").withColumn("_cell", cell(k)).join(F.broadcast(edge.withColumnRenamed("cell", "_cell")), "_cell")
+        counts = inside.groupBy("below", "n", *[c.alias(name) for name, c in by.items()]).agg(F.count("*").alias("taking"))
+        edge = _passing(counts, list(by))
+    return edge.select(F.struct("_key", *tie).alias("at"), F.greatest(F.col("n") - F.col("below"), F.lit(0)).alias("copies"))
+
+
+def take_exactly(df: DataFrame, n: Column, key: Column, tie: list[str], flag: str, among: str = "true", digits: tuple[int, ...] = DIGITS) -> DataFrame:
     """Add a boolean ``flag``: true for the ``n`` rows with the smallest (key, tie), for any size of ``n``.
 
     Only rows that satisfy ``among`` take part; ``n`` is an expression over ``all_rows`` and ``all_taking``, the number
-    of rows and of rows that take part. ``key`` is a hex key. Rows are compared with one scalar, :func:`cut_off`, where they
+    of rows and of rows that take part. ``key`` is a hex key. Rows are compared with one value, :func:`cut_off`, where they
     are read: no shuffle, no stored copy, no job while the plan is built. Rows equal to the cut-off in key and tie are
     collapsed to one row per content with its number, and that many are given back, so copies of one row are no hot group.
     """
     rows = df.withColumns({"_key": key, "_in": F.coalesce(F.expr(among), F.lit(False))})
-    placed = rows.withColumn("_cut", cut_off(rows, n, tie))
+    # the cut-off comes to every row by a hash join with its one row: named as a subquery it would be planned once per use
+    cut = F.broadcast(cut_off(rows, n, tie, digits).select("at", F.col("copies").alias("_copies"), F.lit(0).alias("_one")))
+    placed = rows.withColumn("_one", F.length("_key") * 0).join(cut, "_one", "left")
     place = F.struct("_key", *tie)
-    equal = F.coalesce(F.col("_in") & (place == F.col("_cut.at")), F.lit(False))
-    below = F.col("_in") & (F.col("_cut").isNull() | (place < F.col("_cut.at")))
+    equal = F.col("_in") & F.coalesce(place == F.col("at"), F.lit(False))
+    below = F.col("_in") & F.coalesce(place < F.col("at"), F.lit(True))
     outer = placed.filter(~equal).select(*df.columns, below.alias(flag))
 
-    contents = placed.filter(equal).groupBy(*df.columns).agg(F.count("*").alias("_n"), F.max("_cut.copies").alias("_copies"))
+    contents = placed.filter(equal).groupBy(*df.columns, "_copies").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy(*df.columns).rowsBetween(Window.unboundedPreceding, -1))
     blocks = contents.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_block", F.explode(F.expr(f"sequence(0, (_n - 1) div {COPIES})")))
     copy = F.explode(F.expr(f"sequence(_block * {COPIES} + 1, least((_block + 1) * {COPIES}, _n))"))

@@ -12,6 +12,7 @@ from fieldstate.operators import sampling
 LABELS = ("dominant_cover", "crop_type", "crop_status")
 BUCKET_DIGITS = 3    # hex digits: 4,096 parts of a label combination
 SLOTS = 4096         # position slots of a combination
+DRAWS = 100_000      # draws made by one row
 
 
 def _combo(cols: tuple[str, ...]) -> Column:
@@ -126,21 +127,22 @@ def resample_balanced(
         F.count("*").alias("rows"), F.min(F.struct(*cols)).alias("labels"), F.bit_xor(F.xxhash64(*names)).alias("checksum")
     )
     counts = counts.filter("checksum IS NOT NULL")
-    # at most 16 ** BUCKET_DIGITS rows per combination from here on, and one row per combination in ``combos``
-    upto = F.sum("rows").over(Window.partitionBy("_combo").orderBy("_bucket"))
-    combos = counts.groupBy("_combo").agg(F.sum("rows").alias("n_rows"), F.min("labels").alias("labels"))
-    combos = combos.select("_combo", "n_rows", F.expr(f"n_rows div {SLOTS} + 1").alias("width"), (F.row_number().over(Window.orderBy("labels")) - 1).alias("combo"))
-    n_combos = combos.agg(F.count("*").alias("k")).scalar()
-    spans = counts.select("_combo", "_bucket", (upto - F.col("rows")).alias("first"), upto.alias("end")).join(combos.select("_combo", "width"), "_combo")
+    # at most 16 ** BUCKET_DIGITS rows per combination from here on; combinations are bounded by the class dictionary
+    per_combo = Window.partitionBy("_combo")
+    upto, width = F.sum("rows").over(per_combo.orderBy("_bucket")), F.expr(f"n_rows div {SLOTS} + 1")
+    spans = counts.select("_combo", "_bucket", (upto - F.col("rows")).alias("first"), upto.alias("end"), F.sum("rows").over(per_combo).alias("n_rows"))
+    spans = spans.withColumn("width", width)
+    combos = counts.groupBy("_combo").agg(F.sum("rows").alias("n_rows"), F.min("labels").alias("labels")).withColumn("width", width)
     slots = F.explode(F.expr("sequence(first div width, (end - 1) div width)"))
 
+    # one row with all combinations, in order, gives the draws in blocks
+    every = combos.agg(F.array_sort(F.collect_list(F.struct("labels", "_combo", "n_rows", "width"))).alias("combos")).filter("size(combos) > 0")
+    blocks = every.withColumn("block", F.explode(F.expr(f"sequence(0, {(n - 1) // DRAWS})"))).repartition("block") if n > 0 else every.limit(0).withColumn("block", F.lit(0))
     draw_key = K.sample_key("draw", seed)
-    position = K.hex_int(draw_key, 9, 13) % F.col("n_rows")
     draws = (
-        df.sparkSession.range(n).withColumnRenamed("id", "draw")
-        .withColumn("combo", K.hex_int(draw_key, 1, 8) % n_combos)
-        .join(combos, "combo")
-        .select("draw", "_combo", position.alias("position"), "width")
+        blocks.withColumn("draw", F.explode(F.expr(f"sequence(block * {DRAWS}L, least((block + 1) * {DRAWS}L, {n}L) - 1)")))
+        .withColumn("c", F.get("combos", (K.hex_int(draw_key, 1, 8) % F.size("combos")).cast("int")))
+        .select("draw", "c._combo", "c.width", (K.hex_int(draw_key, 9, 13) % F.col("c.n_rows")).alias("position"))
         .withColumn("slot", F.expr("position div width"))
     )
     placed = (

@@ -225,4 +225,13 @@ def test_plans_of_split_and_resampling(spark, tmp_path):
     windows = re.findall(r"windowspecdefinition\(([^)]*)\)", final)
     assert windows and not any("dominant_cover" in w.split(" ASC")[0] for w in windows)
     main = split._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in main and "row_number" not in main
+    assert "row_number" not in main and not re.search(r"Join Cross|Checkpoint|LogicalRDD", main)
+
+
+def test_take_exactly_refines_in_several_steps(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("x"))
+    flags = [
+        sorted(tuple(r) for r in sampling.take_exactly(df, F.lit(1777), K.sample_key("x", 1), ["x"], "hit", digits=d).collect())
+        for d in ((5,), (1,), (1, 2, 3), (4, 8))
+    ]
+    assert sum(h for _, h in flags[0]) == 1777 and all(f == flags[0] for f in flags)
