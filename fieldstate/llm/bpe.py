@@ -77,8 +77,7 @@ class Vocabulary:
         names = dict.fromkeys(range(self.size), b"") | {i: t.encode() for t, i in [*vocab.items(), *self.specials.items()]}
         self.known = np.zeros(self.size, bool)
         self.known[[*vocab.values(), *self.specials.values()]] = True
-        self.name_at = np.concatenate([[0], np.cumsum([len(names[i]) for i in range(self.size)])])
-        self.name_bytes = np.frombuffer(b"".join(names[i] for i in range(self.size)), np.uint8)
+        self.names = pa.array([names[i].decode() for i in range(self.size)], pa.large_string())
 
         merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in model["merges"]], np.int64).reshape(-1, 3)
         left, right, made = merges.T
@@ -385,21 +384,12 @@ class Vocabulary:
         ids, ends = self.tokens_of(numbers)
         return ids, np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))])
 
-    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the tokens of each row joined by spaces, as (bytes, offsets); unknown ids are left out."""
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Names of the tokens of each row joined by spaces; unknown ids are left out."""
         known = (ids >= 0) & (ids < self.size)
         known[known] = self.known[ids[known]]
         bounds = np.concatenate([[0], np.cumsum(known)])[bounds]
-        ids = ids[known].astype(np.int64)
-        starts, lengths = self.name_at[ids], self.name_at[ids + 1] - self.name_at[ids]
-        spaced = lengths + 1
-        spaced[bounds[1:][np.diff(bounds) > 0] - 1] -= 1  # none after a row's last token
-        ends = np.cumsum(spaced)
-        inner = np.arange(int(spaced.sum())) - np.repeat(ends - spaced, spaced)
-        from_name = inner < np.repeat(lengths, spaced)
-        out = np.full(len(inner), 0x20, np.uint8)
-        out[from_name] = self.name_bytes[(np.repeat(starts, spaced) + inner)[from_name]]
-        return out, np.concatenate([[0], ends])[bounds]
+        return pa.compute.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), self.names.take(pa.array(ids[known]))), pa.scalar(" ", pa.large_string()))
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -445,8 +435,7 @@ def decode(ids: Column | str, path: str) -> Column:
         bounds = np.concatenate([[0], np.cumsum(np.where(missing, 0, lists.value_lengths().fill_null(0).to_numpy()))]).astype(np.int64)
         values = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
         for a, b in C.slices(bounds, C.SLICE // 8):
-            data, offsets = vocab.decoded(values[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-            out.append(pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)))
+            out.append(vocab.decoded(values[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]))
         if not out:
             return pa.array([], pa.large_string())
         texts = pa.concat_arrays(out)
