@@ -11,6 +11,7 @@ are merged per prefix partition: by language, first two words, and a salt that s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from fieldstate.llm import common as C
 
 #: Bits of a word number in a container's keys; three numbers fit one key. A task never numbers more words than that.
 BITS = 20
-#: Entries of a container before it bursts, entries of a task's tries before they spill, rows of a batch.
-BURST, ENTRIES, OUT = 4096, 600_000, 20_000
+#: Entries of a container before it bursts, entries and numbered words of a task's tries before they spill, rows of a batch,
+#: bytes of text that are counted at once.
+BURST, ENTRIES, WORDS, OUT, TEXTS = 4096, 400_000, 250_000, 20_000, 1 << 22
 #: Bits of the table of frequent phrases that is sent to the tasks (8 MB), partitions that share one prefix.
 TABLE_BITS, SALTS = 26, 16
 #: How a text falls into pieces and words, on bytes: piece separators become line ends, tabs become spaces.
@@ -79,40 +81,59 @@ class HatTrie:
         self.entries += len(box) - before
         self.sizes[first] = self.sizes.get(first, 0) + len(box) - before
 
-    def spill(self, keep: int) -> Iterator[tuple[int, list[tuple[tuple[int, ...], int]]]]:
-        """Remove whole subtrees, largest first, until at most ``keep`` entries are left: (first word, (words, count) each)."""
+    def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Remove whole subtrees, largest first, until at most ``keep`` entries are left: first words, keys, counts."""
+        prefixes, boxes = [], []
         for first in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.entries <= keep:
-                return
-            out = []
+                break
             for prefix in self.under.pop(first):
-                shifts = [BITS * k for k in range(self.length - len(prefix) - 1, -1, -1)]
-                out += [((*prefix, *[k >> s & (1 << BITS) - 1 for s in shifts]), n) for k, n in self.boxes.pop(prefix).items()]
+                prefixes.append(prefix)
+                boxes.append(self.boxes.pop(prefix))
             self.entries -= self.sizes.pop(first)
             self.inner.discard(first)
-            yield first, out
+        lengths = np.array([len(b) for b in boxes], np.int64)
+        total = int(lengths.sum())
+        keys = np.fromiter(chain.from_iterable(boxes), np.int64, total)
+        counts = np.fromiter(chain.from_iterable(b.values() for b in boxes), np.int64, total)
+        second = np.array([p[1] if len(p) > 1 else 0 for p in prefixes], np.int64) << BITS * (self.length - 2)
+        first = np.array([p[0] for p in prefixes], np.int64)
+        return np.repeat(first, lengths), keys | np.repeat(second, lengths), counts
 
 
 class Numbers(dict):
-    """Numbers of the words of one language in a task; 0 is the end of a piece."""
+    """Numbers of the words of one language in a task; 0 is the end of a piece, or a word that is in no frequent phrase."""
 
-    def __init__(self):
-        super().__init__({b"\n": 0})
-        self.words, self.hashes = [b"\n"], np.zeros(1, C.U)
+    def __init__(self, lang: str):
+        super().__init__()
+        self.seed = seed(lang)
+        self.words, self.hashes = [b""], np.zeros(1, C.U)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.words)
         self.words.append(word)
         return n
 
-    def hashed(self, lang: str) -> np.ndarray:
-        """A hash of every number's word, the same in all tasks."""
-        new = self.words[len(self.hashes) :]
-        if new:
-            ends = np.cumsum([len(w) for w in new])
-            own = C.word_hashes(np.frombuffer(b"".join(new), np.uint8), np.append(0, ends[:-1]), ends)
-            self.hashes = np.append(self.hashes, own + seed(lang))
-        return self.hashes
+    def of(self, texts: list[str], table: np.ndarray | None) -> np.ndarray:
+        """Word numbers of texts, with a 0 after each piece. Only A-Z are lower-cased.
+
+        Words that are not in the table are no part of a frequent phrase and count as the end of a piece.
+        """
+        joined = "\n".join(["", *texts, ""]).encode().lower().translate(PIECES).replace(b"\n", b" \n ")
+        coded = pa.compute.split_pattern(pa.array([joined], pa.large_binary()), b" ").flatten().dictionary_encode()
+        data, offsets = C.buffers(coded.dictionary)
+        hashes = C.word_hashes(data, offsets[:-1], offsets[1:]) + self.seed
+        empty = np.diff(offsets) == 0
+        good = ~empty & (data[np.minimum(offsets[:-1], len(data) - 1)] != 0x0A)  # a line end stands for itself alone
+        if table is not None:
+            good &= present(table, C.gram_hashes(hashes, 1))
+        where, number = np.flatnonzero(good), np.zeros(len(good), np.int64)
+        known = len(self.words)
+        number[where] = np.fromiter(map(self.__getitem__, coded.dictionary.take(pa.array(where)).to_pylist()), np.int64, len(where))
+        new = np.sort(where[number[where] >= known])
+        self.hashes = np.append(self.hashes, hashes[new[np.argsort(number[new])]])
+        codes = coded.indices.to_numpy()
+        return number[codes[~empty[codes]]]
 
 
 def seed(lang: str) -> np.uint64:
@@ -120,23 +141,13 @@ def seed(lang: str) -> np.uint64:
     return C.word_hashes(data, np.zeros(1, np.int64), np.array([len(data)]))[0]
 
 
-def numbered(texts: list[str], numbers: Numbers) -> np.ndarray:
-    """Word numbers of texts, each piece followed by a 0. Only A-Z are lower-cased."""
-    out = [np.zeros(1, np.int64)]
-    for text in texts:
-        words = text.encode().lower().translate(PIECES).replace(b"\n", b" \n ").split(b" ")
-        words.append(b"\n")
-        out.append(np.fromiter(map(numbers.__getitem__, filter(None, words)), np.int64))
-    return np.concatenate(out)
-
-
 def present(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes & C.U((1 << TABLE_BITS) - 1)
     return (table[(at >> C.U(6)).astype(np.int64)] >> (at & C.U(63))) & C.U(1) > 0
 
 
 def places(ids: np.ndarray, hashes: np.ndarray, length: int, table: np.ndarray | None) -> np.ndarray:
-    """Where a phrase of ``length`` words stands in one piece with both its shorter phrases in the table."""
+    """Where a phrase of ``length`` words stands in one piece, with both its shorter phrases in the table if there is one."""
     n = len(ids) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -144,58 +155,72 @@ def places(ids: np.ndarray, hashes: np.ndarray, length: int, table: np.ndarray |
     whole = word[:n].copy()
     for k in range(1, length):
         whole &= word[k : k + n]
-    if length > 1:
+    if table is not None:
         known = present(table, C.gram_hashes(hashes[ids], length - 1))
         whole &= known[:-1] & known[1:]
     return np.flatnonzero(whole)
 
 
-def runs(docs: DataFrame, length: int, table) -> DataFrame:
-    """Sorted runs (lang, phrase, n) of phrases of one length; ``table`` is a broadcast of the shorter ones' bitmap."""
+def distinct(first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (first, key), in order, and how often each occurs."""
+    order = np.lexsort((key, first))
+    first, key = first[order], key[order]
+    start = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (key[1:] != key[:-1]))[: len(first)])
+    return first[start], key[start], np.diff(np.append(start, len(first)))
+
+
+def run_of(lang: str, words: list[bytes], length: int, spilled: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Spilled subtrees as a run that is sorted by words."""
+    first, key, count = spilled
+    ids = [key >> BITS * k & (1 << BITS) - 1 for k in range(length - 2, -1, -1)]
+    ids = [first, *ids] if length > 1 else [key]
+    names = pa.array(words, pa.binary())
+    rank = np.empty(len(words), np.int64)
+    rank[pa.compute.sort_indices(names).to_numpy()] = np.arange(len(words))
+    order = np.lexsort([rank[x] for x in ids[::-1]])
+    phrases = pa.compute.binary_join_element_wise(*[names.take(pa.array(x[order])) for x in ids], b" ")
+    return pa.record_batch([pa.array([lang] * len(order)), phrases.cast(pa.string()), pa.array(count[order])], ["lang", "phrase", "n"])
+
+
+def runs(docs: DataFrame, length: int, words, shorter) -> DataFrame:
+    """Sorted runs (lang, phrase, n) of phrases of one length.
+
+    ``words`` and ``shorter`` are broadcasts of the bitmaps of frequent words and of frequent phrases of one word less, None
+    where there is none to look at.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value if table else None
+        frequent, known = (b.value if b else None for b in (words, shorter))
         state: dict[str, tuple[Numbers, HatTrie]] = {}
 
-        def rows(lang: str, found: list[tuple[bytes, int]]) -> pa.RecordBatch:
-            phrases = pa.array([p for p, _ in found], pa.binary()).cast(pa.string())
-            return pa.record_batch([pa.array([lang] * len(found)), phrases, pa.array([n for _, n in found], pa.int64())], ["lang", "phrase", "n"])
-
         def spilled(keep: int) -> Iterator[pa.RecordBatch]:
-            """One sorted run per subtree; runs share a batch."""
             for lang, (numbers, trie) in state.items():
-                word, out = numbers.words, []
-                for _, entries in trie.spill(keep // len(state)):
-                    out += sorted([(b" ".join([word[i] for i in ids if i]), n) for ids, n in entries])
-                    if len(out) >= OUT:
-                        yield rows(lang, out)
-                        out = []
-                if out:
-                    yield rows(lang, out)
+                run = trie.spill(keep // len(state))
+                if len(run[0]):
+                    whole = run_of(lang, numbers.words, length, run)
+                    yield from (whole.slice(at, OUT) for at in range(0, whole.num_rows, OUT))
 
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            for lang in dict.fromkeys(langs):
-                texts = batch.column(1).filter(pa.array(langs == lang))
-                for a, b in C.slices(C.buffers(texts)[1]):
-                    numbers, trie = state.setdefault(lang, (Numbers(), HatTrie(max(length, 2))))
-                    ids = numbered(texts[a:b].to_pylist(), numbers)
-                    at = places(ids, numbers.hashed(lang), length, known)
+            for a, b in C.slices(C.buffers(batch.column(1))[1], TEXTS):
+                langs, texts = batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist()
+                by_lang: dict[str, list[str]] = {}
+                for lang, text in zip(langs, texts):
+                    by_lang.setdefault(lang, []).append(text)
+                for lang, own in by_lang.items():
+                    numbers, trie = state.setdefault(lang, (Numbers(lang), HatTrie(max(length, 2))))
+                    ids = numbers.of(own, frequent)
+                    at = places(ids, numbers.hashes, length, known)
                     first, key = (ids[at] if length > 1 else np.zeros(len(at), np.int64)), np.zeros(len(at), np.int64)
                     for k in range(min(length - 1, 1), length):
                         key = key << BITS | ids[at + k]
-                    order = np.lexsort((key, first))
-                    first, key = first[order], key[order]
-                    new = np.append(True, (first[1:] != first[:-1]) | (key[1:] != key[:-1]))[: len(first)]
-                    start = np.flatnonzero(new)
-                    count = np.diff(np.append(start, len(first))).tolist()
-                    first, key = first[start], key[start].tolist()
+                    first, key, count = distinct(first, key)
                     head = np.flatnonzero(np.append(True, first[1:] != first[:-1])[: len(first)])
-                    for x, i, j in zip(first[head].tolist(), head.tolist(), [*head[1:].tolist(), len(first)]):
+                    key, count = key.tolist(), count.tolist()
+                    for x, i, j in zip(first[head].tolist(), head.tolist(), [*head[1:].tolist(), len(key)]):
                         trie.add(x, key[i:j], count[i:j])
                     if sum(t.entries for _, t in state.values()) > ENTRIES:
                         yield from spilled(ENTRIES // 2)
-                    if sum(len(n.words) for n, _ in state.values()) > 1 << BITS - 1:
+                    if sum(len(n.words) for n, _ in state.values()) > WORDS:
                         yield from spilled(0)
                         state.clear()
         yield from spilled(0)
@@ -222,10 +247,10 @@ def bits_of(frequent: DataFrame, length: int) -> np.ndarray:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in dict.fromkeys(langs):
-                numbers = Numbers()
-                phrases = batch.column(1).filter(pa.array(langs == lang)).to_pylist()
-                ids = np.array([numbers[w] for p in phrases for w in p.encode().split(b" ")], np.int64)
-                at = (C.gram_hashes(numbers.hashed(lang)[ids], length)[::length] & C.U((1 << TABLE_BITS) - 1)).view(np.int64)
+                own = batch.column(1).filter(pa.array(langs == lang)).cast(pa.large_binary())
+                data, offsets = C.buffers(pa.compute.split_pattern(own, b" ").flatten())
+                hashes = C.word_hashes(data, offsets[:-1], offsets[1:]) + seed(lang)
+                at = (C.gram_hashes(hashes, length)[::length] & C.U((1 << TABLE_BITS) - 1)).view(np.int64)
                 yield pa.record_batch([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["w", "b"])
 
     rows = frequent.select("lang", "phrase").mapInArrow(emit, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -239,12 +264,13 @@ def counted(docs: DataFrame, longest: int, least: int, lang_col: str, text_col:
     brief = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    words = C.written(merged(runs(brief, 1, None), 1), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    levels = [C.written(words.filter(F.col("n") >= least), "phrases1")]
+    every_word = C.written(merged(runs(brief, 1, None, None), 1), "words")
+    totals = every_word.groupBy("lang").agg(F.sum("n").alias("n"))
+    levels, tables = [C.written(every_word.filter(F.col("n") >= least), "phrases1")], []
     for length in range(2, longest + 1):
-        table = docs.sparkSession.sparkContext.broadcast(bits_of(levels[-1], length - 1))
-        levels.append(C.written(merged(runs(brief, length, table), length).filter(F.col("n") >= least), f"phrases{length}"))
+        tables.append(docs.sparkSession.sparkContext.broadcast(bits_of(levels[-1], length - 1)))
+        found = merged(runs(brief, length, tables[0], tables[-1] if length > 2 else None), length)
+        levels.append(C.written(found.filter(F.col("n") >= least), f"phrases{length}"))
     rows = [level.select("lang", F.lit(k).alias("words"), "phrase", "n") for k, level in enumerate(levels, 1)]
     every = rows[0]
     for more in rows[1:]:

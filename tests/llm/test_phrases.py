@@ -67,9 +67,11 @@ def test_equals_plain_version(spark, least, limit):
 
 def test_bursting_and_spilling_change_nothing(spark, monkeypatch):
     rows = texts(9)
-    emitted = phrases.runs(frame(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "coalesce(text, '') AS text").coalesce(1), 1, None)
+    emitted = phrases.runs(frame(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "coalesce(text, '') AS text").coalesce(1), 1, None, None)
     monkeypatch.setattr(phrases, "ENTRIES", 25)
-    again = phrases.runs(frame(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "coalesce(text, '') AS text").coalesce(1), 1, None)
+    monkeypatch.setattr(phrases, "WORDS", 30)
+    monkeypatch.setattr(phrases, "TEXTS", 500)
+    again = phrases.runs(frame(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "coalesce(text, '') AS text").coalesce(1), 1, None, None)
     total = lambda df: sorted(tuple(r) for r in phrases.merged(df, 1).collect())
     assert total(emitted) == total(again)
 
@@ -86,10 +88,9 @@ def test_trie_counts_subtrees_by_size():
     assert trie.inner and trie.entries == len(want)
     got, sizes = Counter(), []
     for keep in (len(want) // 2, 0):
-        for first, entries in trie.spill(keep):
-            assert {w[0] for w, _ in entries} == {first}
-            sizes.append(len(entries))
-            got.update(dict(entries))
+        first, keys, counts = trie.spill(keep)
+        got.update({(f, k >> 40, k >> 20 & (1 << 20) - 1, k & (1 << 20) - 1): n for f, k, n in zip(first.tolist(), keys.tolist(), counts.tolist())})
+        sizes += [sum(first == f) for f in dict.fromkeys(first.tolist())]
         assert trie.entries <= keep
     assert got == want and sizes == sorted(sizes, reverse=True)
 
