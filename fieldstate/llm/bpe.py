@@ -25,7 +25,7 @@ from fieldstate.llm import common as C
 
 #: Words and chunks (what stands between two spaces) that a worker remembers before it starts anew, the places of new words
 #: that are walked at once, and the bytes of text that are looked up at once.
-REMEMBERED, PLACES, TEXTS = 700_000, 1 << 20, 1 << 22
+REMEMBERED, PLACES, TEXTS = 800_000, 1 << 20, 1 << 23
 #: Symbols of a word up to which it is merged together with others, and how many of them.
 SHORT, ROWS = 48, 8192
 NEVER = 1 << 60
@@ -341,7 +341,10 @@ class Vocabulary:
         return self.flat[np.repeat(self.bounds[numbers] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], ends
 
     def learn_chunks(self, chunks: list[str]) -> None:
-        """Tokens of chunks: those of their words."""
+        """Tokens of chunks: those of their words. A chunk of plain letters is a word."""
+        single = [c for c in chunks if c.isascii() and c.isalpha()]
+        self.chunks_known.update(zip(single, self.numbered(single).tolist()))
+        chunks = [c for c in chunks if not (c.isascii() and c.isalpha())]
         words, counts = [], []
         for chunk in chunks:
             own = self.words_in(chunk)
