@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldstate import schema as S
 from fieldstate.functions import names as N
 from fieldstate.functions import vectors as V
 from fieldstate.operators.series import long_rows_sql
+from fieldstate.sources.tables import read_table, write_table
 
 IMAGE = ("phenocam_name", "file", "date")
 METRICS = (
@@ -236,13 +237,16 @@ def _of_site_year(df: DataFrame, site: str | None, year: int | None) -> DataFram
     return df if year is None else df.filter(F.col("year") == year)
 
 
+PANEL = ("series", "phenocam_name", "year", "date", "category", "class", "probability", "class_rank")
+
+
 def timeseries_panel(
     obs: DataFrame, final: DataFrame, site: str | None = None, year: int | None = None
 ) -> DataFrame:
     """Plot-ready rows (series, phenocam_name, year, date, category, class, probability, class_rank).
 
     ``series`` is ``probability`` (all classes), ``maxprob`` or ``hmm``. The filters stand before the
-    means; that on the year is computed from the date, so only a table partitioned by year is read in part.
+    means; that on the year is computed from the date, so to read many single years store the panel: :func:`store_panel`.
     """
     images = _of_site_year(obs.withColumn("year", F.year("date")), site, year)
     keys = ("phenocam_name", "year", "date")
@@ -258,6 +262,25 @@ def timeseries_panel(
     return reduce(DataFrame.unionByName, parts).withColumn("class_rank", N.display_rank("class"))
 
 
+def store_panel(panel: DataFrame, path: str) -> None:
+    """The panel as a table partitioned by category and year, for reports that look at single years.
+
+    Rows are brought together by partition and site before they are written, so a partition gets files by site range and not one
+    file per task, and a site's rows stand together in a file.
+    """
+    ordered = panel.repartitionByRange("category", "year", "phenocam_name").sortWithinPartitions("category", "year", "phenocam_name", "date")
+    write_table(ordered, path, ("category", "year"))
+
+
+def read_panel(spark: SparkSession, path: str, site: str | None = None, year: int | None = None, category: str | None = None) -> DataFrame:
+    """Rows of a stored panel. Category and year prune folders; the site is pushed to the files, whose statistics skip row groups."""
+    rows = read_table(spark, path)
+    for column, value in (("category", category), ("year", year), ("phenocam_name", site)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows.select(*PANEL)
+
+
 def site_years(obs: DataFrame, min_days: int = S.SITE_YEAR_MIN_DAYS) -> DataFrame:
     """(phenocam_name, year, n_days) with at least ``min_days`` distinct days."""
     days = obs.select("phenocam_name", "date").distinct()

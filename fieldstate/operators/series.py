@@ -193,41 +193,77 @@ def interpolate_daily(df: DataFrame, max_gap: int, by: str = "row") -> DataFrame
 def interpolate_gaps(df: DataFrame, max_gap: int, by: str = "row", order: str = "file") -> DataFrame:
     """:func:`interpolate_daily` for any number of rows per day, ordered by date and ``order`` within the day.
 
-    Rows are windowed per (site, day). A one-row summary per day (row count, first and last vector) is carried
-    along the site's calendar and joined back, so no task holds all images of a site.
+    A segmented scan: rows are shuffled once, by (site, day), and each day is reduced to a one-row summary (row count, first
+    and last vector), which is carried along the site's calendar and joined back. No task holds all images of a site.
+    """
+    return _segmented(df, max_gap, by, order)
+
+
+def _segmented(df: DataFrame, max_gap: int, by: str = "row", order: str = "file", profile: bool = False) -> DataFrame:
+    """Gap filling over days of several rows. With ``profile``, days missing from a site's calendar get a row first (which is a
+    gap), and days whose top cover is blurry lose their values; both follow from the same summary of each day.
     """
     vectors = [c for c in S.CATEGORIES if c in df.columns]
     day = [SITE, "date"]
     in_day, in_day_desc = (f"PARTITION BY {SITE}, date ORDER BY {order}{d}" for d in ("", " DESC"))
-    rows = df.selectExpr("*", f"row_number() OVER ({in_day}) AS _row")
+    by_row = by == "row"
+    # stated here, not only inferred from the join, so that summary and rows read one exchange
+    rows = df.filter(f"{SITE} IS NOT NULL AND date IS NOT NULL").selectExpr("*", f"row_number() OVER ({in_day}) AS _row")
+
     # a day's first and last present row, as (row, vector)
     edges = [
         f"{f}_by({_mark(c, '_row')}, CASE WHEN {c} IS NOT NULL THEN _row END) AS _{name}_{c}"
         for c in vectors
         for f, name in (("min", "first"), ("max", "last"))
     ]
-    summary = rows.groupBy(*day).agg(F.expr("count(*) AS _rows"), *[F.expr(e) for e in edges])
-
-    by_row = by == "row"
-    offset = f"coalesce(sum(_rows) OVER ({BY_DATE} {BEFORE}), 0)" if by_row else "unix_date(date)"
-
-    def placed(mark: str) -> str:
+    cover = "dominant_cover"
+    own, best = V.element_sql(cover, S.code(cover, "blurry")), ", ".join(V.elements_sql(cover, S.WIDTHS[cover]))
+    blurry = f"coalesce(max({own}) >= max(greatest({best})), false) AS _blurry" if profile else "false AS _blurry"
+    # the checksum reads every column, and the filter keeps it: the summary then needs the same exchange as the rows
+    summary = rows.groupBy(*day).agg(
+        F.expr("count(*) AS _rows"), *[F.expr(e) for e in edges], F.expr(blurry), F.bit_xor(F.xxhash64(*df.columns)).alias("_all")
+    ).filter("_all IS NOT NULL")
+
+    if profile:
+        # days between this one and the next have a row of their own, counted before the next day's rows
+        missing = f"coalesce(datediff(lead(date) OVER ({BY_DATE}), date) - 1, 0) AS _missing"
+        summary = summary.selectExpr("*", missing)
+        kept = [f"CASE WHEN NOT _blurry THEN _{name}_{c} END AS _{name}_{c}" for c in vectors for name in ("first", "last")]
+        summary = summary.selectExpr(*day, "_rows", "_blurry", "_missing", *kept)
+    offset = f"coalesce(sum(_rows{' + _missing' if profile else ''}) OVER ({BY_DATE} {BEFORE}), 0)" if by_row else "unix_date(date)"
+
+    def placed(mark: str, at: str) -> str:
         """A mark at its position within the site instead of within the day."""
-        at = f"_offset + {mark}.at" if by_row else "_offset"
         return f"CASE WHEN {mark} IS NOT NULL THEN named_struct('at', {at}, 'v', {mark}.v) END"
 
+    def in_site(mark: str) -> str:
+        return placed(mark, f"_offset + {mark}.at" if by_row else "_offset")
+
     carried = summary.selectExpr("*", f"CAST({offset} AS BIGINT) AS _offset")
-    carried = carried.selectExpr("*", *[f"{_last(placed(f'_last_{c}'), BY_DATE)} AS _dp_{c}" for c in vectors])
-    carried = carried.selectExpr("*", *[f"{_last(placed(f'_first_{c}'), BY_DATE_DESC)} AS _dn_{c}" for c in vectors])
-    carried = carried.select(*day, "_offset", *[f"_d{s}_{c}" for s in "pn" for c in vectors])
+    carried = carried.selectExpr("*", *[f"{_last(in_site(f'_last_{c}'), BY_DATE)} AS _dp_{c}" for c in vectors])
+    carried = carried.selectExpr("*", *[f"{_last(in_site(f'_first_{c}'), BY_DATE_DESC)} AS _dn_{c}" for c in vectors])
 
+    mine = {c: c for c in vectors}
+    if profile:
+        rows = rows.join(carried.select(*day, "_blurry", "_offset", *[f"_d{s}_{c}" for s in "pn" for c in vectors]), day)
+        rows = rows.selectExpr(*[f"CASE WHEN NOT _blurry THEN {c} END AS {c}" if c in mine else c for c in rows.columns])
     rows = rows.selectExpr("*", *[f"{_bound(c, '_row', in_day)} AS _lp_{c}" for c in vectors])
     rows = rows.selectExpr("*", *[f"{_bound(c, '_row', in_day_desc)} AS _ln_{c}" for c in vectors])
-    joined = rows.join(carried, day)
-    bounds = [f"coalesce({placed(f'_l{s}_{c}')}, _d{s}_{c}) AS _{s}_{c}" for s in "pn" for c in vectors]
-    joined = joined.selectExpr(*df.columns, f"_offset + {'_row' if by_row else '0'} AS _at", *bounds)
+    if not profile:
+        rows = rows.join(carried.select(*day, "_offset", *[f"_d{s}_{c}" for s in "pn" for c in vectors]), day)
+    bounds = [f"coalesce({in_site(f'_l{s}_{c}')}, _d{s}_{c}) AS _{s}_{c}" for s in "pn" for c in vectors]
+    rows = rows.selectExpr(*df.columns, f"_offset + {'_row' if by_row else '0'} AS _at", *bounds)
+    if profile:
+        # a missing day lies after all rows of the day before it: its previous value is that day's last, or an earlier one
+        nulls = [f"CAST(NULL AS {t}) AS {c}" for c, t in df.dtypes if c not in day]
+        step = "posexplode(sequence(date_add(date, 1), date_add(date, _missing))) AS (_k, _day)"
+        held = [f"coalesce({in_site(f'_last_{c}')}, _dp_{c}) AS _p_{c}" for c in vectors] + [f"_dn_{c} AS _n_{c}" for c in vectors]
+        empty = carried.filter("_missing > 0").selectExpr(SITE, "_offset", "_rows", *held, step)
+        at = "_offset + _rows + _k + 1" if by_row else "CAST(unix_date(_day) AS BIGINT)"
+        bound_names = [f"_{s}_{c}" for s in "pn" for c in vectors]
+        rows = rows.unionByName(empty.selectExpr(SITE, "_day AS date", *nulls, f"{at} AS _at", *bound_names))
     filled = {c: V.between(c, "_at", f"_p_{c}", f"_n_{c}", max_gap) for c in vectors}
-    return joined.select(*[filled[c].alias(c) if c in filled else c for c in df.columns])
+    return rows.select(*[filled[c].alias(c) if c in filled else c for c in df.columns])
 
 
 def interpolate_long(obs: DataFrame, max_gap: int, keys: tuple[str, ...] = (SITE, "category", "class")) -> DataFrame:
@@ -339,5 +375,9 @@ def prep_for_hmm(
 
 
 def prep_profile_simple(images: DataFrame, gap: int = S.PROFILE_GAP_ROWS) -> DataFrame:
-    """The lighter profile: calendar, blur mask, then gaps; all images of a day are kept, blurry stays a class."""
-    return interpolate_gaps(mask_blurry_days(fill_calendar(images)), gap)
+    """The lighter profile: calendar, blur mask, then gaps; all images of a day are kept, blurry stays a class.
+
+    Equal to ``interpolate_gaps(mask_blurry_days(fill_calendar(images)), gap)``, from one summary per day: its rows, whether
+    its top cover is blurry, its first and last values.
+    """
+    return _segmented(images, gap, profile=True).withColumn("year", F.year("date"))

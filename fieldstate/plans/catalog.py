@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,7 @@ from fieldstate.operators import checks, croptype, evaluate, hmm, parsing, sampl
 from fieldstate.operators import islands as I
 from fieldstate.plans import field_states as plan
 from fieldstate.sources import derived as D
-from fieldstate.sources import manifests
+from fieldstate.sources import manifests, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -678,6 +679,14 @@ def timeseries_panel(spark, d):
     return evaluate.timeseries_panel(D.observations(spark, d), final(spark, d))
 
 
+@query
+def timeseries_panel_year(spark, d):
+    """The cover of one year, from a panel stored by category and year."""
+    path = f"{tables.shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    evaluate.store_panel(evaluate.timeseries_panel(D.observations(spark, d), final(spark, d)), path)
+    return evaluate.read_panel(spark, path, year=2019, category="dominant_cover")
+
+
 @query
 def site_years(spark, d):
     return evaluate.site_years(D.observations(spark, d))

@@ -31,9 +31,14 @@ SELECT DISTINCT phenocam_name, date, concat('http://archive.example/browse/', ph
 Q["transition_file_name"] = """
 SELECT concat('gcc/', phenocam_name, '_', roi_type, '_', CAST(roi_id AS VARCHAR), '_1day.csv') AS path,
  concat('gcc/', phenocam_name, '_', roi_type, '_', CAST(roi_id AS VARCHAR), '_1day_transition_dates.csv') AS transition_path FROM fx_rois"""
+# found another way: comments and elements without markup are cut out, the rest is split at "<"
 Q["extract_links"] = r"""
+WITH cut AS (SELECT page_id, url, regexp_replace(html, '(?is)<!--.*?(?:-->|$)|<(?:script|style|textarea|title)[\s/>].*?</(?:script|style|textarea|title)[\s>]', ' ', 'g') AS html FROM pages),
+tags AS (SELECT page_id, url, unnest(string_split(html, '<')) AS tag FROM cut),
+found AS (SELECT page_id, url, regexp_extract(tag, '(?is)^a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS h, tag FROM tags
+ WHERE regexp_matches(tag, '(?is)^a\s(?:[^>]*?\s)?href\s*='))
 SELECT page_id, url, concat('http://archive.example', href) AS link FROM (
- SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages)
+ SELECT page_id, url, replace(replace(concat(h.a, h.b, h.c), '&quot;', '"'), '&amp;', '&') AS href FROM found)
 WHERE regexp_matches(href, '^/[a-z]*') AND regexp_matches(href, 'a|the')"""
 Q["fetch_audit"] = """
 SELECT filename, phenocam_name, date, url FROM fx_extra WHERE filename NOT IN (SELECT file FROM fx_img WHERE h % 7 <> 0)"""
@@ -327,6 +332,7 @@ SELECT x.*, CAST(d.class_rank AS INT) AS class_rank FROM (
  SELECT 'probability' AS series, phenocam_name, CAST(year(date) AS INT) AS year, date, category, class, probability FROM fx_obs
  UNION ALL SELECT 'maxprob', phenocam_name, CAST(year(date) AS INT), date, category, maxprob_class, NULL FROM maxprob
  UNION ALL SELECT 'hmm', phenocam_name, year, date, category, class, NULL FROM final_long) x LEFT JOIN display d USING (class)"""
+Q["timeseries_panel_year"] = f"SELECT * FROM ({Q['timeseries_panel']}) WHERE year = 2019 AND category = 'dominant_cover'"
 Q["site_years"] = f"""
 SELECT phenocam_name, CAST(year(date) AS INT) AS year, count(DISTINCT date) AS n_days FROM fx_img GROUP BY 1, 2 HAVING count(DISTINCT date) >= {S.SITE_YEAR_MIN_DAYS}"""
 Q["image_diagnostic"] = """

@@ -49,3 +49,22 @@ JOINING = (
 def test_no_product_of_tables(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_stored_panel_is_read_in_part(spark, tmp_path):
+    """A year of one category opens only its own folder, and the site is pushed to the files."""
+    from fieldstate.operators import evaluate
+
+    panel = evaluate.timeseries_panel(D.observations(spark, SF), catalog.final(spark, SF))
+    path = str(tmp_path / "panel")
+    evaluate.store_panel(panel, path)
+    everything = evaluate.read_panel(spark, path)
+    part = evaluate.read_panel(spark, path, site="site3", year=2019, category="dominant_cover")
+    assert everything.columns == list(evaluate.PANEL) and everything.count() == panel.count()
+    want = panel.filter("phenocam_name = 'site3' AND year = 2019 AND category = 'dominant_cover'")
+    assert sorted(map(str, part.collect())) == sorted(map(str, want.collect()))
+    scan = re.search(r"FileScan parquet.*", plan_of(part)).group(0)
+    partition = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", scan)
+    assert "category" in partition.group(1) and "year" in partition.group(1) and "EqualTo(phenocam_name,site3)" in partition.group(2)
+    files = {f for (f,) in part.select("_metadata.file_path").distinct().collect()}
+    assert files and all("category=dominant_cover/year=2019/" in f for f in files)

@@ -175,3 +175,57 @@ def test_cleaning_keeps_sums_and_ignores_partitioning(spark):
             assert np.allclose(totals, 1)
     for c in S.CATEGORIES:
         assert all((a is None and b is None) or np.array_equal(a, b) for a, b in zip(frames[0][c], frames[1][c]))
+
+
+def final_plan(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+
+
+@pytest.fixture(scope="module")
+def stored_days(spark, tmp_path_factory):
+    """Two sites with several images a day, missing days, blurry days and empty values."""
+    import random
+    from datetime import date, timedelta
+
+    rng = random.Random(6)
+    rows = []
+    for site in "ab":
+        for k in range(60):
+            if rng.random() < 0.3:
+                continue
+            blurry = rng.random() < 0.2
+            for j in range(rng.randrange(1, 4)):
+                vectors = [[(0.9 if blurry else 0.1) if i == 0 else rng.random() * 0.6 + 0.2 for i in range(w)] for w in S.WIDTHS.values()]
+                gone = rng.random() < 0.4
+                rows.append((site, date(2020, 1, 1) + timedelta(k), f"f{k:03}_{j}", *[None if gone else v for v in vectors], rng.random()))
+    schema = "phenocam_name STRING, date DATE, file STRING, dominant_cover ARRAY<DOUBLE>, crop_type ARRAY<DOUBLE>, crop_status ARRAY<DOUBLE>, more DOUBLE"
+    path = str(tmp_path_factory.mktemp("days") / "t")
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def listed(df):
+    return sorted((r.phenocam_name, r.date, r.file or "", r.year, [None if v is None else [round(p, 9) for p in v] for v in (r.dominant_cover, r.crop_type, r.crop_status)], r.more or 0.0) for r in df.collect())
+
+
+@pytest.mark.parametrize("gap", [2, 9])
+def test_profile_equals_its_three_steps(stored_days, gap):
+    steps = series.interpolate_gaps(series.mask_blurry_days(series.fill_calendar(stored_days)), gap)
+    got = series.prep_profile_simple(stored_days, gap)
+    assert set(got.columns) == set(steps.columns) and listed(got) == listed(steps)
+    assert any(f == "" and v[0] for _, _, f, _, v, _ in listed(got)) and any(f and not v[0] for _, _, f, _, v, _ in listed(got))
+
+
+@pytest.mark.parametrize("run", [lambda df: series.interpolate_gaps(df, 3), series.prep_profile_simple])
+def test_gaps_scan_once_and_shuffle_three_times(spark, stored_days, run):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = final_plan(run(stored_days))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert plan.count("FileScan") == 1
+    assert len([x for x in plan.splitlines() if " Exchange hashpartitioning" in x and "ReusedExchange" not in x]) <= 3
+    assert "ReusedExchange" in plan

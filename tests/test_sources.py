@@ -28,6 +28,26 @@ def test_read_skip_header_over_a_folder(spark, tmp_path):
     assert got == [("a, x.jpg", date(2020, 1, 2), 2020, 0.31, "a_1day.csv"), ("b, x.jpg", date(2020, 1, 2), 2020, None, "b_1day.csv")]
 
 
+def test_read_skip_header_over_several_splits(spark, tmp_path):
+    """A file cut into many splits gives the rows of its whole text; a file of preamble only gives none."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    rows = [(k, f"f{k:05}.jpg") for k in range(3000)]
+    (tmp_path / "big.csv").write_bytes(b"# one\r\n# two\r\n" + b"name,n\r\n" + "".join(f"{f},{k}\r\n" for k, f in rows).encode())
+    (tmp_path / "short.csv").write_text("# one\n# two\n")
+    (tmp_path / "small.csv").write_text("# one\n# two\nn,name\n-1,x")
+    schema = _parse_datatype_string("n INT, name STRING")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = tables.read_skip_header(spark, str(tmp_path / "*.csv"), 2, schema)
+        assert spark.read.text(str(tmp_path / "big.csv")).rdd.getNumPartitions() > 5
+        got = sorted((r.n, r.name) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([*rows, (-1, "x")])
+
+
 def test_csv_round_trip(spark, tmp_path):
     flat = [(f"p/{i}", f"s_2020_01_0{i}_120000.jpg", *[0.0] * 20, 1.0) for i in (1, 2)]
     df = spark.createDataFrame(flat, S.PREDICTION_CSV_SCHEMA)
@@ -45,6 +65,9 @@ def test_list_images_recursive(spark, tmp_path):
         (tmp_path / p).write_bytes(b"0")
     got = tables.list_images(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert sorted(r.file for r in got.collect()) == ["x.jpg", "y.jpg", "z.jpg"]
+    assert got.rdd.getNumPartitions() == 2  # a folder each, listed by its task
+    assert all(r.filepath.startswith("file:/") for r in got.collect())
+    assert [r.file for r in tables.list_images(spark, [str(tmp_path / "b")], "*.txt").collect()] == ["note.txt"]
 
 
 def test_names(spark):
@@ -71,6 +94,22 @@ def test_links_and_audit(spark):
     assert manifests.fetch_summary(want, have).first() == (2, 1, 1)
 
 
+def test_links_of_a_page_by_the_states_of_its_markup(spark):
+    html = [
+        ("quoted", '<a href="/1">x</a><A id=q HREF = \'/2\' >y</A><a\nhref=/3>z</a><a href=/4/>', ["/1", "/2", "/3", "/4/"]),
+        ("comment", '<!-- <a href="/no">x</a> --><a href="/yes">y</a><!-- open <a href="/no">', ["/yes"]),
+        ("script", '<script>var s = \'<a href="/no">\';</script><style>a[href="/no"] {}</style><a href="/yes">', ["/yes"]),
+        ("attribute", '<div title=\'<a href="/no">\' data-x="a > b"><a title="a > b" href="/yes">t</a></div>', ["/yes"]),
+        ("other", '<abbr href="/no"><area href="/no"><a name="n"><a data-href="/no"><a href><b href="/no">', [""]),
+        ("twice", '<a href="/first" href="/second">', ["/first"]),
+        ("decoded", '<a href=" /a?x=1&amp;y=&quot;2&quot;&amp;lt; ">', ['/a?x=1&y="2"&lt;']),
+        ("empty", "", []), ("text", "a < b and <a", []), ("long", "<p>" * 20_000 + "<a " + 'x="1" ' * 3_000 + 'href="/yes">', ["/yes"]),
+    ]
+    df = spark.createDataFrame([(n, h) for n, h, _ in html] + [("null", None)], "name STRING, html STRING")
+    got = {r.name: r.links for r in df.select("name", manifests.link_targets("html").alias("links")).collect()}
+    assert got == {n: links for n, _, links in html} | {"null": None}
+
+
 def test_scoring_batches_and_rounds(spark):
     df = spark.range(1203, numPartitions=2).select("id", F.array(F.col("id") / 1203, F.lit(1.0)).alias("x"))
 
