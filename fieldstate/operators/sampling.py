@@ -79,9 +79,10 @@ def take_exactly(df: DataFrame, n: Column, key: Column, tie: list[str], flag: st
     collapsed to one row per content with its number, and that many are given back, so copies of one row are no hot group.
     """
     rows = df.withColumns({"_key": key, "_in": F.coalesce(F.expr(among), F.lit(False))})
-    # the cut-off comes to every row by a hash join with its one row: named as a subquery it would be planned once per use
-    cut = F.broadcast(cut_off(rows, n, tie, digits).select("at", F.col("copies").alias("_copies"), F.lit(0).alias("_one")))
-    placed = rows.withColumn("_one", F.length("_key") * 0).join(cut, "_one", "left")
+    # the cut-off comes to every row by a hash join with its one row: named as a subquery it would be planned once per use. Both
+    # keys are 0, computed from columns, as the planner would turn a constant key into a nested loop
+    cut = F.broadcast(cut_off(rows, n, tie, digits).select("at", F.col("copies").alias("_copies"), (F.length("at._key") % 1).alias("_one")))
+    placed = rows.withColumn("_one", F.length("_key") % 1).join(cut, "_one", "left")
     place = F.struct("_key", *tie)
     equal = F.col("_in") & F.coalesce(place == F.col("at"), F.lit(False))
     below = F.col("_in") & F.coalesce(place < F.col("at"), F.lit(True))
