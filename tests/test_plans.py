@@ -63,7 +63,9 @@ def test_stored_panel_is_read_in_part(spark, tmp_path):
     assert everything.columns == list(evaluate.PANEL) and everything.count() == panel.count()
     want = panel.filter("phenocam_name = 'site3' AND year = 2019 AND category = 'dominant_cover'")
     assert sorted(map(str, part.collect())) == sorted(map(str, want.collect()))
-    scan = re.search(r"FileScan parquet.*", plan_of(part)).group(0)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    scan = re.search(r"FileScan parquet.*", plan_of(evaluate.read_panel(spark, path, site="site3", year=2019, category="dominant_cover"))).group(0)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     partition = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", scan)
     assert "category" in partition.group(1) and "year" in partition.group(1) and "EqualTo(phenocam_name,site3)" in partition.group(2)
     files = {f for (f,) in part.select("_metadata.file_path").distinct().collect()}
