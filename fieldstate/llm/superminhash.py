@@ -157,24 +157,33 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, label
 def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, component) of the texts (id, n, bands) that link with another one.
 
-    Every bucket has a base, its smallest id. A row is open while its group differs from the base's. Each round, open rows
-    become centres and are compared with the whole bucket; then groups are formed anew from all links found. Rows of one
-    group need no comparison, so a bucket is done when no row is open, and each round ends at least one open row of it.
+    Every bucket has a base: of its rows the hub, which meets most others over all its buckets. The text that a family was
+    copied from shares bands with every copy, copies share fewer with each other; so it is the base of the family's buckets
+    and the first round links the family. A row is open while its group differs from the base's. Each round, open rows
+    become centres, hubs first, and are compared with the whole bucket; then groups are formed anew from the links found.
+    Rows of one group need no comparison, so a bucket is done when no row is open, and each round ends at least one open
+    row of it.
     """
     slack = 1 - percent / 100 + 1e-9
-    rows = reps.filter("n > 0").select(F.explode("bands").alias("bucket"), "id", "n", F.lit(True).alias("open"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("base")).filter("size > 1").drop("size")
-    rows = C.written(rows.join(C.written(shared, "bases"), "bucket"), "buckets")
+    rows = reps.filter("n > 0").select(F.explode("bands").alias("bucket"), "id", "n")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = C.written(rows.join(C.written(sizes, "sizes"), "bucket"), "shared")
+    meets = C.written(shared.groupBy("id").agg(F.sum(F.col("size") - 1).alias("meets")), "meets")
+    rows = shared.join(meets, "id").select("bucket", "id", "n", "meets")
+    hub = F.struct("meets", F.bitwise_not("id").alias("down"), "n")
+    bases = rows.groupBy("bucket").agg(F.max(hub).alias("c")).select("bucket", F.bitwise_not("c.down").alias("base"))
+    rows = C.written(rows.join(C.written(bases, "bases"), "bucket").withColumn("open", F.lit(True)), "buckets")
     # the texts that share a bucket with another, once; later rounds keep those that are still in question
     texts = C.written(texts.join(rows.select("id").distinct(), "id", "left_semi"), "texts")
     done: DataFrame | None = None
+    grouped: DataFrame | None = None
     for round_ in itertools.count():
         slots = 4**round_
         slot = F.when(F.lit(slots) == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(slots)))
         opened = rows.filter("open").withColumn("slot", slot.cast("long"))
-        centres = opened.groupBy("bucket", "slot").agg(F.min(F.struct("id", "n")).alias("c"))
-        first = centres.groupBy("bucket").agg(F.min("c.id").alias("first"))
-        centres = centres.join(first, "bucket").select("bucket", "first", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"))
+        centres = opened.groupBy("bucket", "slot").agg(F.max(hub).alias("c"))
+        first = centres.groupBy("bucket").agg(F.bitwise_not(F.max("c").getField("down")).alias("first"))
+        centres = centres.join(first, "bucket").select("bucket", "first", F.bitwise_not("c.down").alias("centre"), F.col("c.n").alias("cn"))
         centres = C.written(centres, f"centres-{round_}")  # so that the join is of plain shuffles, and a hot bucket can be split
         met = rows.join(centres, "bucket").filter("id <> centre")
         # sizes alone rule out most pairs that merely share a band
@@ -188,7 +197,8 @@ def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
             pairs = pairs.join(done, ["centre", "id"], "left_anti")
         found = verified(pairs, texts, width, percent, f"pairs-{round_}")
         done = found if done is None else done.unionByName(found)
-        grouped = components(done.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+        links = found.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        grouped = components(links if grouped is None else links.union(grouped.select(F.col("component").alias("a"), F.col("id").alias("b"))))
 
         # distance of every row to its bucket's first centre; between these bounds where only the sizes are known
         seen = done.select(F.col("centre").alias("lo"), F.col("id").alias("hi"), "j")
@@ -198,7 +208,7 @@ def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
             met.filter("centre = first")
             .withColumns({"lo": F.least("id", "centre"), "hi": F.greatest("id", "centre")})
             .join(seen, ["lo", "hi"], "left")
-            .select("bucket", "id", "n", "base", apart.alias("d"), at_most.alias("far"))
+            .select("bucket", "id", "n", "meets", "base", apart.alias("d"), at_most.alias("far"))
             .join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
             .join(grouped, "id", "left")
             .join(grouped.select(F.col("id").alias("base"), F.col("component").alias("of_base")), "base", "left")
@@ -206,7 +216,7 @@ def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
         )
         # by the triangle inequality, rows nearer to the first centre than this cannot link with an open one
         reach = left.filter("open").groupBy("bucket").agg(F.min("d").alias("reach"))
-        rows = left.join(reach, "bucket").filter(f"open OR far >= reach - {slack}").select("bucket", "id", "n", "open", "base")
+        rows = left.join(reach, "bucket").filter(f"open OR far >= reach - {slack}").select("bucket", "id", "n", "meets", "open", "base")
         rows = C.written(rows, f"open-{round_}")
         if rows.isEmpty():
             return grouped
