@@ -41,6 +41,18 @@ def key(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores appended until no column of ``df`` has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values; a bijection."""
     x = x ^ (x >> U(30))

@@ -5,9 +5,10 @@ the element's j-th slot. Ranks of one element are correlated, which lowers the v
 holds less than j + 1, later steps cannot lower any and are not made. Long texts need two or three steps of the 120.
 
 Nothing forms all pairs of a bucket. Texts with equal sets collapse first. Then each bucket names a centre, and only pairs
-with a centre are verified. Rows that end in another group than the bucket's first stay open and become centres in turn,
-together with those rows that the triangle inequality of the Jaccard distance lets reach an open one. So no link between
-two groups is lost because a third text stood at the centre.
+with a centre are verified. Rows that end in another group than the bucket's centre stay open and become centres in turn,
+compared with those rows that two exact bounds leave in question: the triangle inequality of the Jaccard distance, and bit
+maps of the sets, whose differing bits each prove a shingle that only one of two texts has. So no link between two groups is
+lost because a third text stood at the centre, and texts that are close without a link are mostly told apart without reading them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstate.llm import common as C
@@ -26,6 +27,8 @@ from fieldstate.llm import common as C
 #: 24 bands of 5 slots: a pair of similarity 0.85 shares no band with probability 8e-7, one of 0.8 with 8e-5.
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
+#: Words of 64 bits in the bit map of a set.
+MAP = 16
 #: Steps that trace the permutation back through the swaps; later ones, made for short texts only, keep it whole.
 TRACED = 6
 
@@ -102,6 +105,22 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def bit_maps(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """MAP words for every set: an element sets the bit that its hash names."""
+    bit = (hashes >> C.U(32)) % C.U(64 * MAP)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    flags = np.zeros((len(bounds) - 1, 64 * MAP), np.uint8)
+    flags[row, bit.astype(np.int64)] = 1
+    return np.packbits(flags, axis=1, bitorder="little").view(np.int64)
+
+
+def may_link(percent: int) -> Column:
+    """Whether sets of n and cn elements with maps ``bits`` and ``cbits`` can reach the similarity: each differing bit is an
+    element of one set only, so the sets share at most half of n + cn less these bits."""
+    differing = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("cbits")[k])) for k in range(1, MAP)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("cbits")[0])))
+    return (100 + percent) * (F.col("n") + F.col("cn") - differing) >= 2 * percent * (F.col("n") + F.col("cn"))
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, digest, bands) of (id, text): set size, digest of the whole set, band keys."""
 
@@ -119,6 +138,20 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(emit, "id long, n long, digest binary, bands array<long>")
 
 
+def mapped(docs: DataFrame, width: int) -> DataFrame:
+    """(id, bits) of (id, text): the bit map of the text's set."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = C.buffers(batch.column(1))
+            for a, b in C.slices(offsets):
+                maps = bit_maps(*shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width))
+                lists = pa.ListArray.from_arrays(np.arange(0, maps.size + 1, MAP, dtype=np.int32), pa.array(maps.reshape(-1)))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), lists], ["id", "bits"])
+
+    return docs.mapInArrow(emit, "id long, bits array<long>")
+
+
 def common_shingles(width: int):
     """Arrow function: size of the intersection of the sets of two texts. Neighbouring rows share the first text."""
 
@@ -159,10 +192,10 @@ def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
 
     Every bucket has a base: of its rows the hub, which meets most others over all its buckets. The text that a family was
     copied from shares bands with every copy, copies share fewer with each other; so it is the base of the family's buckets
-    and the first round links the family. A row is open while its group differs from the base's. Each round, open rows
-    become centres, hubs first, and are compared with the whole bucket; then groups are formed anew from the links found.
-    Rows of one group need no comparison, so a bucket is done when no row is open, and each round ends at least one open
-    row of it.
+    and the first round, in which all rows are compared with their bases, links the family. A row is open while its group
+    differs from the base's. In later rounds open rows become centres, hubs first, sixteen times as many a bucket in each,
+    and are compared with rows of other groups that the bounds leave in question; then groups are formed anew from all
+    links. A bucket is done when no row is open, and each round ends at least one open row of it.
     """
     slack = 1 - percent / 100 + 1e-9
     rows = reps.filter("n > 0").select(F.explode("bands").alias("bucket"), "id", "n")
@@ -178,14 +211,16 @@ def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     done: DataFrame | None = None
     grouped: DataFrame | None = None
     for round_ in itertools.count():
-        slots = 4**round_
-        slot = F.when(F.lit(slots) == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(slots)))
-        opened = rows.filter("open").withColumn("slot", slot.cast("long"))
-        centres = opened.groupBy("bucket", "slot").agg(F.max(hub).alias("c"))
-        first = centres.groupBy("bucket").agg(F.bitwise_not(F.max("c").getField("down")).alias("first"))
-        centres = centres.join(first, "bucket").select("bucket", "first", F.bitwise_not("c.down").alias("centre"), F.col("c.n").alias("cn"))
-        centres = C.written(centres, f"centres-{round_}")  # so that the join is of plain shuffles, and a hot bucket can be split
-        met = rows.join(centres, "bucket").filter("id <> centre")
+        if round_:
+            slot = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(16**round_))
+            centres = rows.filter("open").groupBy("bucket", slot.alias("slot")).agg(F.max_by(F.struct("id", "n", "bits", "of"), hub).alias("c"))
+            centres = centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"), F.col("c.bits").alias("cbits"), F.col("c.of").alias("cof"))
+            centres = C.written(centres, f"centres-{round_}")  # so that the join is of plain shuffles, and a hot bucket can be split
+            met = rows.join(centres, (rows["bucket"] == centres["bucket"]) & (F.col("of") != F.col("cof")) & may_link(percent))
+        else:
+            centres = rows.filter("id = base").select("bucket", F.col("id").alias("centre"), F.col("n").alias("cn"))
+            centres = C.written(centres, "centres-0")
+            met = rows.join(centres, "bucket").filter("id <> centre")
         # sizes alone rule out most pairs that merely share a band
         near = met.filter(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
         swap = F.col("id") < F.col("centre")
@@ -196,31 +231,38 @@ def groups(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
         if done is not None:
             pairs = pairs.join(done, ["centre", "id"], "left_anti")
         found = verified(pairs, texts, width, percent, f"pairs-{round_}")
-        done = found if done is None else done.unionByName(found)
+        seen = found.select(F.col("centre").alias("lo"), F.col("id").alias("hi"), "j")
+        done = found.select("centre", "id") if done is None else done.union(found.select("centre", "id"))
         links = found.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b"))
         grouped = components(links if grouped is None else links.union(grouped.select(F.col("component").alias("a"), F.col("id").alias("b"))))
 
-        # distance of every row to its bucket's first centre; between these bounds where only the sizes are known
-        seen = done.select(F.col("centre").alias("lo"), F.col("id").alias("hi"), "j")
-        apart = 1 - F.coalesce("j", F.least("n", "cn") / F.greatest("n", "cn"))
-        at_most = 1 - F.coalesce("j", F.lit(0.0))
+        if not round_:
+            # distance of every row to its bucket's base; between these bounds where only the sizes are known
+            apart = 1 - F.coalesce("j", F.least("n", "cn") / F.greatest("n", "cn"))
+            at_most = 1 - F.coalesce("j", F.lit(0.0))
+            left = (
+                met.withColumns({"lo": F.least("id", "centre"), "hi": F.greatest("id", "centre")})
+                .join(seen, ["lo", "hi"], "left")
+                .select("bucket", "id", "n", "meets", "base", apart.alias("d"), at_most.alias("far"))
+            )
+        else:
+            left = rows.drop("open", "of").join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
         left = (
-            met.filter("centre = first")
-            .withColumns({"lo": F.least("id", "centre"), "hi": F.greatest("id", "centre")})
-            .join(seen, ["lo", "hi"], "left")
-            .select("bucket", "id", "n", "meets", "base", apart.alias("d"), at_most.alias("far"))
-            .join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-            .join(grouped, "id", "left")
+            left.join(grouped, "id", "left")
             .join(grouped.select(F.col("id").alias("base"), F.col("component").alias("of_base")), "base", "left")
-            .withColumn("open", F.coalesce("component", "id") != F.coalesce("of_base", "base"))
+            .withColumn("of", F.coalesce("component", "id"))
+            .withColumn("open", F.col("of") != F.coalesce("of_base", "base"))
+            .drop("component", "of_base")
         )
-        # by the triangle inequality, rows nearer to the first centre than this cannot link with an open one
+        # by the triangle inequality, rows nearer to the base than this cannot link with an open one
         reach = left.filter("open").groupBy("bucket").agg(F.min("d").alias("reach"))
-        rows = left.join(reach, "bucket").filter(f"open OR far >= reach - {slack}").select("bucket", "id", "n", "meets", "open", "base")
+        rows = left.join(reach, "bucket").filter(f"open OR far >= reach - {slack}").drop("reach")
         rows = C.written(rows, f"open-{round_}")
         if rows.isEmpty():
             return grouped
         texts = C.written(texts.join(rows.select("id").distinct(), "id", "left_semi"), f"texts-{round_}")
+        if not round_:
+            rows = C.written(rows.join(mapped(texts.select("id", "text"), width), "id"), "mapped")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,10 +296,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at 100 * common >= ``percent`` * union. ``component_id`` is the smallest id reachable through links, itself included;
     ``kept`` marks the rows that carry it. Texts without words, empty or null link with nothing, not even each other.
     A null id is the smallest and gives a null component. Rows that share an id are one document, with the least of their
-    texts, and stand or fall together. An empty table gives an empty table. Other columns pass through unread.
+    texts, and stand or fall together. An empty table gives an empty table. Other columns pass through unread, whatever
+    their names; one named ``near`` gives way to the result.
     """
-    keyed = docs.withColumn("_key", C.key(id_col))
-    brief = keyed.select(F.col("_key").alias("id"), F.col(text_col).alias("text"))
+    own_key, size, joint = C.fresh(docs, "_key", "_size", "_component")
+    keyed = docs.withColumn(own_key, C.key(id_col))
+    brief = docs.select(C.key(id_col).alias("id"), F.col(text_col).alias("text"))
     if brief.groupBy("id").count().filter("count > 1").limit(1).count():
         brief = brief.groupBy("id").agg(F.min("text").alias("text"))
     sketch = C.written(sketched(brief, width), "sketch")
@@ -265,13 +309,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = sketch.join(reps, "digest").filter("id = rep").select("id", "n", "bands")
     found = groups(own, brief, width, percent).withColumnRenamed("id", "rep")
     rep = sketch.join(reps, "digest", "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    group = rep.join(found, "rep", "left").select(F.col("id").alias("_key"), "n", F.coalesce("component", "rep", "id").alias("_c"))
+    group = rep.join(found, "rep", "left").select(F.col("id").alias(own_key), F.col("n").alias(size), F.coalesce("component", "rep", "id").alias(joint))
     near = F.struct(
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("_c") != C.NO_ID, F.col("_c")).alias("component_id"),
-        (F.col("_c") == F.col("_key")).alias("kept"),
+        F.col(size).alias("n_shingles"),
+        F.when(F.col(joint) != C.NO_ID, F.col(joint)).alias("component_id"),
+        (F.col(joint) == F.col(own_key)).alias("kept"),
     )
-    return keyed.join(group, "_key").withColumn("near", near).select(*docs.columns, "near")
+    return keyed.join(group, own_key).select(*[c for c in docs.columns if c.lower() != "near"], near.alias("near"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -153,3 +153,28 @@ def test_row_of_unknown_distance_stays_in_its_bucket(spark):
     reps = spark.createDataFrame([(i, len(t.split()), bands[i]) for i, t in texts], "id long, n long, bands array<long>")
     got = superminhash.groups(reps, spark.createDataFrame(texts, "id long, text string"), 1, 80).collect()
     assert {(r.id, r.component) for r in got} - {(0, 0)} == {(k, 0) for k in range(1, 7)}
+
+
+def test_bit_maps_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in (1, 5, 40, 300, 4000):
+        for share in (0.0, 0.03, 0.08, 0.12, 0.3):
+            a = rng.integers(0, 2**63, size=size).astype(np.uint64)
+            cut = int(size * share)
+            b = np.concatenate([a[: size - cut], rng.integers(0, 2**63, size=cut).astype(np.uint64)])
+            x, y = superminhash.bit_maps(np.concatenate([a, b]), np.array([0, size, 2 * size])).tolist()
+            rows.append((size, size, x, y, (size - cut) / (size + cut)))
+    table = spark.createDataFrame(rows, "n long, cn long, bits array<long>, cbits array<long>, j double")
+    got = table.select("n", "j", superminhash.may_link(85).alias("may")).collect()
+    assert all(r.may for r in got if r.j >= 0.85)
+    assert not any(r.may for r in got if r.j < 0.6 and r.n in (40, 300))
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text, "a", "b", "c", "d", "e"), (2, text + " more", "f", "g", "h", "i", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, n string, _size string, _component string, near string")
+    got = superminhash.near_duplicates(docs).orderBy("doc_id").collect()
+    assert [tuple(r)[:6] for r in got] == [r[:6] for r in rows]
+    assert [(r.near.component_id, r.near.kept) for r in got] == [(1, True), (1, False)]
