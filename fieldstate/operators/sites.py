@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstate import schema as S
@@ -37,12 +37,39 @@ def site_group_flag(sites: DataFrame, groups: DataFrame, token: str = "LTAR") ->
     return sites.join(members, "phenocam_name", "left").withColumn("is_ltar", F.coalesce("is_ltar", F.lit(False)))
 
 
+def rows_before(sites: DataFrame, name: str) -> DataFrame:
+    """(key, before): for every name, as ``name_key``, the number of rows whose name sorts before it.
+
+    Counts on a tree of prefixes: a name is preceded, at each of its characters, by the rows that share what stands before
+    and go on with a smaller character. So every window runs over the branches of one prefix, at most an alphabet.
+    """
+    names = sites.groupBy(name_key(name).alias("key")).agg(F.count("*").alias("n"))
+    steps = names.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("key")))).select(
+        "key", "n", F.substring("key", F.lit(1), F.col("k")).alias("prefix"), F.substring("key", F.col("k") + 1, F.lit(1)).alias("branch")
+    )
+    earlier = Window.partitionBy("prefix").orderBy("branch").rowsBetween(Window.unboundedPreceding, -1)
+    branches = steps.groupBy("prefix", "branch").agg(F.sum("n").alias("n"))
+    branches = branches.select("prefix", "branch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("smaller"))
+    return steps.join(branches, ["prefix", "branch"]).groupBy("key").agg(F.sum("smaller").alias("before"))
+
+
+def name_key(name: str) -> Column:
+    """The name with a mark in front that puts nulls first."""
+    return F.coalesce(F.concat(F.lit("1"), F.col(name)), F.lit("0"))
+
+
 def site_table(sites: DataFrame, order: tuple[str, ...] = ("phenocam_name", "roi_id")) -> DataFrame:
-    """Numbered report table with a yes/no group column. The site list is metadata: one row per region."""
-    number = F.row_number().over(Window.orderBy(*order))
-    flag = F.when(F.col("is_ltar"), "yes").otherwise("no")
+    """Report table with a yes/no group column, numbered by name and then by the other columns of ``order``.
+
+    Rows are numbered within their name and moved by the rows of smaller names, so no task orders the whole table.
+    """
+    name, *within = order
     rest = [c for c in sites.columns if c not in ("phenocam_name", "is_ltar")]
-    return sites.select(number.alias("number"), "phenocam_name", flag.alias("ltar_site"), *rest)
+    before = rows_before(sites, name)
+    inner = F.row_number().over(Window.partitionBy("key").orderBy(*within or ["key"]))
+    flag = F.when(F.col("is_ltar"), "yes").otherwise("no")
+    placed = sites.withColumn("key", name_key(name)).join(before, "key")
+    return placed.select((F.col("before") + inner).cast("int").alias("number"), "phenocam_name", flag.alias("ltar_site"), *rest)
 
 
 def unique_sites(sites: DataFrame) -> DataFrame:
