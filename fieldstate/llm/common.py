@@ -53,6 +53,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame, *reserved: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` without columns of a reserved name, whatever its case: such columns get a fresh one. And what each is called now."""
+    names = {c: c for c in df.columns}
+    clashing = [c for c in df.columns if c.lower() in reserved]
+    taken = {c.lower() for c in df.columns} | set(reserved)
+    for c in clashing:
+        while names[c].lower() in taken:
+            names[c] += "_"
+        taken.add(names[c].lower())
+    return (df.toDF(*names.values()) if clashing else df), names
+
+
+def given(names: dict[str, str], result: str) -> list[Column]:
+    """The columns that were set aside, under their first names; one with the name of the result gives way to it."""
+    return [F.col(f"`{now}`").alias(c) for c, now in names.items() if c.lower() != result]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values; a bijection."""
     x = x ^ (x >> U(30))

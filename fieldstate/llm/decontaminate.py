@@ -166,5 +166,6 @@ def contaminations(
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose id ``contaminations`` finds."""
-    bad = contaminations(docs, items, id_col, **options).select(C.key(id_col).alias("_key")).distinct()
-    return docs.withColumn("_key", C.key(id_col)).join(bad, "_key", "left_anti").select(*docs.columns)
+    (own,) = C.fresh(docs, "_key")
+    bad = contaminations(docs, items, id_col, **options).select(C.key(id_col).alias(own)).distinct()
+    return docs.withColumn(own, C.key(id_col)).join(bad, own, "left_anti").select(*docs.columns)

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldstate.llm import common as C
+
 #: Frequent function words of the four languages.
 STOP_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "on", "with", "as", "be", "at", "by", "this", "from",
@@ -41,6 +43,10 @@ RULES = (
 )
 
 
+#: Columns of the steps between a text and its verdict.
+STEPS = ("_t", "_w", "_l", "_n", "_tri", "_s", "_twice", "_m", "_b", "_f")
+
+
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and a struct ``_m`` of counts. Each projection step names what the next reads more than once, so that no
     array is built again inside a lambda."""
@@ -95,13 +101,15 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     """All rows and columns of ``docs`` and a struct ``quality`` (counts, base_failed, failed array, kept).
 
     Null texts count as empty: no words, so they fail the base rule, as do all texts of fewer than 50 words. Repeated rows
-    and ids are judged each for itself. An empty table gives an empty table; other columns pass through.
+    and ids are judged each for itself. An empty table gives an empty table; other columns pass through,
+    whatever their names, but for one named ``quality``, which gives way to the result.
     """
-    m = measures(docs, text_col).withColumns({"_b": base_failed(), "_f": failed_rules(rules)})
+    docs, names = C.aside(docs, *STEPS, "quality")
+    m = measures(docs, names.get(text_col, text_col)).withColumns({"_b": base_failed(), "_f": failed_rules(rules)})
     kept = (~F.col("_b")) & (F.size("_f") == 0)
     verdict = F.struct("_m.*", F.col("_b").alias("base_failed"), F.col("_f").alias("failed"), kept.alias("kept"))
     # a generated column: a later filter on it must not be rewritten in terms of the arrays below, once for every mention
-    return m.withColumn("quality", F.explode(F.array(verdict))).drop("_m", "_b", "_f")
+    return m.withColumn("quality", F.explode(F.array(verdict))).select(*C.given(names, "quality"), "quality")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -98,8 +98,10 @@ def substring_dedup(
     covers it also starts earlier (smaller id, or same id and earlier start), judged on the input. ``kept`` is the text of
     the other words, joined by single spaces. Texts without words, empty and null texts give (0, 0, ""). Rows that repeat
     an id and text are one place, so they keep alike; a null id is the smallest. An empty table gives an empty table.
-    Other columns pass through unread.
+    Other columns pass through unread, whatever their names; one named ``substring`` gives way to the result.
     """
+    docs, names = C.aside(docs, "_key", "_runs", "_firsts", "substring")
+    id_col, text_col = names.get(id_col, id_col), names.get(text_col, text_col)
     plain = set(docs.columns) == {id_col, text_col}
     keyed = docs.select(C.key(id_col).alias("_key"), text_col) if plain else docs.withColumn("_key", C.key(id_col))
     w = A.Windows("word", window, gram, hot, A.repeats_ids(keyed))
@@ -121,7 +123,7 @@ def substring_dedup(
     out = marked.withColumn("substring", cut(text_col, "_runs", "_firsts"))
     if plain:
         out = out.withColumn(id_col, F.when(F.col("_key") != C.NO_ID, F.col("_key")).cast(docs.schema[id_col].dataType))
-    return out.select(*docs.columns, "substring")
+    return out.select(*C.given(names, "substring"), "substring")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -114,8 +114,11 @@ def suffix_array_dedup(
     id, or same id and earlier start), judged on the input; matches never cross documents. ``n_spans``: maximal removed
     runs; ``sha256``: of the other bytes; ``kept``: these as text, without characters of which the cut left only a part.
     Empty and null texts give (0, 0, 0, sha256 of nothing, ""). Rows that repeat an id and text are one place and keep
-    alike; a null id is the smallest. An empty table gives an empty table. Other columns pass through unread.
+    alike; a null id is the smallest. An empty table gives an empty table. Other columns pass through unread, whatever
+    their names; one named ``suffixes`` gives way to the result.
     """
+    docs, names = C.aside(docs, "_key", "_runs", "_firsts", "suffixes")
+    id_col, text_col = names.get(id_col, id_col), names.get(text_col, text_col)
     plain = set(docs.columns) == {id_col, text_col}
     keyed = docs.select(C.key(id_col).alias("_key"), text_col) if plain else docs.withColumn("_key", C.key(id_col))
     w = A.Windows("byte", window, gram, hot, A.repeats_ids(keyed))
@@ -138,7 +141,7 @@ def suffix_array_dedup(
     out = marked.withColumn("suffixes", cut(text_col, "_runs", "_firsts"))
     if plain:
         out = out.withColumn(id_col, F.when(F.col("_key") != C.NO_ID, F.col("_key")).cast(docs.schema[id_col].dataType))
-    return out.select(*docs.columns, "suffixes")
+    return out.select(*C.given(names, "suffixes"), "suffixes")
 
 
 def digest(docs: DataFrame) -> DataFrame:
