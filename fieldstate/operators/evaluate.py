@@ -237,6 +237,7 @@ def _of_site_year(df: DataFrame, site: str | None, year: int | None) -> DataFram
     return df if year is None else df.filter(F.col("year") == year)
 
 
+WRITERS = 64
 PANEL = ("series", "phenocam_name", "year", "date", "category", "class", "probability", "class_rank")
 
 
@@ -248,12 +249,16 @@ def timeseries_panel(
     ``series`` is ``probability`` (all classes), ``maxprob`` or ``hmm``. The filters stand before the
     means; that on the year is computed from the date, so to read many single years store the panel: :func:`store_panel`.
     """
-    images = _of_site_year(obs.withColumn("year", F.year("date")), site, year)
     keys = ("phenocam_name", "year", "date")
+    columns = [*keys, "file", *S.CATEGORIES]
+    images = _of_site_year(obs.withColumn("year", F.year("date")), site, year).select(*columns)
+    # Images are shuffled once, as they are: neither 24 rows for each nor 21 sums and counts. The order asks for every column,
+    # so that the rows and the means read one exchange, and a site's rows stand together where they are written.
+    images = images.repartitionByRange("phenocam_name", "date")
     none = F.lit(None).cast("double").alias("probability")
     top = maxprob_class(images, (*keys, "file"))
     parts = [
-        images.select(F.lit("probability").alias("series"), *keys, F.expr(f"inline({long_rows_sql(S.CLASSES)})")),
+        images.sortWithinPartitions("phenocam_name", "date", "file").select(F.lit("probability").alias("series"), *keys, F.expr(f"inline({long_rows_sql(S.CLASSES)})")),
         top.select(F.lit("maxprob").alias("series"), *keys, "category", F.col("maxprob_class").alias("class"), none),
         final_long(_of_site_year(final, site, year)).select(
             F.lit("hmm").alias("series"), *keys, "category", F.col("hmm_class").alias("class"), none
@@ -265,11 +270,19 @@ def timeseries_panel(
 def store_panel(panel: DataFrame, path: str) -> None:
     """The panel as a table partitioned by category and year, for reports that look at single years.
 
-    Rows are brought together by partition and site before they are written, so a partition gets files by site range and not one
-    file per task, and a site's rows stand together in a file.
+    :func:`timeseries_panel` deals images by site range before it unfolds them, so its tasks are written as they come: every
+    task writes a file per partition, in which a site's rows stand together. Shuffling or sorting the unfolded rows, 24 of an
+    image, would take many times the disk of the images. WRITERS files are open in a task at once; with more partitions than
+    that Spark sorts, so no number of years is too large.
     """
-    ordered = panel.repartitionByRange("category", "year", "phenocam_name").sortWithinPartitions("category", "year", "phenocam_name", "date")
-    write_table(ordered, path, ("category", "year"))
+    conf = panel.sparkSession.conf
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, None)
+    conf.set(name, str(WRITERS))
+    try:
+        write_table(panel, path, ("category", "year"))
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
 
 
 def read_panel(spark: SparkSession, path: str, site: str | None = None, year: int | None = None, category: str | None = None) -> DataFrame:

@@ -70,3 +70,29 @@ def test_stored_panel_is_read_in_part(spark, tmp_path):
     assert "category" in partition.group(1) and "year" in partition.group(1) and "EqualTo(phenocam_name,site3)" in partition.group(2)
     files = {f for (f,) in part.select("_metadata.file_path").distinct().collect()}
     assert files and all("category=dominant_cover/year=2019/" in f for f in files)
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Plans with their reused exchanges, which adaptive execution only finds while it runs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_panel_shuffles_images_once_and_is_stored_without_another(whole_plans, tmp_path, monkeypatch):
+    """Neither unfolded rows nor sums and counts of every class are shuffled; rows and means read one exchange of images."""
+    from fieldstate.operators import evaluate
+
+    spark = whole_plans
+    panel = evaluate.timeseries_panel(D.observations(spark, SF), catalog.final(spark, SF))
+    plan = re.sub(r"#\d+", "", plan_of(panel))
+    assert plan.count("- Exchange rangepartitioning(phenocam_name") == 1  # and a ReusedExchange of it
+    assert "hashpartitioning(phenocam_name, year, date, file" not in plan
+    frame = type(panel)
+    for name in ("repartitionByRange", "repartition", "sortWithinPartitions"):
+        monkeypatch.setattr(frame, name, lambda self, *a, _n=name: pytest.fail(f"{_n} of unfolded rows"))
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "3")
+    evaluate.store_panel(panel, str(tmp_path / "panel"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3"
+    spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
