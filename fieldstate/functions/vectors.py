@@ -36,10 +36,13 @@ def top_is(vector: str, width: int, k: int) -> Column:
 
 
 def renormalised(vector: str, width: int, start: int) -> Column:
-    """Elements ``start..width-1`` scaled to sum 1; NULL if one of them is NULL or the sum is 0."""
-    kept = elements_sql(vector, width, start)
-    total = "(" + " + ".join(kept) + ")"
-    return F.expr(f"CASE WHEN {total} <> 0 THEN array({', '.join(f'{p} / {total}' for p in kept)}) END")
+    """Elements ``start..width-1`` scaled to sum 1; NULL if one of them is NULL or the sum is 0.
+
+    The division is a lambda function: written out for every element of three vectors, the generated method is larger than the
+    JVM compiles, and all rows run through its interpreter.
+    """
+    total = "(" + " + ".join(elements_sql(vector, width, start)) + ")"
+    return F.expr(f"CASE WHEN {total} <> 0 THEN transform(slice({vector}, {start + 1}, {width - start}), p -> p / {total}) END")
 
 
 def between(vector: str, position: str, previous: str, following: str, max_gap: int) -> Column:

@@ -170,22 +170,32 @@ def _last(value: str, window: str) -> str:
     return f"last({value}, true) OVER ({window} {BEFORE})"
 
 
+def _next(value: str, window: str) -> str:
+    """First non-NULL value after the row. It reads the order of :func:`_last`, so one sort serves both directions."""
+    return f"lead({value}) IGNORE NULLS OVER ({window})"
+
+
 def _bound(c: str, at: str, window: str) -> str:
-    """The mark before the row, kept on gap rows only: the next sort then moves narrow rows."""
+    """The mark before the row, kept on gap rows only: what follows then moves narrow rows."""
     return f"CASE WHEN {c} IS NULL THEN {_last(_mark(c, at), window)} END"
 
 
+def _bound_after(c: str, at: str, window: str) -> str:
+    """The mark after the row, kept on gap rows only."""
+    return f"CASE WHEN {c} IS NULL THEN {_next(_mark(c, at), window)} END"
+
+
 def interpolate_daily(df: DataFrame, max_gap: int, by: str = "row") -> DataFrame:
     """Fill gaps of at most ``max_gap`` NULL vectors per category, one row per site and day.
 
-    Distance is counted in rows (``by="row"``) or days (``by="date"``). Gaps at the ends stay NULL. The next
-    value is found by a running frame in reverse order, as a frame over following rows is recomputed per row.
+    Distance is counted in rows (``by="row"``) or days (``by="date"``). Gaps at the ends stay NULL. The next value is an
+    offset that skips NULLs, as a frame over following rows is recomputed per row, and one in reverse order sorts all rows again.
     """
     vectors = [c for c in S.CATEGORIES if c in df.columns]
     position = f"row_number() OVER ({BY_DATE})" if by == "row" else "unix_date(date)"
     rows = df.selectExpr("*", f"{position} AS _at")
-    rows = rows.selectExpr("*", *[f"{_bound(c, '_at', BY_DATE)} AS _p_{c}" for c in vectors])
-    rows = rows.selectExpr("*", *[f"{_bound(c, '_at', BY_DATE_DESC)} AS _n_{c}" for c in vectors])
+    bounds = [f"{bound(c, '_at', BY_DATE)} AS _{s}_{c}" for c in vectors for s, bound in (("p", _bound), ("n", _bound_after))]
+    rows = rows.selectExpr("*", *bounds)
     filled = {c: V.between(c, "_at", f"_p_{c}", f"_n_{c}", max_gap) for c in vectors}
     return rows.select(*[filled[c].alias(c) if c in filled else c for c in df.columns])
 
@@ -268,10 +278,10 @@ def _segmented(df: DataFrame, max_gap: int, by: str = "row", order: str = "file"
 
 def interpolate_long(obs: DataFrame, max_gap: int, keys: tuple[str, ...] = (SITE, "category", "class")) -> DataFrame:
     """Gap filling on long rows (one row per key and day), for series whose classes are missing independently."""
-    forward, backward = (f"PARTITION BY {', '.join(keys)} ORDER BY date{d}" for d in ("", " DESC"))
+    series = f"PARTITION BY {', '.join(keys)} ORDER BY date"
     mark = _mark("probability", "_at")
-    rows = obs.selectExpr("*", f"row_number() OVER ({forward}) AS _at")
-    rows = rows.selectExpr("*", f"{_last(mark, forward)} AS _p").selectExpr("*", f"{_last(mark, backward)} AS _n")
+    rows = obs.selectExpr("*", f"row_number() OVER ({series}) AS _at")
+    rows = rows.selectExpr("*", f"{_last(mark, series)} AS _p", f"{_next(mark, series)} AS _n")
     span = "(_n.at - _p.at)"
     filled = (
         f"CASE WHEN probability IS NOT NULL THEN probability WHEN {span} - 1 <= {max_gap} "
@@ -299,9 +309,8 @@ def sequence_ids(df: DataFrame, categories: tuple[str, ...] | None = None) -> Da
         *[f"sum(CAST(_s_{c} AS INT)) OVER ({BY_DATE} {UPTO}) AS _id_{c}" for c in categories],
         *[f"last(CASE WHEN _s_{c} THEN date END, true) OVER ({BY_DATE} {UPTO}) AS _b_{c}" for c in categories],
     )
-    rows = rows.selectExpr(
-        "*", *[f"last(CASE WHEN _e_{c} THEN date END, true) OVER ({BY_DATE_DESC} {UPTO}) AS _f_{c}" for c in categories]
-    )
+    end = {c: f"CASE WHEN _e_{c} THEN date END" for c in categories}
+    rows = rows.selectExpr("*", *[f"coalesce({end[c]}, {_next(end[c], BY_DATE)}) AS _f_{c}" for c in categories])
     ids = [
         text
         for c in categories

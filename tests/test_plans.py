@@ -96,3 +96,13 @@ def test_panel_shuffles_images_once_and_is_stored_without_another(whole_plans, t
     evaluate.store_panel(panel, str(tmp_path / "panel"))
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3"
     spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
+
+
+def test_cleaning_is_compiled_and_sorts_in_one_direction(whole_plans, capsys):
+    """The JVM compiles no method above 8,000 bytes; next values come from the order of the values before."""
+    prepared = catalog.prepared(whole_plans, SF)
+    prepared.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+    assert "DESC" not in plan_of(prepared)
+    assert "DESC" not in plan_of(catalog.QUERIES["interpolate_gaps_long"](whole_plans, SF))

@@ -229,3 +229,11 @@ def test_gaps_scan_once_and_shuffle_three_times(spark, stored_days, run):
     assert plan.count("FileScan") == 1
     assert len([x for x in plan.splitlines() if " Exchange hashpartitioning" in x and "ReusedExchange" not in x]) <= 3
     assert "ReusedExchange" in plan
+
+
+def test_renormalised_keeps_null_and_zero_rules(spark):
+    from fieldstate.functions import vectors as V
+
+    rows = [([0.5, 0.1, 0.3],), ([0.5, 0.0, 0.0],), ([0.5, None, 0.3],), (None,), ([None, 1.0, 3.0],)]
+    got = spark.createDataFrame(rows, "v array<double>").select(V.renormalised("v", 3, 1)).collect()
+    assert [r[0] for r in got] == [[0.1 / (0.1 + 0.3), 0.3 / (0.1 + 0.3)], None, None, None, [0.25, 0.75]]
