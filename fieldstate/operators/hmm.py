@@ -414,7 +414,10 @@ def viterbi_decode_long(sequences: DataFrame, chunk: int = 4096, categories: lis
     rows = sequences.withColumn("chunk", F.floor(F.unix_date("date") / chunk))
     # stated here, not only inferred from the join, so that both uses of the chunks read one exchange
     known = " AND ".join(f"{c} IS NOT NULL" for c in [*KEYS, "chunk"])
-    chunks = rows.filter(known).groupBy(*KEYS, "chunk").agg(F.array_sort(F.collect_list(F.struct("date", "probabilities"))).alias("days"))
+    # dealt by chunk explicitly: an input that is already dealt by site would be packed where it lies, without an exchange that
+    # both uses could read, and everything before would be computed twice
+    rows = rows.filter(known).select(*KEYS, "chunk", "date", "probabilities").repartition(*KEYS, "chunk")
+    chunks = rows.groupBy(*KEYS, "chunk").agg(F.array_sort(F.collect_list(F.struct("date", "probabilities"))).alias("days"))
     flat = F.flatten(F.col("days.probabilities"))
     joined = (
         chunks.select(*KEYS, "chunk", product("category", flat).alias("product"))

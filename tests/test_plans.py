@@ -106,3 +106,8 @@ def test_cleaning_is_compiled_and_sorts_in_one_direction(whole_plans, capsys):
     assert sizes and max(sizes) <= 8000
     assert "DESC" not in plan_of(prepared)
     assert "DESC" not in plan_of(catalog.QUERIES["interpolate_gaps_long"](whole_plans, SF))
+
+
+def test_long_decoding_packs_its_chunks_from_one_cleaned_series(whole_plans):
+    plan = plan_of(catalog.QUERIES["viterbi_decode_long"](whole_plans, SF))
+    assert len(re.findall(r"Generate explode\(sequence\(_from", plan)) == 1
