@@ -65,6 +65,12 @@ def decoded(spark: SparkSession, d: str) -> DataFrame:
     return hmm.viterbi_decode(sequences(spark, d))
 
 
+def decoded_once(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`decoded`, dealt by site and day: all pivots of a query read this one exchange, so decoding runs once."""
+    states = decoded(spark, d).select("phenocam_name", "date", "category", "hmm_class")
+    return states.repartition("phenocam_name", "date")
+
+
 def final(spark: SparkSession, d: str) -> DataFrame:
     return plan.field_states(D.predictions(spark, d), EXTRA)
 
@@ -115,7 +121,7 @@ def season_images(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    return croptype.crop_segments(decoded(spark, d))
+    return croptype.crop_segments(decoded_once(spark, d))
 
 
 def type_days(spark: SparkSession, d: str) -> DataFrame:
@@ -525,7 +531,7 @@ def vote_uniqueness_check(spark, d):
 
 @query
 def final_predictions(spark, d):
-    states = decoded(spark, d)
+    states = decoded_once(spark, d)
     found = croptype.crop_segments(states)
     votes = croptype.unknown_rules(croptype.vote_crop_type(type_days(spark, d), found), croptype.segment_mode_status(found))
     return croptype.final_predictions(states, found, votes)

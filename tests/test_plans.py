@@ -111,3 +111,8 @@ def test_cleaning_is_compiled_and_sorts_in_one_direction(whole_plans, capsys):
 def test_long_decoding_packs_its_chunks_from_one_cleaned_series(whole_plans):
     plan = plan_of(catalog.QUERIES["viterbi_decode_long"](whole_plans, SF))
     assert len(re.findall(r"Generate explode\(sequence\(_from", plan)) == 1
+
+
+def test_final_predictions_decode_once(whole_plans):
+    plan = plan_of(catalog.QUERIES["final_predictions"](whole_plans, SF))
+    assert plan.count("ArrowEvalPython") == 1
