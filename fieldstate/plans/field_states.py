@@ -25,13 +25,12 @@ def _decoded_days(prepared: DataFrame) -> DataFrame:
     packed = stacked.groupBy(*hmm.KEYS).agg(F.array_sort(F.collect_list(F.struct("date", "probabilities"))).alias("days"))
     voting = "category = 'crop_type'"
     flat = F.expr(f"CASE WHEN {voting} THEN array() ELSE flatten(days.probabilities) END")
-    # the packed sequences, a fraction of the days, are what is brought back to one place per site
-    decoded = packed.withColumn("path", hmm.sequence_decoder()("category", flat)).repartition(SITE)
     path = f"CASE WHEN {voting} THEN array() ELSE path END AS state"
     votes = f"CASE WHEN {voting} THEN days.probabilities ELSE array() END AS vote"
-    rows = decoded.selectExpr(SITE, "category", "days.date AS date", path, votes).selectExpr(
-        SITE, "category", "inline(arrays_zip(date, state, vote))"
-    )
+    decoded = packed.withColumn("path", hmm.sequence_decoder()("category", flat))
+    # the packed sequences, a fraction of the days, are what is brought back to one place per site: paths, and votes of crop types
+    decoded = decoded.selectExpr(SITE, "category", "days.date AS date", path, votes).repartition(SITE)
+    rows = decoded.selectExpr(SITE, "category", "inline(arrays_zip(date, state, vote))")
     states = [
         F.expr(f"max(state) FILTER (WHERE category = '{c}') AS _{c}") for c in S.HMM_MODELS
     ]

@@ -116,3 +116,9 @@ def test_long_decoding_packs_its_chunks_from_one_cleaned_series(whole_plans):
 def test_final_predictions_decode_once(whole_plans):
     plan = plan_of(catalog.QUERIES["final_predictions"](whole_plans, SF))
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_votes_and_paths_only_go_back_to_the_site(whole_plans):
+    plan = re.sub(r"#\d+", "", plan_of(catalog.final(whole_plans, SF)))
+    sent = re.search(r"Exchange hashpartitioning\(phenocam_name, \d+\), REPARTITION_BY_COL.*\n.*?Project \[(.*)\]", plan).group(1)
+    assert "days.probabilities ELSE" in sent and not re.search(r"(^|, )days(,|$)", sent)
