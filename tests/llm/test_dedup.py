@@ -86,6 +86,40 @@ def test_equal_windows_have_equal_anchors():
     assert all(by_start[s] == by_start[s + 3000] for s in range(2981))
 
 
+@pytest.mark.parametrize("hot", [2, 20])
+def test_windows_of_hot_anchors_stay_together(spark, hot):
+    """A common string in many surroundings: its windows are neither dealt one by one nor kept from the suffix array."""
+    rng = random.Random(8)
+    common = "a string of some forty bytes, very common"
+    some = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(20)]
+    docs = [(i, rng.choice(some) + common + rng.choice(some)) for i in range(60)]
+    got = suffixarray.suffix_array_dedup(frame(spark, docs), hot=hot)
+    got = got.select("doc_id", "suffixes.n_bytes", "suffixes.n_removed", "suffixes.n_spans", "suffixes.sha256")
+    assert rows(got) == sorted(plain.bytes_digest(docs), key=repr)
+    w = anchors.Windows("byte", 100, 24, 20)
+    texts = frame(spark, docs).selectExpr("doc_id AS id", "text")
+    dealt = anchors.cold_runs(texts.join(anchors.repeated_runs(texts, w, "test"), "id"), w)
+    windows = dealt.selectExpr("sum(run & 255)").first()[0]
+    assert dealt.count() * 4 < windows
+
+
+def test_equal_windows_meet_at_longer_anchors():
+    w = anchors.Windows("byte", 20, 5)
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(300)]
+    for hot in (1, 2):
+        found = {}
+        passages = {(7, hot, t): (i, i << anchors.START | 11) for i, t in enumerate(texts)}
+        for batch in anchors.anchored_again(passages, w):
+            for anchor, own, run, content in zip(*(c.to_pylist() for c in batch.columns)):
+                start = (run >> anchors.START) - own
+                assert texts[own][start : start + (run & anchors.COUNT) + 19] == content
+                for s in range(run & anchors.COUNT):
+                    found.setdefault(content[s : s + 20], set()).add(anchor)
+        assert set(found) == {t[s : s + 20] for t in texts for s in range(11)}
+        assert all(len(x) == 1 for x in found.values())
+
+
 def test_near_duplicates_match_plain_version(spark):
     docs = documents(6)
     got = superminhash.near_duplicates(frame(spark, docs), width=3, percent=85)
