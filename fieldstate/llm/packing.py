@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from struct import pack
 from zlib import crc32
 
 import numpy as np
@@ -24,12 +25,19 @@ from fieldstate.llm import common as C
 
 #: Grid steps in a window, parts of a combination, end-of-text id, groups per length in which parts are numbered.
 UNITS, DEPTH, END, SALTS = 64, 5, 1, 256
-#: Chunks whose ids a worker remembers, and their greatest length.
+#: Chunks whose ids a worker remembers (and words of chunks), and their greatest length.
 REMEMBERED, SHORT = 800_000, 64
 #: A space between two other separators, where a cut could change how the pre-tokeniser reads the run.
 BETWEEN = re.compile(r"\s \s")
 
-_memory: dict[str, dict[str, bytes]] = {}
+#: A word of Latin letters and marks after it, and the same on the next line; the apostrophe is not among them, as some letters after it join it.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+WORD, WORD_PART = re.compile(f"([{LETTERS}]+)([{MARKS}]*)(?:(\n[{LETTERS}]+)([{MARKS}]*))?"), re.compile(f"[{LETTERS}]*[{MARKS}]*|\\s*")
+#: Byte-level characters of the bytes that do not stand for themselves among those of letters.
+BYTES = {b: 0x100 + 33 + b - 127 for b in range(127, 161)} | {0xAD: 0x143}
+
+_memory: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_words: dict[str, dict[str, bytes]] = {}
 _loaded: dict = {}
 
 
@@ -39,7 +47,7 @@ def tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path], _memory[path] = Tokenizer.from_file(path), {}
+        _loaded[path], _memory[path], _words[path] = Tokenizer.from_file(path), ({}, {}), {}
     return _loaded[path]
 
 
@@ -47,30 +55,92 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit values.
 
     Byte-level pre-tokens hold a space only as their first character, so a text may be cut before a space that follows a
-    non-space or precedes one, and ids of the chunks joined are the ids of the text. Chunks recur and are remembered.
-    Texts with a space between two other separators, or at either end, go to the tokenizer whole.
+    non-space or precedes one, and ids of the chunks joined are the ids of the text. Chunks recur and are remembered,
+    without the space before them. Texts with a space between two other separators, or at either end, go to the tokenizer whole.
     """
     tok = tokenizer(path)
-    memory, once = _memory[path], {}
-    chunked: list[list[str]] = []
-    missing: dict[str, None] = {}
+    heads: list[str] = []
+    rests: list[list[str]] = []
     for text in texts:
         if text[:1] == " " or text[-1:] == " " or "  " in text or BETWEEN.search(text):
-            cut = [text]
+            heads.append(text), rests.append([])
         else:
-            cut = text.split(" ")
-            cut[1:] = [" " + x for x in cut[1:]]
-        chunked.append(cut)
-        missing.update((x, None) for x in cut if x not in memory)
-    if len(memory) + len(missing) > REMEMBERED:
-        memory.clear()
-        missing = dict.fromkeys(x for cut in chunked for x in cut)
-    new = list(missing)
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for x, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-            (memory if len(x) <= SHORT else once)[x] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join([memory[x] if x in memory else once[x] for x in cut]) for cut in chunked]
+            head, *rest = text.split(" ")
+            heads.append(head), rests.append(rest)
+    found = set().union(*rests)
+    memory, older = _memory[path]
+    new = found.difference(memory)
+    if len(memory) + len(new) > REMEMBERED // 2:
+        # chunks used since the last turn are taken over as they come up again, the others are forgotten
+        memory, older = _memory[path] = {}, memory
+        new = found
+    again = {x: older[x] for x in new if x in older}
+    memory.update(again)
+    new = new.difference(again)
+    memory.update(chunk_ids(new, path))
+    ids = memory.__getitem__
+    out = [e + b"".join(map(ids, rest)) for e, rest in zip(single_ids(heads, tok), rests)]
+    for x in new:
+        if len(x) > SHORT:
+            del memory[x]
+    return out
+
+
+def single_ids(texts: list[str], tok) -> Iterator[bytes]:
+    """Ids of each text, one by one."""
+    for at in range(0, len(texts), 4096):
+        for e in tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+            yield np.array(e.ids, dtype="<u4").tobytes()
+
+
+def chunk_ids(chunks: set[str], path: str) -> Iterator[tuple[str, bytes]]:
+    """(chunk, ids of the chunk with a space before it).
+
+    Of a word and marks after it, and of the same on a next line, each and the line end is a pre-token that the model takes as
+    it is; words recur with other marks and are remembered. All other chunks go through the whole tokenizer.
+    """
+    tok, words = tokenizer(path), _words[path]
+    if len(words) + 2 * len(chunks) > REMEMBERED:
+        words.clear()
+    model, plain, others = tok.model, takes_words(tok), []
+
+    def word_ids(word: str, before: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+        some = [t.id for t in model.tokenize(before + letters)]
+        return pack(f"<{len(some)}I", *some)
+
+    for x in chunks:
+        m = WORD.fullmatch(x) if plain and len(x) <= SHORT else None
+        if not m:
+            others.append(x)
+            continue
+        word, marks, line, marks_of_line = m.groups()
+        ids = words.get(word)
+        if ids is None:
+            ids = words[word] = word_ids(word, "\u0120")
+        if marks:
+            if marks not in words:
+                words[marks] = next(single_ids([marks], tok))
+            ids += words[marks]
+        if line:
+            if line not in words:
+                words[line] = next(single_ids(["\n"], tok)) + word_ids(line[1:], "")
+            ids += words[line]
+            if marks_of_line:
+                if marks_of_line not in words:
+                    words[marks_of_line] = next(single_ids([marks_of_line], tok))
+                ids += words[marks_of_line]
+        yield x, ids
+    yield from zip(others, single_ids([" " + x for x in others], tok))
+
+
+def takes_words(tok) -> bool:
+    """Whether letters and marks are pre-tokens of byte-level characters, which nothing changes or cuts before."""
+    if tok.normalizer is not None or tok.pre_tokenizer is None:
+        return False
+    if any(WORD_PART.fullmatch(a.content) for a in tok.get_added_tokens_decoder().values()):
+        return False
+    return [t for t, _ in tok.pre_tokenizer.pre_tokenize_str(" a\u00e9\u00c0.,\nb")] == ["\u0120a\u00c3\u00a9\u00c3\u0122", ".,", "\u010a", "b"]
 
 
 def cuts(n: int, window: int) -> list[tuple[int, int]]:

@@ -25,6 +25,24 @@ def test_chunks_give_the_ids_of_the_whole_text():
         assert ids == np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(t)
 
 
+def test_words_and_marks_are_those_of_the_tokenizer(monkeypatch):
+    """Chunks of letters and marks go to the model directly; also when memory turns over at every call."""
+    tok, rng = packing.tokenizer(PATH), random.Random(12)
+    assert packing.takes_words(tok)
+    pieces = ["a", "Zq", "é", "ñö", "ſ", "ß", "x\u00ad", "'s", "'", "...", "_", "!?", "<|", "|>", "endoftext", "\n", "\n\n", "\t", "7", "\u00d7", "Ж", "\u180e", "\x1c", " "]
+    texts = [" ".join("".join(rng.choices(pieces, k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    texts += ["foo.\nBar, baz\nqux qu\u00e9.\nBar foo", "a <|endoftext|> b", "a " + "b" * 100 + ". c"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert packing.encoded(texts, PATH) == want
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    assert [packing.encoded([t], PATH)[0] for t in texts] == want
+    calls = []
+    monkeypatch.setattr(packing, "single_ids", lambda some, t: iter([calls.append(x) or b"" for x in some]))
+    packing.encoded(["one two three, four.\nFive six"], PATH)
+    assert " two" not in calls and " four.\nFive" not in calls
+
+
+
 def check_packed(rows, texts, window):
     tok = Tokenizer.from_file(PATH)
     pieces, places = defaultdict(list), defaultdict(list)
