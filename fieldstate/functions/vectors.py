@@ -35,13 +35,19 @@ def top_is(vector: str, width: int, k: int) -> Column:
     return F.expr(f"coalesce({element_sql(vector, k)} >= greatest({best}), false)")
 
 
-def renormalised(vector: str, width: int, start: int) -> Column:
+def total_sql(vector: str, width: int, start: int) -> str:
+    """Sum of elements ``start..width-1``; NULL if one of them is NULL."""
+    return "(" + " + ".join(elements_sql(vector, width, start)) + ")"
+
+
+def renormalised(vector: str, width: int, start: int, total: str | None = None) -> Column:
     """Elements ``start..width-1`` scaled to sum 1; NULL if one of them is NULL or the sum is 0.
 
     The division is a lambda function: written out for every element of three vectors, the generated method is larger than the
-    JVM compiles, and all rows run through its interpreter.
+    JVM compiles, and all rows run through its interpreter. A lambda function is interpreted itself, for every element, so
+    on many rows the sum is better a column of its own: ``total`` names one that holds :func:`total_sql`.
     """
-    total = "(" + " + ".join(elements_sql(vector, width, start)) + ")"
+    total = total or total_sql(vector, width, start)
     return F.expr(f"CASE WHEN {total} <> 0 THEN transform(slice({vector}, {start + 1}, {width - start}), p -> p / {total}) END")
 
 

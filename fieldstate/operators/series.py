@@ -130,7 +130,9 @@ def mask_blurry_daily(df: DataFrame) -> DataFrame:
 
 def drop_blurry_renorm(df: DataFrame) -> DataFrame:
     """Remove the blurry element and scale the others to sum 1; NULL if the sum is 0 or an element is NULL."""
-    return df.withColumns({c: V.renormalised(c, width, 1) for c, width in S.WIDTHS.items()})
+    totals = df.withColumns({f"_total_{c}": F.expr(V.total_sql(c, width, 1)) for c, width in S.WIDTHS.items()})
+    scaled = {c: V.renormalised(c, width, 1, f"_total_{c}") for c, width in S.WIDTHS.items()}
+    return totals.select(*[scaled[c].alias(c) if c in scaled else F.col(f"`{c}`") for c in df.columns])
 
 
 # ---- calendar ------------------------------------------------------------------------------------------

@@ -65,10 +65,27 @@ def decoded(spark: SparkSession, d: str) -> DataFrame:
     return hmm.viterbi_decode(sequences(spark, d))
 
 
-def decoded_once(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`decoded`, dealt by site and day: all pivots of a query read this one exchange, so decoding runs once."""
-    states = decoded(spark, d).select("phenocam_name", "date", "category", "hmm_class")
-    return states.repartition("phenocam_name", "date")
+def decoded_once(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """:func:`decoded`, dealt by site and day: all pivots of a query read this one exchange, so decoding runs once.
+
+    ``rows``: :func:`sequences_once` of a query that also votes.
+    """
+    states = hmm.viterbi_decode(of_categories(rows, *S.HMM_MODELS)) if rows else decoded(spark, d)
+    return states.select("phenocam_name", "date", "category", "hmm_class").repartition("phenocam_name", "date")
+
+
+def sequences_once(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences of all categories, dealt by sequence: decoding and votes of a query read this one exchange, so the series is
+    cleaned once. What the joins infer is stated here, so that both uses ask for the same rows.
+    """
+    rows = sequences(spark, d, *S.CATEGORIES).select(*hmm.KEYS, "date", "probabilities")
+    return rows.filter("phenocam_name IS NOT NULL AND date IS NOT NULL").repartition(*hmm.KEYS)
+
+
+def of_categories(rows: DataFrame, *categories: str) -> DataFrame:
+    """Rows of some categories of :func:`sequences_once`. A plain filter would go below the exchange, which then serves one use."""
+    wanted = F.when(F.col("category").isin(*categories), F.array("probabilities"))
+    return rows.select(*hmm.KEYS, "date", F.explode_outer(wanted).alias("probabilities")).filter("probabilities IS NOT NULL")
 
 
 def final(spark: SparkSession, d: str) -> DataFrame:
@@ -120,12 +137,12 @@ def season_images(spark: SparkSession, d: str) -> DataFrame:
     return seasons.season_image_list(D.transitions(spark, d), D.greenness(spark, d))
 
 
-def segments(spark: SparkSession, d: str) -> DataFrame:
-    return croptype.crop_segments(decoded_once(spark, d))
+def segments(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return croptype.crop_segments(decoded_once(spark, d, rows))
 
 
-def type_days(spark: SparkSession, d: str) -> DataFrame:
-    return sequences(spark, d, "crop_type")
+def type_days(rows: DataFrame) -> DataFrame:
+    return of_categories(rows, "crop_type")
 
 
 def rounded_votes(df: DataFrame) -> DataFrame:
@@ -510,7 +527,8 @@ def crop_segments(spark, d):
 
 @query
 def vote_crop_type(spark, d):
-    return rounded_votes(croptype.vote_crop_type(type_days(spark, d), segments(spark, d)))
+    rows = sequences_once(spark, d)
+    return rounded_votes(croptype.vote_crop_type(type_days(rows), segments(spark, d, rows)))
 
 
 @query
@@ -520,20 +538,23 @@ def segment_mode_status(spark, d):
 
 @query
 def unknown_rules(spark, d):
-    found = segments(spark, d)
-    return rounded_votes(croptype.unknown_rules(croptype.vote_crop_type(type_days(spark, d), found), croptype.segment_mode_status(found)))
+    rows = sequences_once(spark, d)
+    found = segments(spark, d, rows)
+    return rounded_votes(croptype.unknown_rules(croptype.vote_crop_type(type_days(rows), found), croptype.segment_mode_status(found)))
 
 
 @query
 def vote_uniqueness_check(spark, d):
-    return croptype.vote_uniqueness_check(type_days(spark, d), segments(spark, d))
+    rows = sequences_once(spark, d)
+    return croptype.vote_uniqueness_check(type_days(rows), segments(spark, d, rows))
 
 
 @query
 def final_predictions(spark, d):
-    states = decoded_once(spark, d)
+    rows = sequences_once(spark, d)
+    states = decoded_once(spark, d, rows)
     found = croptype.crop_segments(states)
-    votes = croptype.unknown_rules(croptype.vote_crop_type(type_days(spark, d), found), croptype.segment_mode_status(found))
+    votes = croptype.unknown_rules(croptype.vote_crop_type(type_days(rows), found), croptype.segment_mode_status(found))
     return croptype.final_predictions(states, found, votes)
 
 

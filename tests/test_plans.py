@@ -122,3 +122,16 @@ def test_votes_and_paths_only_go_back_to_the_site(whole_plans):
     plan = re.sub(r"#\d+", "", plan_of(catalog.final(whole_plans, SF)))
     sent = re.search(r"Exchange hashpartitioning\(phenocam_name, \d+\), REPARTITION_BY_COL.*\n.*?Project \[(.*)\]", plan).group(1)
     assert "days.probabilities ELSE" in sent and not re.search(r"(^|, )days(,|$)", sent)
+
+
+@pytest.mark.parametrize("name", ("vote_crop_type", "unknown_rules", "vote_uniqueness_check", "final_predictions"))
+def test_votes_and_states_read_one_cleaned_series(whole_plans, name):
+    plan = plan_of(catalog.QUERIES[name](whole_plans, SF))
+    assert len(re.findall(r"Generate explode\(sequence\(_from", plan)) == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_renormalisation_sums_outside_the_lambda(whole_plans):
+    """A lambda function is interpreted for every element: it divides by a column and adds nothing up."""
+    divided = re.findall(r"lambdafunction\(\((.*?), lambda ", plan_of(catalog.prepared(whole_plans, SF)))
+    divided = [d for d in divided if " / " in d and "lambda p" in d]
+    assert divided and all(" + " not in d and "_total_" in d for d in divided)
