@@ -373,15 +373,21 @@ def prep_for_hmm(
     snow_gap: int = S.SNOW_GAP_ROWS,
     gap: int = S.BLUR_GAP_DAYS,
     min_len: int = S.MIN_SEQUENCE_DAYS,
+    deal_images: bool = False,
 ) -> DataFrame:
     """Scored images (filepath, file, 3 vectors) -> clean daily series with sequence ids per category.
 
     Two shuffles: by (site, day) to pick a day's first image, then by site for everything along time. Picking the
     first file makes a separate ``distinct`` unnecessary. Images whose name holds no date have no place in a series and are
     left out; ``checks.undated_files`` lists them.
+
+    ``deal_images``: for images that are scored in the task that makes them, from rows many times narrower. Such a task is as
+    large as its narrow rows allow, and sorting its images to cut down each day would take memory accordingly; dealt first, images
+    are sorted once, in tasks whose size follows the images.
     """
     images = pred.filter(~F.contains("filepath", F.lit(extra_folder))).select("file", *S.CATEGORIES)
-    daily = first_image_per_day(with_site_and_date(images).filter(F.col("date").isNotNull())).drop("file")
+    dated = with_site_and_date(images).filter(F.col("date").isNotNull())
+    daily = first_image_per_day(dated.repartition(SITE, "date") if deal_images else dated).drop("file")
     return min_sequence(sequence_ids(clean_daily(daily, snow_gap, gap)), min_len)
 
 

@@ -50,7 +50,7 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
-    return series.prep_for_hmm(D.predictions(spark, d), EXTRA)
+    return series.prep_for_hmm(D.predictions(spark, d), EXTRA, deal_images=True)
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def of_categories(rows: DataFrame, *categories: str) -> DataFrame:
 
 
 def final(spark: SparkSession, d: str) -> DataFrame:
-    return plan.field_states(D.predictions(spark, d), EXTRA)
+    return plan.field_states(D.predictions(spark, d), EXTRA, deal_images=True)
 
 
 def annotated(spark: SparkSession, d: str) -> DataFrame:

@@ -135,3 +135,11 @@ def test_renormalisation_sums_outside_the_lambda(whole_plans):
     divided = re.findall(r"lambdafunction\(\((.*?), lambda ", plan_of(catalog.prepared(whole_plans, SF)))
     divided = [d for d in divided if " / " in d and "lambda p" in d]
     assert divided and all(" + " not in d and "_total_" in d for d in divided)
+
+
+@pytest.mark.parametrize("name", ("hmm_failures", "field_states"))
+def test_unfolded_images_are_sorted_only_where_they_are_dealt(whole_plans, name):
+    """Images are made from narrow rows: the task that makes them passes them on unsorted."""
+    plan = re.sub(r"#\d+", "", plan_of(catalog.QUERIES[name](whole_plans, SF)))
+    dealt = plan.index("Exchange hashpartitioning(phenocam_name, date, ")
+    assert "Sort [phenocam_name ASC" in plan[:dealt] and "Sort [" not in plan[dealt:]
