@@ -25,6 +25,12 @@ def of_images(obs: DataFrame, files: DataFrame, name: str = "filename") -> DataF
     return obs.join(files.select(F.col(name).alias("file")).distinct(), "file", "left_semi").select(*obs.columns)
 
 
+def of_days(final: DataFrame, images: DataFrame) -> DataFrame:
+    """Days of the listed images only. Applied before days are unfolded by category, so that few annotated days cost few rows."""
+    day = ["phenocam_name", "date"]
+    return final.join(images.select(*day).distinct(), day, "left_semi").select(*final.columns)
+
+
 # ---- class of highest probability ----------------------------------------------------------------------
 def image_means(obs: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Mean vector per image; rows of one image are united by partial aggregation."""
@@ -108,10 +114,15 @@ def final_long(final: DataFrame) -> DataFrame:
 
 
 def hmm_eval_set(truth: DataFrame, final: DataFrame) -> DataFrame:
-    """Truth with the final class; blurry and unknown plants are left out, as are images without a final class."""
+    """Truth with the final class; blurry and unknown plants are left out, as are images without a final class.
+
+    Days meet as they are, one row each, and the category picks its class afterwards: all days are shuffled, few are annotated.
+    """
     wanted = truth.filter(~F.col("true_class").isin("blurry", "unknown_plant"))
-    predicted = final_long(final).drop("year").filter(F.col("hmm_class") != "unknown_plant")
-    return wanted.join(predicted, ["phenocam_name", "date", "category"]).select(*truth.columns, "hmm_class")
+    days = final.select("phenocam_name", "date", *[F.col(c).alias(f"_{c}") for c in S.CATEGORIES])
+    own = "CASE category " + " ".join(f"WHEN '{c}' THEN _{c}" for c in S.CATEGORIES) + " END"
+    predicted = wanted.join(days, ["phenocam_name", "date"]).withColumn("hmm_class", F.expr(own))
+    return predicted.filter(F.col("hmm_class") != "unknown_plant").select(*truth.columns, "hmm_class")
 
 
 def raw_eval_set(truth: DataFrame, maxprob: DataFrame) -> DataFrame:

@@ -52,6 +52,7 @@ def cut_off(df: DataFrame, n: Column, tie: list[str], digits: tuple[int, ...] =
     """The ``n``-th smallest (``_key``, tie) among the rows with ``_in``: one row (at: struct of _key and tie, copies), where
     ``copies`` says how many of the rows equal to it belong to the smallest ``n``; no row if there are no more than ``n``.
 
+    Rows that do not take part are counted as none, not filtered away, so that both passes may read one exchange of the caller's.
     Radix select: a histogram over the first ``digits`` of the key finds the cell that holds the place, further numbers of
     digits refine it, and only the distinct keys of the last cell are ordered. Every step is an aggregate with partial
     counts over two or three columns; only histograms are shuffled, and a cell is picked by an equi-join with its one row.
@@ -64,9 +65,9 @@ def cut_off(df: DataFrame, n: Column, tie: list[str], digits: tuple[int, ...] =
     edge = _passing(totals.select("cell", "taking", F.lit(0).cast("long").alias("below"), n.cast("long").alias("n")), ["cell"])
     for k, finer in zip(digits, [*digits[1:], None]):
         by = {"cell": cell(finer)} if finer else {c: F.col(c) for c in ("_key", *tie)}
-        inside = keys.filter("_in").withColumn("_cell", cell(k)).join(F.broadcast(edge.withColumnRenamed("cell", "_cell")), "_cell")
-        counts = inside.groupBy("below", "n", *[c.alias(name) for name, c in by.items()]).agg(F.count("*").alias("taking"))
-        edge = _passing(counts, list(by))
+        inside = keys.withColumn("_cell", cell(k)).join(F.broadcast(edge.withColumnRenamed("cell", "_cell")), "_cell")
+        counts = inside.groupBy("below", "n", *[c.alias(name) for name, c in by.items()]).agg(F.count_if("_in").alias("taking"))
+        edge = _passing(counts.filter("taking > 0"), list(by))
     return edge.select(F.struct("_key", *tie).alias("at"), F.greatest(F.col("n") - F.col("below"), F.lit(0)).alias("copies"))
 
 
@@ -77,14 +78,18 @@ def take_exactly(df: DataFrame, n: Column, key: Column, tie: list[str], flag: st
     of rows and of rows that take part. ``key`` is a hex key. Rows are compared with one value, :func:`cut_off`, where they
     are read: no shuffle, no stored copy, no job while the plan is built. Rows equal to the cut-off in key and tie are
     collapsed to one row per content with its number, and that many are given back, so copies of one row are no hot group.
+    ``df`` is read four times, without a filter of its own: end a costly one in an exchange by all its columns, and that is read.
     """
     rows = df.withColumns({"_key": key, "_in": F.coalesce(F.expr(among), F.lit(False))})
     # the cut-off comes to every row by a hash join with its one row: named as a subquery it would be planned once per use. Both
-    # keys are 0, computed from columns, as the planner would turn a constant key into a nested loop
-    cut = F.broadcast(cut_off(rows, n, tie, digits).select("at", F.col("copies").alias("_copies"), (F.length("at._key") % 1).alias("_one")))
-    placed = rows.withColumn("_one", F.length("_key") % 1).join(cut, "_one", "left")
+    # keys are 0, computed from columns, as the planner would turn a constant key into a nested loop; never NULL, as it would filter
+    def one(key_: str) -> Column:
+        return F.coalesce(F.length(key_) % 1, F.lit(0)).alias("_one")
+
+    cut = F.broadcast(cut_off(rows, n, tie, digits).select("at", F.col("copies").alias("_copies"), one("at._key")))
+    placed = rows.withColumn("_one", one("_key")).join(cut, "_one", "left")
     place = F.struct("_key", *tie)
-    equal = F.col("_in") & F.coalesce(place == F.col("at"), F.lit(False))
+    equal = F.coalesce(F.col("_in") & (place == F.col("at")), F.lit(False))
     below = F.col("_in") & F.coalesce(place < F.col("at"), F.lit(True))
     outer = placed.filter(~equal).select(*df.columns, below.alias(flag))
 

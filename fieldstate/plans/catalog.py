@@ -107,7 +107,9 @@ def all_images(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split(spark: SparkSession, d: str) -> DataFrame:
-    return training.holdout_split(all_images(spark, d), HELD_OUT)
+    # dealt by every column, so that none is pruned below: the four passes of the split read this one exchange
+    images = all_images(spark, d)
+    return training.holdout_split(images.repartition(*images.columns), HELD_OUT)
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
@@ -632,7 +634,8 @@ def coverage_check_raw(spark, d):
 @query
 def coverage_check_final(spark, d):
     covered = evaluate.coverage_check(
-        truth(spark, d), evaluate.final_long(final(spark, d)), ("phenocam_name", "date", "category"), "hmm_class"
+        truth(spark, d), evaluate.final_long(evaluate.of_days(final(spark, d), annotated(spark, d))),
+        ("phenocam_name", "date", "category"), "hmm_class",
     )
     return covered.select(F.round("percent", 9).alias("percent"), "num")
 

@@ -31,8 +31,10 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("h0").alias("h"))
     )
     site = F.concat(F.lit("site"), F.col("site_no").cast("string"))
+    # the hour again, from the shot that stays: a filter on file names is then not computed for every row before the shots are united
+    shot_hour = 9 + F.col("h") % 7
     stamp = F.concat(
-        F.date_format("date", "yyyy_MM_dd"), F.lit("_"), F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit("0000.jpg")
+        F.date_format("date", "yyyy_MM_dd"), F.lit("_"), F.lpad(shot_hour.cast("string"), 2, "0"), F.lit("0000.jpg")
     )
     phase = F.col("phase")
     return (

@@ -143,3 +143,33 @@ def test_unfolded_images_are_sorted_only_where_they_are_dealt(whole_plans, name)
     plan = re.sub(r"#\d+", "", plan_of(catalog.QUERIES[name](whole_plans, SF)))
     dealt = plan.index("Exchange hashpartitioning(phenocam_name, date, ")
     assert "Sort [phenocam_name ASC" in plan[:dealt] and "Sort [" not in plan[dealt:]
+
+
+@pytest.mark.parametrize("name", ("truth_table", "hmm_eval_set", "overall_metrics_final", "confusion_matrix_final", "coverage_check_final"))
+def test_split_reads_one_exchange_of_its_images(whole_plans, name):
+    """Both passes that find the cut-off, the rows and the copies of the cut-off row: joined and unfolded once, read four times."""
+    plan = re.sub(r"#\d+L?", "", plan_of(catalog.QUERIES[name](whole_plans, SF)))
+    dealt = "Exchange hashpartitioning(filename, phenocam_name, date, dominant_cover, crop_type, crop_status, "
+    lines = [line for line in plan.split("\n") if dealt in line]
+    made = [line for line in lines if "ReusedExchange" not in line]
+    assert len(made) == 1 and len(lines) >= 4
+    assert plan.count("FileScan parquet") <= 4  # images of final days, all images, annotated images
+
+
+def test_final_days_are_joined_before_they_are_unfolded(whole_plans):
+    """All days of all sites: one row each is shuffled to the annotated images, not one per category."""
+    for name in ("hmm_eval_set", "confusion_matrix_final", "overall_metrics_final"):
+        plan = plan_of(catalog.QUERIES[name](whole_plans, SF))
+        assert "Generate inline" in plan  # the truth, by category
+        assert "hmm_class, dominant_cover" not in plan and "output=[category, hmm_class]" not in re.sub(r"#\d+", "", plan)
+        assert not re.search(r"Generate inline\(array\(struct\(category, dominant_cover, hmm_class", re.sub(r"#\d+", "", plan))
+    plan = re.sub(r"#\d+", "", plan_of(catalog.QUERIES["coverage_check_final"](whole_plans, SF)))
+    unfolded = plan.index("hmm_class, dominant_cover")
+    assert "[phenocam_name, date], [phenocam_name, date], LeftSemi" in plan[unfolded:]
+
+
+def test_file_names_of_images_are_not_made_for_every_row(whole_plans):
+    """A filter on the date in the name stays above the aggregate that unites shots."""
+    plan = plan_of(catalog.prepared(whole_plans, SF))
+    below = plan[plan.index("partial_min"):]
+    assert "gettimestamp" not in below and "date_format" not in below

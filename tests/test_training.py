@@ -2,6 +2,7 @@
 
 from collections import Counter
 from datetime import date
+from re import search as re_search
 
 import numpy as np
 import pytest
@@ -235,3 +236,40 @@ def test_take_exactly_refines_in_several_steps(spark):
         for d in ((5,), (1,), (1, 2, 3), (4, 8))
     ]
     assert sum(h for _, h in flags[0]) == 1777 and all(f == flags[0] for f in flags)
+
+
+def test_final_class_of_truth_by_category(spark):
+    """Rows meet by site and day, each category takes its own class; NULL and unknown classes and other days give none."""
+    d, e = date(2020, 1, 1), date(2020, 1, 2)
+    truth = spark.createDataFrame(
+        [("a", f, 2020, day, c, "val", t) for f, day in (("f", d), ("f", d), ("g", e), ("h", None)) for c, t in (
+            ("dominant_cover", "soil"), ("crop_type", "corn"), ("crop_status", "blurry"), (None, "soil"), ("dominant_cover", None))],
+        "phenocam_name STRING, filename STRING, year INT, date DATE, category STRING, data_type STRING, true_class STRING",
+    )
+    final = spark.createDataFrame(
+        [("a", 2020, d, "soil", "growth", "unknown_plant"), ("a", 2020, e, None, "growth", "corn"), ("a", 2020, e, "snow", None, None),
+         ("b", 2020, d, "soil", "growth", "corn"), ("a", 2020, None, "soil", "growth", "corn"), (None, 2020, d, "soil", "growth", "corn")],
+        "phenocam_name STRING, year INT, date DATE, dominant_cover STRING, crop_status STRING, crop_type STRING",
+    )
+    out = evaluate.hmm_eval_set(truth, final)
+    assert out.columns == [*truth.columns, "hmm_class"]
+    got = Counter((r.filename, r.category, r.true_class, r.hmm_class) for r in out.collect())
+    assert got == {("f", "dominant_cover", "soil", "soil"): 2, ("g", "dominant_cover", "soil", "snow"): 1, ("g", "crop_type", "corn", "corn"): 1}
+    # the days of listed images, with all their rows, and nothing for missing keys
+    days = evaluate.of_days(final, truth)
+    assert days.columns == final.columns and Counter(map(tuple, days.collect())) == Counter(
+        tuple(r) for r in final.collect() if r.phenocam_name == "a" and r.date is not None)
+    covered = lambda f: evaluate.coverage_check(truth, evaluate.final_long(f), ("phenocam_name", "date", "category"), "hmm_class").collect()
+    assert covered(days) == covered(final)
+
+
+def test_split_of_a_shuffled_table_with_null_and_equal_names(spark):
+    """The exchange that the passes of the split share changes nothing, with names that are NULL or stand often."""
+    rows = labelled(spark, 200).union(labelled(spark, 30)).withColumn("filename", F.expr("CASE WHEN dominant_cover = 1 AND crop_type = 1 THEN NULL ELSE filename END"))
+    for regex in ("(site3)", "(nowhere)", "site"):
+        want = Counter((r.filename, r.phenocam_name, r.is_validation) for r in training.holdout_split(rows, regex).collect())
+        dealt = training.holdout_split(rows.repartition(*rows.columns), regex).collect()
+        got = Counter((r.filename, r.phenocam_name, r.is_validation) for r in dealt)
+        assert got == want and len(dealt) == 230
+        held = sum(1 for r in dealt if re_search(regex, r.phenocam_name))
+        assert sum(r.is_validation for r in dealt) == max(46, held)
