@@ -62,6 +62,43 @@ def between(vector: str, position: str, previous: str, following: str, max_gap:
     return F.expr(f"CASE WHEN {vector} IS NOT NULL THEN {vector} WHEN {span} - 1 <= {max_gap} THEN {line} END")
 
 
+# ---- narrow form for shuffles --------------------------------------------------------------------------
+# Scores are exchanged with S.SCORE_DIGITS decimals. A value k / STEPS with such a k becomes the 16-bit code 2k; a value between
+# two of them, or outside, becomes the odd code between (null stays null), and its row keeps the vectors as they are besides. Codes
+# stop at the first odd one, so codes and kept vectors together order rows exactly as the vectors do, whatever the values. A zero
+# loses its sign.
+STEPS = 10**S.SCORE_DIGITS
+LAST = (1 << 14) - 1
+
+
+def even_codes_sql(vector: str) -> str:
+    """The codes, if all values are on the grid: :func:`decoded_sql` then gives the vector. NULL for values outside the codes."""
+    inside = f"array_min({vector}) >= 0 AND array_max({vector}) <= {LAST} / {STEPS}D"
+    return f"CASE WHEN {inside} THEN transform({vector}, x -> CAST(x * {2 * STEPS}D + 0.5D AS SMALLINT)) END"
+
+
+def codes_sql(vector: str) -> str:
+    """The code of every element, for all values."""
+    near = f"floor(x * {STEPS}D + 0.5D)"
+    return (
+        f"transform({vector}, x -> CAST(CASE WHEN x < 0 THEN -1 WHEN x > {LAST} / {STEPS}D THEN {2 * LAST + 1} "
+        f"ELSE 2 * {near} + CAST(sign(x - {near} / {STEPS}D) AS INT) END AS SMALLINT))"
+    )
+
+
+def first_odd_sql(codes: str) -> str:
+    """Position of the first code that does not stand for its value alone; 0 without one."""
+    return f"coalesce(CAST(array_position(transform({codes}, k -> k % 2 <> 0), true) AS INT), 0)"
+
+
+def decoded_sql(codes: str) -> str:
+    return f"transform({codes}, k -> {decoded_one_sql('k')})"
+
+
+def decoded_one_sql(code: str) -> str:
+    return f"shiftright({code}, 1) / {STEPS}D"
+
+
 def first_top_code_sql(vector: str) -> str:
     return f"CAST(array_position({vector}, array_max({vector})) - 1 AS INT)"
 

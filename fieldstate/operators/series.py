@@ -74,6 +74,58 @@ def long_to_wide(obs: DataFrame, keys: list[str]) -> DataFrame:
     return from_class_columns(obs.groupBy(*keys).agg(*flat))
 
 
+# ---- narrow form for shuffles --------------------------------------------------------------------------
+CODES, KEPT = "_codes", "_kept"
+
+
+def _vectors(df: DataFrame) -> list[str]:
+    return [c for c in S.CATEGORIES if c in df.columns]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The vectors as 16-bit codes, half of a row or less; rows with values of more digits keep their vectors besides.
+
+    Nothing is lost, and ``CODES, KEPT`` order rows as the vectors do. All vectors share a column, so uses of different
+    categories ask one exchange for the same rows.
+    """
+    vectors = _vectors(df)
+    if not vectors:
+        return df
+    rest = [c for c in df.columns if c not in vectors]
+    even = df.select("*", *[F.expr(V.even_codes_sql(c)).alias(f"_e_{c}") for c in vectors])
+    exact = " AND ".join(f"({V.decoded_sql(f'_e_{c}')} <=> {c})" for c in vectors)
+    # the rest of the way is taken by rows with other values only
+    coded = even.select("*", F.expr(exact).alias("_exact"))
+    coded = coded.select("*", *[F.expr(f"CASE WHEN NOT _exact THEN {V.codes_sql(c)} END AS _c_{c}") for c in vectors])
+    odd = coded.select("*", *[F.expr(V.first_odd_sql(f"_c_{c}")).alias(f"_o_{c}") for c in vectors])
+    cases = [f"WHEN _exact THEN array({', '.join(f'_e_{c}' for c in vectors)})"]
+    for i, c in enumerate(vectors):
+        upto = ", ".join([*(f"_c_{v}" for v in vectors[:i]), f"slice(_c_{c}, 1, _o_{c})"])
+        cases.append(f"WHEN _o_{c} > 0 THEN array({upto})")
+    codes = f"CASE {' '.join(cases)} ELSE array({', '.join(f'_c_{c}' for c in vectors)}) END AS {CODES}"
+    kept = f"CASE WHEN {' OR '.join(f'_o_{c} > 0' for c in vectors)} THEN array({', '.join(vectors)}) END AS {KEPT}"
+    return odd.select(*[F.col(f"`{c}`") for c in rest], F.expr(codes), F.expr(kept))
+
+
+def unpacked(df: DataFrame, vectors: Iterable[str] = S.CATEGORIES) -> DataFrame:
+    """The rows of :func:`packed` with their vectors."""
+    if CODES not in df.columns:
+        return df
+    back = [
+        F.expr(f"CASE WHEN {KEPT} IS NOT NULL THEN get({KEPT}, {i}) ELSE {V.decoded_sql(f'get({CODES}, {i})')} END AS {c}")
+        for i, c in enumerate(vectors)
+    ]
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (CODES, KEPT)], *back)
+
+
+def unpacked_class(df: DataFrame, category: str, k: int, vectors: tuple[str, ...] = S.CATEGORIES) -> DataFrame:
+    """The rows of :func:`packed` with one class only: a vector of one element."""
+    i = vectors.index(category)
+    code, kept = (V.element_sql(f"get({column}, {i})", k) for column in (CODES, KEPT))
+    value = f"CASE WHEN {KEPT} IS NOT NULL THEN {kept} ELSE {V.decoded_one_sql(code)} END"
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (CODES, KEPT)], F.expr(f"array({value})").alias(category))
+
+
 # ---- selection of images -------------------------------------------------------------------------------
 def drop_extra_and_dups(pred: DataFrame, folder: str) -> DataFrame:
     """Drop images of the extra folder, blank the path, drop rows that are then equal."""
@@ -83,11 +135,16 @@ def drop_extra_and_dups(pred: DataFrame, folder: str) -> DataFrame:
 def first_image_per_day(df: DataFrame) -> DataFrame:
     """One image per site and day: the first by file name.
 
-    The rank filter is applied per task before the shuffle, so a day's images are cut down where they are read.
+    The rank filter is applied per task before the shuffle, so a day's images are cut down where they are read. Rows are
+    sorted and shuffled with packed vectors.
     """
-    order = ["file", *[c for c in S.CATEGORIES if c in df.columns]]
+    return unpacked(_first_of_day(packed(df)), _vectors(df)).select(*df.columns)
+
+
+def _first_of_day(rows: DataFrame) -> DataFrame:
+    order = ["file", *[c for c in (CODES, KEPT) if c in rows.columns]]
     rank = F.row_number().over(Window.partitionBy(SITE, "date").orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
 # ---- masks ---------------------------------------------------------------------------------------------
@@ -377,8 +434,8 @@ def prep_for_hmm(
 ) -> DataFrame:
     """Scored images (filepath, file, 3 vectors) -> clean daily series with sequence ids per category.
 
-    Two shuffles: by (site, day) to pick a day's first image, then by site for everything along time. Picking the
-    first file makes a separate ``distinct`` unnecessary. Images whose name holds no date have no place in a series and are
+    Two shuffles, both of packed vectors: by (site, day) to pick a day's first image, then by site for everything along time.
+    Picking the first file makes a separate ``distinct`` unnecessary. Images whose name holds no date have no place in a series and are
     left out; ``checks.undated_files`` lists them.
 
     ``deal_images``: for images that are scored in the task that makes them, from rows many times narrower. Such a task is as
@@ -386,8 +443,9 @@ def prep_for_hmm(
     are sorted once, in tasks whose size follows the images.
     """
     images = pred.filter(~F.contains("filepath", F.lit(extra_folder))).select("file", *S.CATEGORIES)
-    dated = with_site_and_date(images).filter(F.col("date").isNotNull())
-    daily = first_image_per_day(dated.repartition(SITE, "date") if deal_images else dated).drop("file")
+    dated = packed(with_site_and_date(images).filter(F.col("date").isNotNull()))
+    first = _first_of_day(dated.repartition(SITE, "date") if deal_images else dated).drop("file")
+    daily = unpacked(first.repartition(SITE))
     return min_sequence(sequence_ids(clean_daily(daily, snow_gap, gap)), min_len)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -431,8 +432,14 @@ def interpolate_gaps_by_date(spark, d):
 
 @query
 def interpolate_gaps_long(spark, d):
-    long = series.wide_to_long(series.mask_blurry_daily(daily(spark, d)).drop("file"))
-    return series.interpolate_long(long, 3).withColumn("probability", F.round("probability", 9))
+    # days are dealt by site as they are; every class then unfolds and sorts its own series, one row per day, from that exchange
+    days = series.packed(series.mask_blurry_daily(daily(spark, d)).drop("file")).repartition("phenocam_name")
+    parts = [
+        series.interpolate_long(series.wide_to_long(series.unpacked_class(days, c, k), {c: (name,)}), 3)
+        for c, names in S.CLASSES.items()
+        for k, name in enumerate(names)
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("probability", F.round("probability", 9))
 
 
 @query
