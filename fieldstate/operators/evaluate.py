@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldstate import schema as S
 from fieldstate.functions import names as N
 from fieldstate.functions import vectors as V
-from fieldstate.operators.series import long_rows_sql
+from fieldstate.operators.series import long_rows_sql, packed, unpacked
 from fieldstate.sources.tables import read_table, write_table
 
 IMAGE = ("phenocam_name", "file", "date")
@@ -261,15 +261,19 @@ def timeseries_panel(
     means; that on the year is computed from the date, so to read many single years store the panel: :func:`store_panel`.
     """
     keys = ("phenocam_name", "year", "date")
-    columns = [*keys, "file", *S.CATEGORIES]
-    images = _of_site_year(obs.withColumn("year", F.year("date")), site, year).select(*columns)
-    # Images are shuffled once, as they are: neither 24 rows for each nor 21 sums and counts. The order asks for every column,
-    # so that the rows and the means read one exchange, and a site's rows stand together where they are written.
-    images = images.repartitionByRange("phenocam_name", "date")
+    images = _of_site_year(obs.withColumn("year", F.year("date")), site, year).select("phenocam_name", "date", "file", *S.CATEGORIES)
+    # Images are shuffled once, as they are with packed vectors: neither 24 rows for each nor 21 sums and counts. The order asks for
+    # every column, so that the rows and the means read one exchange, and a site's rows stand together where they are written.
+    images = packed(images).repartitionByRange("phenocam_name", "date")
     none = F.lit(None).cast("double").alias("probability")
-    top = maxprob_class(images, (*keys, "file"))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return unpacked(rows).withColumn("year", F.year("date"))
+
+    top = maxprob_class(whole(images), (*keys, "file"))
+    rows = whole(images.sortWithinPartitions("phenocam_name", "date", "file"))
     parts = [
-        images.sortWithinPartitions("phenocam_name", "date", "file").select(F.lit("probability").alias("series"), *keys, F.expr(f"inline({long_rows_sql(S.CLASSES)})")),
+        rows.select(F.lit("probability").alias("series"), *keys, F.expr(f"inline({long_rows_sql(S.CLASSES)})")),
         top.select(F.lit("maxprob").alias("series"), *keys, "category", F.col("maxprob_class").alias("class"), none),
         final_long(_of_site_year(final, site, year)).select(
             F.lit("hmm").alias("series"), *keys, "category", F.col("hmm_class").alias("class"), none
