@@ -173,28 +173,40 @@ def _state_name() -> Column:
     return F.expr(f"CASE category {cases} END")
 
 
-def viterbi_paths(sequences: DataFrame, categories: list[str] | None = None) -> DataFrame:
+def viterbi_paths(sequences: DataFrame, categories: list[str] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per sequence: keys, dates, and ``path`` (state numbers, NULL when no path is possible).
 
-    ``sequences`` has a row per day: keys, date and ``probabilities`` in state order.
+    ``sequences`` has a row per day: keys, date and ``probabilities`` in state order. Sequences of ``carried`` categories are not
+    decoded: their path is empty, and a further column ``carried`` holds their days' probabilities, which is empty for all others.
     """
     decode = sequence_decoder(categories)
     packed = sequences.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("date", "probabilities"))).alias("days"))
     flat = F.flatten(F.col("days.probabilities"))
-    return packed.select(*KEYS, F.col("days.date").alias("dates"), decode("category", flat).alias("path"))
+    if not carried:
+        return packed.select(*KEYS, F.col("days.date").alias("dates"), decode("category", flat).alias("path"))
+    own, none = F.col("category").isin(*carried), F.array()
+    found = packed.withColumn("path", decode("category", F.when(own, none).otherwise(flat)))
+    return found.select(
+        *KEYS, F.col("days.date").alias("dates"), F.when(own, none).otherwise(F.col("path")).alias("path"),
+        F.when(own, F.col("days.probabilities")).otherwise(none).alias("carried"),
+    )
 
 
 def _unpack(paths: DataFrame) -> DataFrame:
     """A row per day; a NULL path gives none. A filter on the path would run the decoder a second time."""
-    return paths.select(*KEYS, F.inline(F.arrays_zip(F.col("dates").alias("date"), F.col("path").alias("state"))))
+    further = [F.col("carried").alias("probabilities")] if "carried" in paths.columns else []
+    return paths.select(*KEYS, F.inline(F.arrays_zip(F.col("dates").alias("date"), F.col("path").alias("state"), *further)))
+
 
+def viterbi_decode(sequences: DataFrame, categories: list[str] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(phenocam_name, year, date, site_sequence_id, category, hmm_class) of every sequence that has a path.
 
-def viterbi_decode(sequences: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """(phenocam_name, year, date, site_sequence_id, category, hmm_class) of every sequence that has a path."""
-    days = _unpack(viterbi_paths(sequences, categories))
+    Days of ``carried`` categories come along, with ``probabilities`` instead of a class: one pass for states and votes.
+    """
+    days = _unpack(viterbi_paths(sequences, categories, carried))
     return days.select(
         "phenocam_name", F.year("date").alias("year"), "date", "site_sequence_id", "category",
-        _state_name().alias("hmm_class"),
+        _state_name().alias("hmm_class"), *(["probabilities"] if carried else []),
     )
 
 

@@ -69,24 +69,28 @@ def decoded(spark: SparkSession, d: str) -> DataFrame:
 def decoded_once(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """:func:`decoded`, dealt by site and day: all pivots of a query read this one exchange, so decoding runs once.
 
-    ``rows``: :func:`sequences_once` of a query that also votes.
+    ``rows``: :func:`decoded_and_votes` of a query that also votes.
     """
-    states = hmm.viterbi_decode(of_categories(rows, *S.HMM_MODELS)) if rows else decoded(spark, d)
-    return states.select("phenocam_name", "date", "category", "hmm_class").repartition("phenocam_name", "date")
+    if rows is not None:
+        return _of_categories(rows, tuple(S.HMM_MODELS), "hmm_class", "probabilities")
+    return decoded(spark, d).select("phenocam_name", "date", "category", "hmm_class").repartition("phenocam_name", "date")
 
 
-def sequences_once(spark: SparkSession, d: str) -> DataFrame:
-    """The sequences of all categories, dealt by sequence: decoding and votes of a query read this one exchange, so the series is
-    cleaned once. What the joins infer is stated here, so that both uses ask for the same rows.
+def decoded_and_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded states and, as rows of their own, the probabilities of crop types, dealt by site and day: states and votes of a query
+    read this one exchange. Sequences are decoded where the series is cleaned. What the joins infer is stated here, so that both
+    uses ask for the same rows.
     """
-    rows = sequences(spark, d, *S.CATEGORIES).select(*hmm.KEYS, "date", "probabilities")
-    return rows.filter("phenocam_name IS NOT NULL AND date IS NOT NULL").repartition(*hmm.KEYS)
+    days = hmm.viterbi_decode(sequences(spark, d, *S.CATEGORIES), carried=("crop_type",))
+    days = days.select("phenocam_name", "date", "category", "hmm_class", "probabilities")
+    return days.filter("phenocam_name IS NOT NULL AND date IS NOT NULL").repartition("phenocam_name", "date")
 
 
-def of_categories(rows: DataFrame, *categories: str) -> DataFrame:
-    """Rows of some categories of :func:`sequences_once`. A plain filter would go below the exchange, which then serves one use."""
-    wanted = F.when(F.col("category").isin(*categories), F.array("probabilities"))
-    return rows.select(*hmm.KEYS, "date", F.explode_outer(wanted).alias("probabilities")).filter("probabilities IS NOT NULL")
+def _of_categories(rows: DataFrame, categories: tuple[str, ...], value: str, other: str) -> DataFrame:
+    """Rows of :func:`decoded_and_votes` of some categories, which have ``value`` and not ``other``. Every column is asked for, and a
+    plain filter would go below the exchange, which then serves one use."""
+    wanted = F.when(F.col("category").isin(*categories) & F.col(other).isNull(), F.array(value))
+    return rows.select("phenocam_name", "date", "category", F.explode_outer(wanted).alias(value)).filter(f"{value} IS NOT NULL")
 
 
 def final(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +149,7 @@ def segments(spark: SparkSession, d: str, rows: DataFrame | None = None) -> Data
 
 
 def type_days(rows: DataFrame) -> DataFrame:
-    return of_categories(rows, "crop_type")
+    return _of_categories(rows, ("crop_type",), "probabilities", "hmm_class")
 
 
 def rounded_votes(df: DataFrame) -> DataFrame:
@@ -536,7 +540,7 @@ def crop_segments(spark, d):
 
 @query
 def vote_crop_type(spark, d):
-    rows = sequences_once(spark, d)
+    rows = decoded_and_votes(spark, d)
     return rounded_votes(croptype.vote_crop_type(type_days(rows), segments(spark, d, rows)))
 
 
@@ -547,20 +551,20 @@ def segment_mode_status(spark, d):
 
 @query
 def unknown_rules(spark, d):
-    rows = sequences_once(spark, d)
+    rows = decoded_and_votes(spark, d)
     found = segments(spark, d, rows)
     return rounded_votes(croptype.unknown_rules(croptype.vote_crop_type(type_days(rows), found), croptype.segment_mode_status(found)))
 
 
 @query
 def vote_uniqueness_check(spark, d):
-    rows = sequences_once(spark, d)
+    rows = decoded_and_votes(spark, d)
     return croptype.vote_uniqueness_check(type_days(rows), segments(spark, d, rows))
 
 
 @query
 def final_predictions(spark, d):
-    rows = sequences_once(spark, d)
+    rows = decoded_and_votes(spark, d)
     states = decoded_once(spark, d, rows)
     found = croptype.crop_segments(states)
     votes = croptype.unknown_rules(croptype.vote_crop_type(type_days(rows), found), croptype.segment_mode_status(found))
