@@ -28,8 +28,12 @@ def _decoded_days(prepared: DataFrame) -> DataFrame:
     path = f"CASE WHEN {voting} THEN array() ELSE path END AS state"
     votes = f"CASE WHEN {voting} THEN days.probabilities ELSE array() END AS vote"
     decoded = packed.withColumn("path", hmm.sequence_decoder()("category", flat))
-    # the packed sequences, a fraction of the days, are what is brought back to one place per site: paths, and votes of crop types
-    decoded = decoded.selectExpr(SITE, "category", "days.date AS date", path, votes).repartition(SITE)
+    # the packed sequences, a fraction of the days, are what is brought back to one place per site: paths, and votes of crop types.
+    # The days of a sequence follow each other, so its ends name them; should they not, they go along.
+    first, last = "array_min(days.date)", "array_max(days.date)"
+    listed = f"CASE WHEN NOT (days.date <=> sequence({first}, {last})) THEN days.date END AS _listed"
+    decoded = decoded.selectExpr(SITE, "category", f"{first} AS _from", f"{last} AS _to", listed, path, votes).repartition(SITE)
+    decoded = decoded.selectExpr(SITE, "category", "coalesce(_listed, sequence(_from, _to)) AS date", "state", "vote")
     rows = decoded.selectExpr(SITE, "category", "inline(arrays_zip(date, state, vote))")
     states = [
         F.expr(f"max(state) FILTER (WHERE category = '{c}') AS _{c}") for c in S.HMM_MODELS
